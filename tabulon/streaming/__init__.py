@@ -1,0 +1,6 @@
+"""Streaming.
+
+The workload this library rebuilds has no stream input, no watermark, no
+windowed or stateful aggregation: databases are static tables and results
+are compared as batches. Nothing here; batch jobs cover every operator.
+"""
