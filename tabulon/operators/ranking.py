@@ -10,6 +10,13 @@ partition, so its size is bounded by the partition count - turns that into
 a dense global index. Within a group the position is the global index minus
 the group's first index (one row per group, aggregated before the join).
 
+The stamped rows are written once with ``checkpoint()`` (into the
+session's ``spark.checkpoint.dir``): the ids depend on how the sort's
+shuffle is read, and adaptive execution may coalesce it differently in the
+count branch and the row branch of the plan; reading one written copy keeps
+the two consistent and also cuts the lineage, so a lost executor does not
+re-run the sort.
+
 The order must be total (add a tie-breaker) for a deterministic result.
 """
 
@@ -18,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW = (1 << 33) - 1
 
 
@@ -27,6 +36,8 @@ def global_positions(df: DataFrame, order: list[Column], pos_col: str = "pos") -
                  .withColumn("_mid", F.monotonically_increasing_id())
                  .withColumn("_part", F.shiftright("_mid", 33))
                  .withColumn("_idx", F.col("_mid").bitwiseAND(F.lit(_LOW))))
+    ensure_checkpoint_dir(df.sparkSession)
+    stamped = stamped.checkpoint(eager=True)
     counts = stamped.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
     # One row per partition: a prefix sum over it is tiny, and it is broadcast
     # because its size is bounded by the number of partitions, not the data.

@@ -212,3 +212,135 @@ def sample_categorical(spark, sf):
      "UNION ALL SELECT 'n_chars', rank, CAST(n_chars AS VARCHAR) FROM f")
 def sample_numeric(spark, sf):
     return C.numerical_samples(t(spark, sf, "documents"), ["doc_id", "n_chars"], ["doc_id"], long=True)
+
+
+# ------------------------------------------------------ result comparison
+# Results to compare, derived from `customer`: one test per nation. Target:
+# (segment, balance band) rows in key order. Prediction: the rows with a
+# non-negative balance, by balance descending, columns swapped (kept in
+# place for tuple_order, which compares raw rows).
+
+from ..operators import compare as M  # noqa: E402
+
+
+def customer_results(spark, sf, swap: bool = True) -> DataFrame:
+    cust = t(spark, sf, "customer")
+    seg, band = F.col("c_mktsegment").alias("seg"), F.floor(F.col("c_acctbal") / 1000).alias("band")
+    tgt = cust.orderBy("c_nationkey", "c_custkey").select("c_nationkey", seg, band)
+    pred_cols = [band, seg] if swap else [seg, band]
+    prd = (cust.where(F.col("c_acctbal") >= 0)
+               .orderBy(F.col("c_nationkey"), F.col("c_acctbal").desc(), F.col("c_custkey"))
+               .select("c_nationkey", *pred_cols))
+    return (M.capture(tgt, None, "t", test_col="c_nationkey")
+             .unionByName(M.capture(prd, None, "p", test_col="c_nationkey")))
+
+
+def _nation_tests(spark, sf):
+    return t(spark, sf, "nation").select(F.col("n_nationkey").alias("test_id"))
+
+
+def _res_sql(swap: bool) -> str:
+    seg = "'2:' || c_mktsegment"
+    band = "'1:' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR)"
+    pcells = f"[{band}, {seg}]" if swap else f"[{seg}, {band}]"
+    return f"""
+res AS (
+  SELECT c_nationkey AS test_id, 't' AS side,
+         row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos,
+         [{seg}, {band}] AS cells FROM customer
+  UNION ALL
+  SELECT c_nationkey, 'p', row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey),
+         {pcells} FROM customer WHERE c_acctbal >= 0),
+tests AS (SELECT n_nationkey AS test_id FROM nation),
+sizes AS (SELECT test_id, count_if(side = 't') AS n_t, count_if(side = 'p') AS n_p FROM res GROUP BY test_id),
+per_cell AS (SELECT test_id, cell, bool_or(side = 't') AS in_t, bool_or(side = 'p') AS in_p
+             FROM (SELECT test_id, side, unnest(list_distinct(cells)) AS cell FROM res) GROUP BY test_id, cell),
+cells AS (SELECT test_id, count_if(in_t AND in_p) AS inter, count_if(in_t) AS dt, count_if(in_p) AS dp
+          FROM per_cell GROUP BY test_id),
+per_row AS (SELECT test_id, list_sort(cells) AS canon, count_if(side = 't') AS a, count_if(side = 'p') AS b
+            FROM res GROUP BY test_id, list_sort(cells)),
+rowsx AS (SELECT test_id, count_if(a > 0) AS rows_t, count_if(a > 0 AND a = b) AS rows_eq,
+                 count_if((a > 0) <> (b > 0)) AS rows_xor FROM per_row GROUP BY test_id),
+firsts AS (SELECT test_id, cells, min(pos) FILTER (WHERE side = 't') AS ft, min(pos) FILTER (WHERE side = 'p') AS fp
+           FROM res GROUP BY test_id, cells),
+common AS (SELECT test_id, row_number() OVER (PARTITION BY test_id ORDER BY ft) AS rt,
+                  row_number() OVER (PARTITION BY test_id ORDER BY fp) AS rp
+           FROM firsts WHERE ft IS NOT NULL AND fp IS NOT NULL),
+ord AS (SELECT test_id, count(*) AS n_common, sum((rt - rp) * (rt - rp)) AS d2 FROM common GROUP BY test_id),
+m AS (SELECT tests.test_id, coalesce(n_t, 0) AS n_t, coalesce(n_p, 0) AS n_p, inter, dt, dp, rows_t, rows_eq, rows_xor,
+             coalesce(n_common, 0) AS n_common, coalesce(d2, 0) AS d2,
+             CASE WHEN coalesce(n_common, 0) = 1 THEN 2 ELSE coalesce(n_common, 0) END AS neff
+      FROM tests LEFT JOIN sizes USING (test_id) LEFT JOIN cells USING (test_id)
+      LEFT JOIN rowsx USING (test_id) LEFT JOIN ord USING (test_id))"""
+
+
+def _rule(expr: str) -> str:
+    return f"CASE WHEN n_t = 0 AND n_p = 0 THEN 1.0::DOUBLE WHEN n_t = 0 OR n_p = 0 THEN 0.0::DOUBLE ELSE {expr} END"
+
+
+_METRIC_SQL = {
+    "cell_precision": _rule("round_even(inter::DOUBLE / dp::DOUBLE, 3)"),
+    "cell_recall": _rule("round_even(inter::DOUBLE / dt::DOUBLE, 3)"),
+    "tuple_cardinality": _rule("round_even(least(n_t, n_p)::DOUBLE / greatest(n_t, n_p)::DOUBLE, 3)"),
+    "tuple_constraint": _rule("round_even(rows_eq::DOUBLE / rows_t::DOUBLE, 3)"),
+    "execution_accuracy": "CASE WHEN n_t = 0 AND n_p = 0 THEN 1.0::DOUBLE WHEN n_t <> n_p THEN 0.0::DOUBLE "
+                          "WHEN rows_xor = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+    "tuple_order": _rule("(round_even(CASE WHEN n_common = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - (6 * d2)::DOUBLE "
+                         "/ (neff * (neff * neff - 1))::DOUBLE END, 3) + 1.0::DOUBLE) / 2.0::DOUBLE"),
+}
+
+
+def _metric_key(name: str):
+    swap = name != "tuple_order"
+
+    def run(spark, sf):
+        res = customer_results(spark, sf, swap)
+        return M.metrics(res, _nation_tests(spark, sf), [name]).select("test_id", name)
+
+    sql = f"WITH {_res_sql(swap)} SELECT test_id, {_METRIC_SQL[name]} AS {name} FROM m"
+    key(f"metric_{name}", sql)(run)
+
+
+for _m in M.ALL_METRICS:
+    _metric_key(_m)
+
+
+_ALL_BUT_ORDER = [m for m in M.ALL_METRICS if m != "tuple_order"]
+
+
+@key("compare_all", f"WITH {_res_sql(True)} SELECT test_id, n_t AS n_target, n_p AS n_prediction, "
+     + ", ".join(f"{_METRIC_SQL[m]} AS {m}" for m in _ALL_BUT_ORDER) + " FROM m")
+def compare_all(spark, sf):
+    return M.metrics(customer_results(spark, sf, True), _nation_tests(spark, sf), _ALL_BUT_ORDER)
+
+
+# Efficiency: per event type (a test), runs before noon are the target's,
+# the others the prediction's; `value` is the run time in seconds.
+
+def event_timings(spark, sf) -> DataFrame:
+    ev = t(spark, sf, "events")
+    return ev.select(F.col("event_type").alias("test_id"),
+                     F.when(F.hour("ts") < 12, F.lit("t")).otherwise(F.lit("p")).alias("side"),
+                     F.col("event_id").alias("run"), F.col("value").alias("seconds"))
+
+
+_TIMINGS_SQL = """
+tm AS (SELECT event_type AS test_id, CASE WHEN hour(ts) < 12 THEN 't' ELSE 'p' END AS side,
+              event_id AS run, value AS seconds FROM events),
+st AS (SELECT test_id, side, avg(seconds) AS mu, stddev_pop(seconds) AS sd FROM tm GROUP BY test_id, side),
+tr AS (SELECT test_id, side, avg(seconds) AS mean_seconds FROM tm JOIN st USING (test_id, side)
+       WHERE seconds >= mu - 3 * sd AND seconds <= mu + 3 * sd GROUP BY test_id, side)"""
+
+
+@key("trimmed_mean", f"WITH {_TIMINGS_SQL} SELECT test_id, side, round_even(mean_seconds, 6) AS mean_seconds FROM tr")
+def trimmed_mean(spark, sf):
+    return M.trimmed_means(event_timings(spark, sf)).withColumn(
+        "mean_seconds", F.bround("mean_seconds", 6))
+
+
+@key("efficiency_score", f"WITH {_TIMINGS_SQL} SELECT test_id, "
+     "round_even(sqrt(max(mean_seconds) FILTER (WHERE side = 't') / max(mean_seconds) FILTER (WHERE side = 'p')), 6) "
+     "AS valid_efficiency_score FROM tr GROUP BY test_id")
+def efficiency_score(spark, sf):
+    e = M.efficiency(event_timings(spark, sf))
+    return e.select("test_id", F.bround("valid_efficiency_score", 6).alias("valid_efficiency_score"))
