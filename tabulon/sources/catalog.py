@@ -219,8 +219,8 @@ def categorical_samples(df: DataFrame, columns: list[str], k: int = SAMPLE_SIZE,
     if not columns:
         return None
     pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', CAST({quote(c)} AS STRING)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
-    distinct = long.where(F.col("value").isNotNull()).distinct()
+    unpivoted = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
+    distinct = unpivoted.where(F.col("value").isNotNull()).distinct()
     order = [F.md5(F.concat(F.lit(str(seed)), F.col("value"))), F.col("value")]
     top = top_k_per_group(distinct, ["column_name"], order, k)
     if long:
@@ -253,7 +253,6 @@ def numerical_samples(df: DataFrame, columns: list[str], pk: list[str] | None,
                 .select("column_name", F.col("s.value").alias("sample_data")))
 
 
-
 def build_catalog(spark: SparkSession, tables: dict[str, DataFrame],
                   primary_keys: dict[str, list[str]] | None = None,
                   k: int = SAMPLE_SIZE, seed: int = DEFAULT_SEED) -> DataFrame:
