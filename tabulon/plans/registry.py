@@ -344,3 +344,97 @@ def trimmed_mean(spark, sf):
 def efficiency_score(spark, sf):
     e = M.efficiency(event_timings(spark, sf))
     return e.select("test_id", F.bround("valid_efficiency_score", 6).alias("valid_efficiency_score"))
+
+
+# -------------------------------------------------------------- ambiguity
+# Tests: one WHERE-CAT test per distinct value of four categorical columns
+# (grows with the data). Annotations: a small score matrix over their
+# attributes, a parameter of the job.
+
+from ..operators import ambiguity as A  # noqa: E402
+
+AMBIGUITY_MATRIX = [  # label, p_brand, p_type, o_orderpriority, o_orderstatus
+    ("brand", 3.0, 2.0, 0.5, 0.0),
+    ("kind", 1.0, 3.0, 0.0, 2.5),
+    ("urgency", 0.0, 0.0, 3.0, 2.0),
+    ("state", 0.0, 0.0, 1.0, 3.0),
+]
+_AMB_COLS = [("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus")]
+
+
+def value_tests(spark, sf) -> DataFrame:
+    parts = []
+    for tbl, col in _AMB_COLS:
+        v = F.col(col)
+        lit_v = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
+        parts.append(t(spark, sf, tbl).select(v).distinct().select(
+            F.lit("tpch").alias("db_id"), F.lit(tbl).alias("tbl_name"),
+            F.concat(F.lit(f"SELECT * FROM `{tbl}` WHERE `{col}` == "), lit_v).alias("query"),
+            F.concat(F.lit(f"Show the data of the table {tbl} where {col} is equal to "), v).alias("question")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def annotations(spark) -> DataFrame:
+    m = spark.createDataFrame(AMBIGUITY_MATRIX, ["label"] + [c for _, c in _AMB_COLS])
+    return A.long_annotations(m, "tpch")
+
+
+def _amb_values_sql() -> str:
+    rows = []
+    for li, (label, *scores) in enumerate(AMBIGUITY_MATRIX):
+        for ai, ((_, col), sc) in enumerate(zip(_AMB_COLS, scores)):
+            rows.append(f"('{label}', {li}, '{col}', {ai}, {float(sc)})")
+    return ", ".join(rows)
+
+
+def _value_tests_sql() -> str:
+    parts = []
+    for tbl, col in _AMB_COLS:
+        parts.append(f"SELECT 'tpch' AS db_id, '{tbl}' AS tbl_name, "
+                     f"'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' AS query, "
+                     f"'Show the data of the table {tbl} where {col} is equal to ' || {col} AS question "
+                     f"FROM (SELECT DISTINCT {col} FROM {tbl})")
+    return " UNION ALL ".join(parts)
+
+
+@key("ambiguity_inject", f"""
+WITH ann(label, label_ordinal, attribute, attr_ordinal, score) AS (VALUES {_amb_values_sql()}),
+tests AS ({_value_tests_sql()}),
+strong AS (SELECT * FROM ann WHERE score >= 2.0),
+chosen AS (SELECT * FROM tests t WHERE EXISTS (SELECT 1 FROM strong s WHERE contains(t.query, s.attribute))),
+meanings AS (SELECT label, list(attribute ORDER BY attr_ordinal) AS attrs FROM strong GROUP BY label),
+cand AS (
+  SELECT c.*, replace(c.question, s.attribute, s.label) AS aq, s.attribute AS sa, s.label AS al, m.attrs,
+         1 AS k, s.attr_ordinal AS ao, s.label_ordinal AS lo
+  FROM chosen c JOIN strong s ON contains(c.question, s.attribute) JOIN meanings m ON m.label = s.label
+  UNION ALL
+  SELECT c.*, c.question, NULL, NULL, NULL, 0, -1, -1 FROM chosen c),
+firsts AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY db_id, aq ORDER BY query, k, ao, lo) = 1)
+SELECT db_id, tbl_name, query, question, aq AS ambiguous_question, sa AS swapped_attribute, al AS ambiguous_label,
+       array_to_string(attrs, '|') AS ambiguous_attributes,
+       array_to_string(list_transform(attrs, lambda a: replace(query, sa, a)), ' || ') AS target_queries
+FROM firsts WHERE k = 1""")
+def ambiguity_inject(spark, sf):
+    tests = value_tests(spark, sf).withColumn("test_id", F.col("query"))
+    out = A.ambiguous_tests(tests, annotations(spark), 2.0, order_col="test_id")
+    return out.select("db_id", "tbl_name", "query", "question", "ambiguous_question", "swapped_attribute",
+                      "ambiguous_label", F.array_join("ambiguous_attributes", "|").alias("ambiguous_attributes"),
+                      F.array_join("target_queries", " || ").alias("target_queries"))
+
+
+@key("ambiguity_best")
+def ambiguity_best(spark, sf):
+    """Score each ambiguous test's prediction (its own query) against every target; keep the best."""
+    from .evaluate import evaluate
+    C.driver_database(spark, sf, ["part", "orders"])
+    tests = value_tests(spark, sf).withColumn("test_id", F.col("query"))
+    amb = A.ambiguous_tests(tests, annotations(spark), 2.0, order_col="test_id")
+    pairs = amb.select("ambiguous_question", "query",
+                       F.posexplode("target_queries").alias("target_pos", "target_query"))
+    # A target may name a column of another table and fail: it scores null
+    # and never wins.
+    scored = evaluate(spark, pairs, "target_query", "query", on_target_error="null")
+    return A.best_of_targets(scored, ["ambiguous_question"])
