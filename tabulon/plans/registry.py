@@ -438,3 +438,178 @@ def ambiguity_best(spark, sf):
     # and never wins.
     scored = evaluate(spark, pairs, "target_query", "query", on_target_error="null")
     return A.best_of_targets(scored, ["ambiguous_question"])
+
+
+# -------------------------------------------------------------- responses
+# Response texts derived from `conversations`: assistant turns carry a
+# python block, a runtime line and an <answer> span; user turns only a
+# fenced sql block; system turns are plain text.
+
+from ..functions import responses as RSP  # noqa: E402
+
+
+def conversation_responses(spark, sf) -> DataFrame:
+    cv = t(spark, sf, "conversations")
+    txt, role = F.col("text"), F.col("role")
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    resp = (F.when(role == "assistant", F.concat(txt, F.lit("\n```python\nprint("), turn, F.lit(")\n```\nRuntime: "),
+                                                   conv, F.lit(".5\n<answer>```sql SELECT "), role,
+                                                   F.lit(" FROM t ```</answer>")))
+             .when(role == "user", F.concat(F.lit("```sql\n SELECT "), turn, F.lit("\n```\n"), txt))
+             .otherwise(txt))
+    return cv.select("conv_id", "turn", resp.alias("response"))
+
+
+_RESP_SQL = """
+r AS (SELECT conv_id, turn, CASE
+        WHEN role = 'assistant' THEN concat(text, chr(10) || '```python' || chr(10) || 'print(', turn, ')' || chr(10) || '```' || chr(10) || 'Runtime: ',
+                                            conv_id, '.5' || chr(10) || '<answer>```sql SELECT ', role, ' FROM t ```</answer>')
+        WHEN role = 'user' THEN concat('```sql' || chr(10) || ' SELECT ', turn, chr(10) || '```' || chr(10), text)
+        ELSE text END AS response FROM conversations)"""
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@key("parse_answers", f"""
+WITH {_RESP_SQL}
+SELECT conv_id, turn,
+  coalesce({_strip_sql("replace(replace(list_extract(regexp_extract_all(response, '(?s)<answer>(.*?)</answer>', 1), -1), '```', ''), 'sql', '')")},
+           {_strip_sql("list_extract(regexp_extract_all(response, '(?s)```sql(.*?)```', 1), -1)")}, response) AS answer,
+  {_strip_sql("regexp_extract(response, '(?s)```python\\s+(.*?)```', 1)")} AS code,
+  CASE WHEN regexp_extract(response, 'Runtime:\\s*([0-9.]+)', 1) <> ''
+       THEN TRY_CAST(regexp_extract(response, 'Runtime:\\s*([0-9.]+)', 1) AS DOUBLE) END AS runtime,
+  length(replace(response, '\\n', chr(10))) AS unescaped_length
+FROM r""")
+def parse_answers(spark, sf):
+    r = conversation_responses(spark, sf)
+    return r.select("conv_id", "turn", RSP.final_answer("response").alias("answer"),
+                    RSP.code_block("response").alias("code"), RSP.runtime_seconds("response").alias("runtime"),
+                    F.length(RSP.unescape_newlines("response")).cast("bigint").alias("unescaped_length"))
+
+
+@key("parse_rows")
+def parse_rows(spark, sf):
+    """Tool output printing a result as a Python list, parsed back to rows (orders as the result)."""
+    o = t(spark, sf, "orders")
+    printed = F.concat(F.lit("result: [('"), F.col("o_orderpriority"), F.lit("', "), F.col("o_totalprice").cast("string"),
+                       F.lit(", None), ('"), F.col("o_orderstatus"), F.lit("', True, 1)] Runtime: 0.25"))
+    return o.select("o_orderkey", RSP.balanced_span(printed).alias("span"),
+                    RSP.rows_from_text(printed).alias("rows"), RSP.runtime_seconds(printed).alias("runtime"))
+
+
+@key("token_crop")
+def token_crop(spark, sf):
+    """Lines of every document cropped to a 2,048-word budget by halving (whole texts)."""
+    d = t(spark, sf, "documents")
+    lines = F.split(F.col("text"), "\n")
+    return d.select("doc_id", F.size(lines).alias("n_lines"),
+                    F.size(RSP.crop_to_budget(lines, 2048, 4)).alias("kept_lines"))
+
+
+@key("prompt_table")
+def prompt_table(spark, sf):
+    db = C.driver_database(spark, sf, ["part", "orders"])
+    cat = C.schema_rows(spark, db.tables, db.primary_keys)
+    samples = RSP.sample_rows(db.tables, 3, db.primary_keys)
+    tests = value_tests(spark, sf)
+    return RSP.prompt_table(tests, RSP.schema_text(cat), samples, RSP.PROMPTS["text2sql"]).select(
+        "tbl_name", "query", "prompt")
+
+
+@key("clamped_score", "SELECT vec_id, round_even(CASE WHEN coalesce(len(embedding), 0) = 0 THEN 0.0 ELSE "
+     "greatest(0.0, least(1.0, (list_reduce(list_transform(embedding, lambda x: x::DOUBLE), lambda a, b: a + b) - 1.0) / 9.0)) END, 6) "
+     "AS score FROM embeddings")
+def clamped_score(spark, sf):
+    # Each row's own list (an embedding vector); no grouping.
+    e = t(spark, sf, "embeddings")
+    return e.select("vec_id", F.bround(RSP.clamped_score("embedding"), 6).alias("score"))
+
+
+# ------------------------------------------------------- catalog and keys
+
+_SCHEMAS = {
+    "region": [("r_regionkey", "numerical"), ("r_name", "categorical")],
+    "nation": [("n_nationkey", "numerical"), ("n_name", "categorical"), ("n_regionkey", "numerical")],
+    "customer": [("c_custkey", "numerical"), ("c_name", "categorical"), ("c_nationkey", "numerical"),
+                 ("c_acctbal", "numerical"), ("c_mktsegment", "categorical")],
+    "supplier": [("s_suppkey", "numerical"), ("s_name", "categorical"), ("s_nationkey", "numerical"),
+                 ("s_acctbal", "numerical")],
+    "part": [("p_partkey", "numerical"), ("p_name", "categorical"), ("p_brand", "categorical"),
+             ("p_type", "categorical"), ("p_size", "numerical"), ("p_retailprice", "numerical")],
+    "orders": [("o_orderkey", "numerical"), ("o_custkey", "numerical"), ("o_orderstatus", "categorical"),
+               ("o_totalprice", "numerical"), ("o_orderpriority", "categorical")],
+    "lineitem": [("l_orderkey", "numerical"), ("l_partkey", "numerical"), ("l_suppkey", "numerical"),
+                 ("l_linenumber", "numerical"), ("l_quantity", "numerical"), ("l_extendedprice", "numerical"),
+                 ("l_discount", "numerical"), ("l_tax", "numerical"), ("l_returnflag", "categorical"),
+                 ("l_linestatus", "categorical")],
+    "events": [("event_id", "numerical"), ("user_id", "numerical"), ("event_type", "categorical"),
+               ("value", "numerical"), ("props", "categorical")],
+    "documents": [("doc_id", "numerical"), ("text", "categorical"), ("lang", "categorical"),
+                  ("source", "categorical"), ("n_chars", "numerical")],
+    "embeddings": [("vec_id", "numerical"), ("label", "numerical")],
+    "pages": [("page_id", "numerical"), ("url", "categorical"), ("html", "categorical")],
+    "benchmark": [("item_id", "numerical"), ("text", "categorical")],
+    "labels": [("doc_id", "numerical"), ("quality", "numerical"), ("toxic", "numerical")],
+    "conversations": [("conv_id", "numerical"), ("turn", "numerical"), ("role", "categorical"),
+                      ("text", "categorical")],
+}
+
+
+@key("catalog_profile", " UNION ALL ".join(
+    f"SELECT '{tb}' AS tbl_name, '{c}' AS column_name, '{k}' AS column_type, count({c}) AS n_values, "
+    f"count(DISTINCT {c}) AS n_distinct FROM {tb}" for tb, cols in _SCHEMAS.items() for c, k in cols))
+def catalog_profile(spark, sf):
+    return C.profile(C.load_tables(spark, sf, C.DRIVER_TABLES))
+
+
+_DECLARED_FK_SQL = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in C.DRIVER_FOREIGN_KEYS)
+_PK_SQL = ", ".join(f"('{tb}', '{k[0]}')" for tb, k in C.DRIVER_PRIMARY_KEYS.items() if len(k) == 1)
+
+
+@key("foreign_keys", f"""
+WITH cols AS (SELECT table_name AS tbl_name, column_name FROM information_schema.columns
+              WHERE table_name IN ({", ".join(f"'{x}'" for x in C.DRIVER_TABLES)})
+                AND (data_type IN ('VARCHAR', 'BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')
+                     OR data_type LIKE 'DECIMAL%')),
+pks(child_table, child_column) AS (VALUES {_PK_SQL}),
+declared(tbl_name, parent_column, child_table, child_column) AS (VALUES {_DECLARED_FK_SQL})
+SELECT DISTINCT * FROM (
+  SELECT c.tbl_name, c.column_name AS parent_column, p.child_table, p.child_column
+  FROM cols c JOIN pks p ON c.column_name = p.child_column WHERE c.tbl_name <> p.child_table
+  UNION ALL SELECT * FROM declared)""")
+def foreign_keys(spark, sf):
+    tables = C.load_tables(spark, sf, C.DRIVER_TABLES)
+    pks = {tb: k for tb, k in C.DRIVER_PRIMARY_KEYS.items()}
+    return C.infer_foreign_keys(C.schema_rows(spark, tables, pks), C.DRIVER_FOREIGN_KEYS)
+
+
+@key("checklist")
+def checklist(spark, sf):
+    from .checklist import generate
+    db = C.driver_database(spark, sf, ["part", "orders", "customer"])
+    return generate(db)
+
+
+@key("evaluate_checklist")
+def evaluate_checklist(spark, sf):
+    """Score a rewritten prediction (ASC and DESC swapped, >= relaxed to >) for every test of `part`."""
+    from .checklist import generate
+    from .evaluate import evaluate
+    db = C.driver_database(spark, sf, ["part"])
+    tests = generate(db)
+    swapped = F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        "query", " ASC$", " __D"), " DESC$", " ASC"), " __D$", " DESC")
+    pred = F.replace(swapped, F.lit(">="), F.lit(">"))
+    return evaluate(spark, tests.withColumn("prediction", pred), "query", "prediction")
+
+
+@key("gold_answers")
+def gold_answers(spark, sf):
+    """Run every data-derived test query of `orders` once; answers as rows."""
+    from .evaluate import answers_as_rows, gold_answers as gold
+    C.driver_database(spark, sf, ["orders"])
+    tests = value_tests(spark, sf).where(F.col("tbl_name") == "orders")
+    res, _ = gold(spark, tests, "query")
+    return res.groupBy("test_id").agg(F.count("*").alias("n_rows"))
