@@ -188,26 +188,6 @@ def sample_rows(tables: dict[str, DataFrame], n: int = 3,
     return out
 
 
-def insert_lines(df: DataFrame, table: str, n: int = 10, order: list[str] | None = None) -> DataFrame:
-    """The first ``n`` rows as ``INSERT INTO t ("c1", ...) VALUES (...);`` lines.
-
-    Strings are single-quoted (inner quotes doubled), other values as text,
-    nulls as ``None``.
-    """
-    cols = ", ".join(f'"{c}"' for c in df.columns)
-    vals = []
-    for f in df.schema.fields:
-        x = F.col(quote(f.name))
-        if f.dataType.typeName() == "string":
-            v = F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
-        else:
-            v = x.cast("string")
-        vals.append(F.coalesce(v, F.lit("None")))
-    base = df.orderBy(*[quote(c) for c in order]) if order else df
-    return base.limit(n).select(F.format_string(f"INSERT INTO {table} ({cols}) VALUES (%s);",
-                                                F.concat_ws(", ", *vals)).alias("line"))
-
-
 def prompt_table(tests: DataFrame, schemas: DataFrame, samples: DataFrame, template: str,
                  question_col: str = "question") -> DataFrame:
     """Tests joined with their table's schema text and sample rows; ``prompt`` filled in.

@@ -613,3 +613,39 @@ def gold_answers(spark, sf):
     tests = value_tests(spark, sf).where(F.col("tbl_name") == "orders")
     res, _ = gold(spark, tests, "query")
     return res.groupBy("test_id").agg(F.count("*").alias("n_rows"))
+
+
+# ------------------------------------------------------- sources and sinks
+
+from ..sources import io as IO  # noqa: E402
+
+_ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@key("insert_lines", "SELECT 'INSERT INTO orders (" + ", ".join(f'"{c}"' for c in _ORDER_COLS) + ") VALUES (' || "
+     "o_orderkey || ', ' || o_custkey || ', ''' || replace(o_orderstatus, '''', '''''') || ''', ' || o_totalprice || "
+     "', ' || o_orderdate || ', ''' || replace(o_orderpriority, '''', '''''') || ''');' AS line "
+     "FROM orders ORDER BY o_orderkey LIMIT 10")
+def insert_lines(spark, sf):
+    return IO.insert_lines(t(spark, sf, "orders"), "orders", 10, ["o_orderkey"])
+
+
+_SINGLE_PK = [(tb, k[0]) for tb, k in C.DRIVER_PRIMARY_KEYS.items() if len(k) == 1]
+
+
+@key("sub_database", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{tb}' AS tbl_name, CAST({k} AS BIGINT) AS key_value FROM {tb} ORDER BY {k} LIMIT 10)"
+    for tb, k in _SINGLE_PK))
+def sub_database(spark, sf):
+    """First 10 rows of every keyed table written as a new database, read back (keys shown)."""
+    from ..session import work_dir
+    tables = C.load_tables(spark, sf, [tb for tb, _ in _SINGLE_PK], register=False)
+    out = work_dir(spark, "subdb")
+    written = IO.sub_database(tables, out, 10, dict(C.DRIVER_PRIMARY_KEYS))
+    parts = [spark.read.parquet(p).select(F.lit(tb).alias("tbl_name"),
+                                          F.col(C.DRIVER_PRIMARY_KEYS[tb][0]).cast("bigint").alias("key_value"))
+             for tb, p in written.items()]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
