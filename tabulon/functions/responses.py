@@ -46,15 +46,31 @@ def runtime_seconds(text) -> Column:
     return F.when(v != "", v.try_cast("double"))
 
 
+def _balanced_pattern(depth: int) -> str:
+    """Regex for one ``[...]`` with brackets nested at most ``depth`` levels.
+
+    Possessive quantifiers: no backtracking, linear in the text length.
+    """
+    p = r"\[[^\[\]]*+\]"
+    for _ in range(depth - 1):
+        p = r"\[(?:[^\[\]]++|" + p + r")*+\]"
+    return p
+
+
+_BALANCED = "^(" + _balanced_pattern(8) + ")"
+
+
 def balanced_span(text) -> Column:
     """The first balanced ``[...]`` span starting at the first ``[``; null if none or unbalanced.
 
-    One left-to-right pass over the characters (``aggregate`` over
-    ``split(s, '')``), linear in the text length.
+    A regex settles spans nested up to 8 levels inside codegen; only other
+    texts (deeper, or unbalanced) take one exact left-to-right pass over
+    the characters (``aggregate`` over ``split(s, '')``).
     """
     t = _c(text)
     start = F.instr(t, "[")
     rest = F.substring(t, start, F.length(t))
+    fast = F.regexp_extract(rest, _BALANCED, 1)
     chars = F.split(rest, "")
 
     def step(acc, ch):
@@ -65,7 +81,8 @@ def balanced_span(text) -> Column:
 
     init = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
     end = F.aggregate(chars, init, step)["end"]
-    return F.when((start > 0) & (end > 0), F.substring(rest, 1, end))
+    slow = F.when(end > 0, F.substring(rest, 1, end))
+    return F.when(start > 0, F.coalesce(F.when(fast != "", fast), slow))
 
 
 def _python_literal_to_json(s: Column, tuples: bool) -> Column:
@@ -73,7 +90,10 @@ def _python_literal_to_json(s: Column, tuples: bool) -> Column:
     s = F.regexp_replace(s, r"(?<![\w'\"])True(?![\w'\"])", "true")
     s = F.regexp_replace(s, r"(?<![\w'\"])False(?![\w'\"])", "false")
     if tuples:
-        s = F.translate(s, "()", "[]")
+        # Only structural parentheses: "(" at the start or after "[" / ",",
+        # ")" before "]" / "," or at the end.
+        s = F.regexp_replace(s, r"(^\s*|[\[,]\s*)\(", "$1[")
+        s = F.regexp_replace(s, r"\)(\s*(?:[\],]|$))", "]$1")
     return s
 
 
@@ -91,10 +111,36 @@ def rows_from_text(text, span: bool = True) -> Column:
     def parse(s):
         nested = F.from_json(s, "array<array<string>>", opts)
         flat = F.from_json(s, "array<string>", opts)
-        flat_ok = F.when(F.forall(flat, lambda x: ~x.startswith("[") | x.isNull()), F.array(flat))
+        flat_ok = F.when(~F.exists(flat, lambda x: F.coalesce(x.startswith("["), F.lit(False))), F.array(flat))
         return F.coalesce(nested, flat_ok)
 
-    return F.coalesce(parse(_python_literal_to_json(src, False)), parse(_python_literal_to_json(src, True)))
+    def both(s):
+        return F.coalesce(parse(_python_literal_to_json(s, True)), parse(_python_literal_to_json(s, False)))
+
+    # Bind the span once (a one-element transform acts as a `let`), so the
+    # span is found once per row, not once per parse attempt.
+    return F.element_at(F.transform(F.array(src), both), 1)
+
+
+def parse_rows(df: DataFrame, text_col: str, out_col: str = "rows", span: bool = True) -> DataFrame:
+    """``rows_from_text`` as DataFrame steps: each intermediate (span, JSON
+    text, parse attempts) is its own column, computed once per row in
+    codegen, instead of one nested expression that repeats them."""
+    src = balanced_span(text_col) if span else F.col(text_col)
+    opts = {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"}
+    d = df.withColumn("_span", src).withColumn("_j", _python_literal_to_json(F.col("_span"), True))
+    d = d.withColumn("_n", F.from_json("_j", "array<array<string>>", opts))
+    d = d.withColumn("_jt", F.when(F.col("_n").isNull(), _python_literal_to_json(F.col("_span"), False)))
+    d = d.withColumn("_nt", F.when(F.col("_n").isNull(), F.from_json("_jt", "array<array<string>>", opts)))
+    flat = F.from_json(F.coalesce("_j", F.lit("")), "array<string>", opts)
+    flat_t = F.from_json(F.coalesce("_jt", F.lit("")), "array<string>", opts)
+
+    def only_scalars(a):
+        return F.when(~F.exists(a, lambda x: F.coalesce(x.startswith("["), F.lit(False))), F.array(a))
+
+    d = d.withColumn("_f", F.when(F.col("_n").isNull() & F.col("_nt").isNull(),
+                                  F.coalesce(only_scalars(flat), only_scalars(flat_t))))
+    return d.withColumn(out_col, F.coalesce("_n", "_nt", "_f")).drop("_span", "_j", "_n", "_jt", "_nt", "_f")
 
 
 def table_from_json(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -146,7 +192,9 @@ def crop_to_budget(entries, budget: int = 2048, floor: int = 4, max_halvings: in
         return F.struct(nm.alias("m"), stop.alias("done"))
 
     init = F.struct(F.size(e).alias("m"), F.lit(False).alias("done"))
-    m = F.aggregate(F.sequence(F.lit(1), F.lit(max_halvings)), init, step)["m"]
+    # A list of n entries needs at most log2(n) + 2 halvings.
+    steps = F.least(F.lit(max_halvings), F.ceil(F.log2(F.size(e) + 1)).cast("int") + 2)
+    m = F.aggregate(F.sequence(F.lit(1), steps), init, step)["m"]
     return F.when(e.isNotNull(), F.slice(e, 1, F.greatest(m, F.lit(0))))
 
 

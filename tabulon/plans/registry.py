@@ -495,8 +495,9 @@ def parse_rows(spark, sf):
     o = t(spark, sf, "orders")
     printed = F.concat(F.lit("result: [('"), F.col("o_orderpriority"), F.lit("', "), F.col("o_totalprice").cast("string"),
                        F.lit(", None), ('"), F.col("o_orderstatus"), F.lit("', True, 1)] Runtime: 0.25"))
-    return o.select("o_orderkey", RSP.balanced_span(printed).alias("span"),
-                    RSP.rows_from_text(printed).alias("rows"), RSP.runtime_seconds(printed).alias("runtime"))
+    out = o.select("o_orderkey", printed.alias("printed"))
+    out = RSP.parse_rows(out.withColumn("span", RSP.balanced_span("printed")), "span", "rows", span=False)
+    return out.select("o_orderkey", "span", "rows", RSP.runtime_seconds("printed").alias("runtime"))
 
 
 @key("token_crop")
