@@ -164,9 +164,17 @@ def _spearman(n: Column, d2: Column) -> Column:
 
 def compare(target: DataFrame, prediction: DataFrame, ordered: bool = False,
             names: list[str] | None = None) -> DataFrame:
-    """Metrics for one pair of results (one row). ``tuple_order`` is null unless ``ordered``."""
+    """Metrics for one pair of results (one row). ``tuple_order`` is null unless ``ordered``.
+
+    Both results are computed once and written under the checkpoint folder;
+    the metric branches read that copy (no recomputation of the two
+    queries, and a lost executor does not re-run them).
+    """
+    from ..session import work_dir
     spark = target.sparkSession
-    res = capture(target, 0, "t").unionByName(capture(prediction, 0, "p"))
+    path = work_dir(spark, "pair")
+    capture(target, 0, "t").unionByName(capture(prediction, 0, "p")).write.parquet(path)
+    res = spark.read.parquet(path)
     tests = spark.range(1).select(F.lit(0).alias("test_id"))
     m = metrics(res, tests, names)
     if "tuple_order" in m.columns and not ordered:

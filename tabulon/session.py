@@ -44,10 +44,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a local one only if unset."""
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``).
+
+    A local folder is made only for a local-mode session without one (tests,
+    the bench). On a cluster the folder must be shared storage the cluster
+    names; a missing setting is an error rather than a machine-local path.
+    """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder: intermediate tables go there")
         d = tempfile.mkdtemp(prefix="tabulon-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -313,22 +313,22 @@ def orphan_rows(child: DataFrame, parent: DataFrame, child_col: str, parent_col:
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Per classified column: class, non-null count and exact distinct count.
 
-    One aggregate job per table (all columns in one ``agg``), unioned.
+    One small aggregate per column, unioned: each reads only its own parquet
+    column (so all of them together read each column once), and each
+    distinct count is a plain two-stage aggregate. Fusing all distinct counts
+    of a table into one ``agg`` instead makes Catalyst expand every row once
+    per column before the shuffle.
     """
     parts = []
     for t, df in tables.items():
-        cols = [(f.name, classify(f.dataType)) for f in df.schema.fields]
-        cols = [(c, k) for c, k in cols if k]
-        if not cols:
-            continue
-        aggs = []
-        for c, _ in cols:
-            aggs += [F.count(quote(c)).alias(f"n_{c}"), F.count_distinct(quote(c)).alias(f"d_{c}")]
-        wide = df.agg(*aggs)
-        pairs = ", ".join(f"'{c}', '{k}', `n_{c}`, `d_{c}`" for c, k in cols)
-        parts.append(wide.selectExpr(
-            f"'{t}' AS tbl_name",
-            f"stack({len(cols)}, {pairs}) AS (column_name, column_type, n_values, n_distinct)"))
+        for f in df.schema.fields:
+            kind = classify(f.dataType)
+            if kind is None:
+                continue
+            parts.append(df.agg(F.count(quote(f.name)).alias("n_values"),
+                                F.count_distinct(quote(f.name)).alias("n_distinct"))
+                         .select(F.lit(t).alias("tbl_name"), F.lit(f.name).alias("column_name"),
+                                 F.lit(kind).alias("column_type"), "n_values", "n_distinct"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
