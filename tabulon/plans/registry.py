@@ -650,3 +650,72 @@ def sub_database(spark, sf):
     for p in parts[1:]:
         res = res.unionByName(p)
     return res
+
+
+# ------------------------------------------------- more sources and plans
+
+@key("csv_source", "SELECT o_orderpriority, count(*) AS n, round_even(sum(o_totalprice), 2) AS total "
+     "FROM orders GROUP BY o_orderpriority")
+def csv_source(spark, sf):
+    """`orders` written as a CSV file, opened as a database from CSV files, queried with SQL."""
+    from ..session import work_dir
+    from ..sources.sql import sql_frame
+    path = work_dir(spark, "csv") + "/orders_csv"
+    t(spark, sf, "orders").write.option("header", True).csv(path)
+    IO.database_from_csv(spark, [path])
+    return sql_frame(spark, "SELECT o_orderpriority, count(*) AS n, bround(sum(o_totalprice), 2) AS total "
+                            "FROM orders_csv GROUP BY o_orderpriority")
+
+
+@key("json_source", "SELECT role, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY role")
+def json_source(spark, sf):
+    """`conversations` written as JSON records with upper-case names, read back (names lower-cased)."""
+    from ..session import work_dir
+    path = work_dir(spark, "json")
+    cv = t(spark, sf, "conversations")
+    IO.write_table(cv.toDF(*[c.upper() for c in cv.columns]), path, "json")
+    back = IO.read_json_records(spark, path)
+    return back.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# Tags dropped before injecting ambiguity (fixed values of the original pipeline).
+AMBIGUITY_DROP_TAGS = ["HAVING-AGG-SUM-LS", "HAVING-AGG-AVG-LS", "DISTINCT-MULT", "WHERE-CAT-LEAST-FREQUENT",
+                       "WHERE-NOT-LEAST-FREQUENT", "WHERE-NOT-MOST-FREQUENT", "HAVING-COUNT-LS", "HAVING-COUNT-GR",
+                       "WHERE-NUM-MIN-VALUES", "WHERE-NUM-MAX-VALUES", "HAVING-AGG-AVG-GR"]
+
+
+@key("ambiguity_pipeline")
+def ambiguity_pipeline(spark, sf):
+    """End to end: checklist of part and orders -> drop tags -> inject ambiguity."""
+    from .checklist import drop_tags, generate
+    db = C.driver_database(spark, sf, ["part", "orders"], db_name="tpch")
+    tests = drop_tags(generate(db, families=["project", "select", "groupby", "orderby"]), AMBIGUITY_DROP_TAGS)
+    tests = tests.withColumn("test_id", F.xxhash64("tbl_name", "sql_tag", "query", "question"))
+    out = A.ambiguous_tests(tests, annotations(spark), 2.0)
+    return out.select("tbl_name", "sql_tag", "query", "ambiguous_question", "swapped_attribute", "ambiguous_label",
+                      "target_queries")
+
+
+@key("table_from_json")
+def table_from_json(spark, sf):
+    """Responses holding an order as a one-record JSON table, read back as records."""
+    o = t(spark, sf, "orders")
+    body = F.concat(F.lit("Table Name: orders.csv\n<json>[{'key': '"), F.col("o_orderkey").cast("string"),
+                    F.lit("', 'status': '"), F.col("o_orderstatus"), F.lit("'}]</json>"))
+    recs = RSP.table_from_json(o.select("o_orderkey", body.alias("response")), "response", "o_orderkey")
+    return recs.select("o_orderkey", "row_pos", F.col("record")["key"].alias("key"),
+                       F.col("record")["status"].alias("status"))
+
+
+@key("cost_summary", "SELECT event_type AS model, round_even(sum(value), 6) AS total_cost, "
+     "round_even(avg(value / 10), 6) AS mean_time, count(*) AS n, "
+     "round_even(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END), 6) AS mean_execution_accuracy "
+     "FROM events GROUP BY event_type")
+def cost_summary(spark, sf):
+    """Events read as model calls: type as model, value as cost, value/10 as time, value >= 50 as a pass."""
+    ev = t(spark, sf, "events").select(F.col("event_type").alias("model"), F.col("value").alias("cost"),
+                                       (F.col("value") / 10).alias("time"),
+                                       F.when(F.col("value") >= 50, 1.0).otherwise(0.0).alias("execution_accuracy"))
+    s = RSP.cost_summary(ev, ["execution_accuracy"])
+    return s.select("model", F.bround("total_cost", 6).alias("total_cost"), F.bround("mean_time", 6).alias("mean_time"),
+                    "n", F.bround("mean_execution_accuracy", 6).alias("mean_execution_accuracy"))

@@ -34,10 +34,10 @@ def database_from_csv(spark: SparkSession, paths: list[str]) -> dict[str, DataFr
 
 
 def read_json_records(spark: SparkSession, path: str, lower_names: bool = True) -> DataFrame:
-    """A JSON array of records (or JSON lines); column names lower-cased."""
-    df = spark.read.json(path, multiLine=True)
-    if df.columns == ["_corrupt_record"]:
-        df = spark.read.json(path)
+    """JSON lines, or a file holding one JSON array of records; column names lower-cased."""
+    df = spark.read.json(path)
+    if df.columns == ["_corrupt_record"]:  # a pretty-printed array: one value per file
+        df = spark.read.json(path, multiLine=True)
     return df.toDF(*[c.lower() for c in df.columns]) if lower_names else df
 
 
