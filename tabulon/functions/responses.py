@@ -8,6 +8,8 @@ table-shaped ones.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +200,34 @@ def crop_to_budget(entries, budget: int = 2048, floor: int = 4, max_halvings: in
     return F.when(e.isNotNull(), F.slice(e, 1, F.greatest(m, F.lit(0))))
 
 
+def crop_entries(df: DataFrame, entries_col: str, out_col: str, budget: int = 2048, floor: int = 4,
+                 halvings: int | None = None) -> DataFrame:
+    """``crop_to_budget`` as DataFrame steps, all in codegen.
+
+    The halving steps are unrolled as columns; a step counts the words of
+    the joined prefix (``array_join`` + ``split``) only while not yet done.
+    The number of steps is ``ceil(log2(longest list + 1)) + 2``, read with
+    one aggregate over the list sizes unless ``halvings`` is given, so the
+    generated code stays small enough to compile.
+    """
+    e = F.col(entries_col)
+    if halvings is None:
+        longest = df.agg(F.max(F.size(e))).first()[0] or 0
+        halvings = math.ceil(math.log2(longest + 1)) + 2
+
+    def tokens(m):
+        s = strip(F.array_join(F.slice(e, 1, m), " "))
+        return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"\s+")))
+
+    d = df.withColumn("_m", F.size(e)).withColumn("_done", F.lit(False))
+    for _ in range(halvings):
+        stop = F.col("_done") | (F.col("_m") <= floor) | (tokens(F.col("_m")) <= budget)
+        d = d.withColumn("_done", stop).withColumn(
+            "_m", F.when(F.col("_done"), F.col("_m")).otherwise(F.bround(F.col("_m") / 2.0, 0).cast("int")))
+    return d.withColumn(out_col, F.when(e.isNotNull(), F.slice(e, 1, F.greatest(F.col("_m"), F.lit(0))))) \
+            .drop("_m", "_done")
+
+
 def to_text_rows(rows) -> Column:
     """Every cell of ``array<array<...>>`` as text (both sides compared as strings)."""
     return F.transform(_c(rows), lambda r: F.transform(r, lambda x: x.cast("string")))

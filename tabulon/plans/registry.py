@@ -503,10 +503,9 @@ def parse_rows(spark, sf):
 @key("token_crop")
 def token_crop(spark, sf):
     """Lines of every document cropped to a 2,048-word budget by halving (whole texts)."""
-    d = t(spark, sf, "documents")
-    lines = F.split(F.col("text"), "\n")
-    return d.select("doc_id", F.size(lines).alias("n_lines"),
-                    F.size(RSP.crop_to_budget(lines, 2048, 4)).alias("kept_lines"))
+    d = t(spark, sf, "documents").select("doc_id", F.split(F.col("text"), "\n").alias("lines"))
+    kept = RSP.crop_entries(d, "lines", "kept", 2048, 4)
+    return kept.select("doc_id", F.size("lines").alias("n_lines"), F.size("kept").alias("kept_lines"))
 
 
 @key("prompt_table")

@@ -314,10 +314,10 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     """Per classified column: class, non-null count and exact distinct count.
 
     One small aggregate per column, unioned: each reads only its own parquet
-    column (so all of them together read each column once), and each
-    distinct count is a plain two-stage aggregate. Fusing all distinct counts
-    of a table into one ``agg`` instead makes Catalyst expand every row once
-    per column before the shuffle.
+    column (so together they read each column once) and each distinct count
+    is a plain two-stage aggregate. Fusing all distinct counts of a table
+    into one ``agg`` instead makes Catalyst expand every row once per column
+    before the shuffle.
     """
     parts = []
     for t, df in tables.items():
