@@ -145,3 +145,37 @@ def test_evaluate_sql_and_literals(spark):
     with pytest.raises(ValueError):
         evaluate(spark, spark.createDataFrame([("SELECT nope FROM nation", "SELECT 1")], "target string, pred string"),
                  "target", "pred")
+
+
+def test_evaluate_pair_and_timeout(spark):
+    from tabulon.plans.evaluate import evaluate_pair
+    C.driver_database(spark, SF_SMALL, ["nation"])
+    m = evaluate_pair(spark, "SELECT n_name FROM nation;", "SELECT n_name FROM nation WHERE n_nationkey < 5")
+    assert m["cell_recall"] == 0.2 and m["tuple_order"] is None
+    slow = "SELECT sum(sqrt(id)) AS s FROM range(0, 3000000000)"
+    m = evaluate_pair(spark, "SELECT 1 AS s", slow, timeout_s=1.0)
+    assert m["execution_accuracy"] == 0.0
+
+
+def test_map_db_names(spark):
+    df = spark.createDataFrame([("acronyms",), ("full",), ("other",)], "db_id string")
+    out = [r.db_id for r in A.map_db_names(df, {"acronyms": "basket_acronyms", "full": "basket_full"}).collect()]
+    assert out == ["basket_acronyms", "basket_full", "other"]
+
+
+def test_checklist_options(spark):
+    from tabulon.plans.checklist import QUESTIONS, drop_tags, generate
+    db = C.driver_database(spark, SF_SMALL, ["part", "orders", "customer"])
+    cl = generate(db, families=["project", "select", "join", "many-to-many"], column_to_include="P_TYPE",
+                  tables_to_include="part")
+    rows = cl.collect()
+    assert {r.tbl_name for r in rows} == {"part"}
+    single = [r for r in rows if r.sql_tag == "SELECT-SINGLE-COL"]
+    assert len(single) == 5 and any("`p_type`" in r.query for r in single)
+    assert "Show all the rows in the table part" in {r.question for r in rows}
+    m2m = [r for r in rows if r.sql_tag == "many-to-many"]
+    assert len(m2m) >= 1 and all(r.test_category == "many-to-many-generator" for r in m2m)
+    assert drop_tags(cl, ["WHERE-CAT"]).where("sql_tag = 'WHERE-CAT'").count() == 0
+    joins = generate(db, families=["join"], tables_to_include=["orders"]).collect()
+    assert {r.sql_tag for r in joins} == {"JOIN-PROJECT-ALL", "JOIN-PROJECT-CAT"}
+    assert QUESTIONS["JOIN-PROJECT-ALL"].format(t="orders", t2="customer", p="o_custkey") in {r.question for r in joins}
