@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.compare import ALL_METRICS
+from ..session import ensure_checkpoint_dir
 
 DEFAULT_THRESHOLD = 2.0
 
@@ -102,6 +103,10 @@ def ambiguous_tests(tests: DataFrame, ann: DataFrame, threshold: float = DEFAULT
     # Tests whose query mentions an attribute with a strong label.
     hit = contains_join(tests.select("db_id", order_col, "query"), "query", attrs, "attribute", ["db_id"])
     chosen = tests.join(hit.select("db_id", order_col).distinct(), ["db_id", order_col], "left_semi")
+    # Used three times below: written once (checkpoint folder) instead of
+    # re-running the test table's plan for each use.
+    ensure_checkpoint_dir(tests.sparkSession)
+    chosen = chosen.checkpoint(eager=True)
     # Attributes mentioned in the question, each with its strong labels.
     mentioned = contains_join(chosen.select("db_id", order_col, "question"), "question",
                               strong.select("db_id", "attribute", "attr_ordinal", "label", "label_ordinal"),
