@@ -718,3 +718,20 @@ def cost_summary(spark, sf):
     s = RSP.cost_summary(ev, ["execution_accuracy"])
     return s.select("model", F.bround("total_cost", 6).alias("total_cost"), F.bround("mean_time", 6).alias("mean_time"),
                     "n", F.bround("mean_execution_accuracy", 6).alias("mean_execution_accuracy"))
+
+
+@key("evaluate_answers")
+def evaluate_answers(spark, sf):
+    """Text answers scored against SQL targets: per order status, the target counts the
+    orders; the printed answer gives that count and the highest priority, parsed into rows."""
+    from .evaluate import evaluate
+    C.driver_database(spark, sf, ["orders"])
+    per = t(spark, sf, "orders").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.max("o_orderpriority").alias("top"))
+    tests = per.select(
+        F.concat(F.lit("SELECT count(*) AS n FROM orders WHERE o_orderstatus == '"), F.col("o_orderstatus"),
+                 F.lit("'")).alias("target"),
+        F.concat(F.lit("The answer is [["), F.col("n").cast("string"), F.lit(", '"), F.col("top"),
+                 F.lit("']] Runtime: 0.1")).alias("response"))
+    tests = tests.withColumn("prediction", RSP.rows_from_text("response"))
+    return evaluate(spark, tests.drop("response"), "target", "prediction")
