@@ -35,9 +35,27 @@ def clean_sql(text: str) -> str:
     return text.replace(";", "")
 
 
-def sql_frame(spark: SparkSession, text: str) -> DataFrame:
-    """Analyse ``text`` as a query; raises a Spark SQL error if it is not one."""
-    return spark.sql(f"SELECT * FROM (\n{clean_sql(text)}\n) q")
+_DQ = "spark.sql.ansi.doubleQuotedIdentifiers"
+_DQ_LOCK = threading.Lock()
+
+
+def sql_frame(spark: SparkSession, text: str, double_quoted_identifiers: bool = False) -> DataFrame:
+    """Analyse ``text`` as a query; raises a Spark SQL error if it is not one.
+
+    ``double_quoted_identifiers`` reads ``"name"`` as a column name (and so
+    forbids ``"text"`` literals); the setting applies while the text is
+    analysed only.
+    """
+    wrapped = f"SELECT * FROM (\n{clean_sql(text)}\n) q"
+    if not double_quoted_identifiers:
+        return spark.sql(wrapped)
+    with _DQ_LOCK:
+        old = spark.conf.get(_DQ, "false")
+        spark.conf.set(_DQ, "true")
+        try:
+            return spark.sql(wrapped)
+        finally:
+            spark.conf.set(_DQ, old)
 
 
 def run_query(spark: SparkSession, text: str, timeout_s: float = DEFAULT_TIMEOUT_S,

@@ -88,3 +88,11 @@ def test_cost_summary(spark):
                                "model string, cost double, time double, execution_accuracy double")
     got = {r.model: r for r in R.cost_summary(df, ["execution_accuracy"]).collect()}
     assert got["m1"].total_cost == 0.75 and got["m1"].mean_time == 3.0 and got["m1"].mean_execution_accuracy == 0.5
+
+
+def test_double_quoted_identifiers(spark):
+    from tabulon.sources.sql import sql_frame
+    C.driver_database(spark, SF_SMALL, ["nation"])
+    df = sql_frame(spark, 'SELECT "n_name" FROM nation WHERE "n_nationkey" = 3', double_quoted_identifiers=True)
+    assert [r[0] for r in df.collect()] == ["NATION_3"]
+    assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == "false"
