@@ -12,7 +12,7 @@ test in one task:
 * order      -> group by (test_id, raw cells): first position per side,
                 then dense ranks along a range-partitioned global sort
                 (:mod:`tabulon.operators.ranking`)
-* sizes      -> group by test_id (partial aggregation)
+* sizes      -> summed from the rows aggregate
 
 The per-test results (one row per test) are joined to the tests table,
 which also supplies tests whose two results are both empty.
@@ -92,9 +92,17 @@ def metrics(res: DataFrame, tests: DataFrame, names: list[str] | None = None) ->
     """
     names = list(names or ALL_METRICS)
     tid = tests.select("test_id").distinct()
-    sizes = res.groupBy("test_id").agg(F.count_if(F.col("side") == "t").alias("n_t"),
-                                       F.count_if(F.col("side") == "p").alias("n_p"))
-    out = tid.join(sizes, "test_id", "left").na.fill(0, ["n_t", "n_p"])
+    # One aggregate by (test, canonical row) gives the multiplicities on both
+    # sides; the row counts per test and the set comparisons derive from it.
+    per_row = (res.groupBy("test_id", F.array_sort("cells").alias("canon"))
+               .agg(F.count_if(F.col("side") == "t").alias("a"),
+                    F.count_if(F.col("side") == "p").alias("b")))
+    rows = per_row.groupBy("test_id").agg(
+        F.sum("a").alias("n_t"), F.sum("b").alias("n_p"),
+        F.count_if(F.col("a") > 0).alias("rows_t"),
+        F.count_if((F.col("a") > 0) & (F.col("a") == F.col("b"))).alias("rows_eq"),
+        F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("rows_xor"))
+    out = tid.join(rows, "test_id", "left").na.fill(0, ["n_t", "n_p"])
 
     if {"cell_precision", "cell_recall"} & set(names):
         per_cell = (res.select("test_id", "side", F.explode(F.array_distinct("cells")).alias("cell"))
@@ -106,16 +114,6 @@ def metrics(res: DataFrame, tests: DataFrame, names: list[str] | None = None) ->
             F.count_if("in_t").alias("dt"), F.count_if("in_p").alias("dp"))
         out = out.join(cells, "test_id", "left")
 
-    if {"tuple_constraint", "execution_accuracy"} & set(names):
-        per_row = (res.groupBy("test_id", F.array_sort("cells").alias("canon"))
-                   .agg(F.count_if(F.col("side") == "t").alias("a"),
-                        F.count_if(F.col("side") == "p").alias("b")))
-        rows = per_row.groupBy("test_id").agg(
-            F.count_if(F.col("a") > 0).alias("rows_t"),
-            F.count_if((F.col("a") > 0) & (F.col("a") == F.col("b"))).alias("rows_eq"),
-            F.count_if((F.col("a") > 0) != (F.col("b") > 0)).alias("rows_xor"))
-        out = out.join(rows, "test_id", "left")
-
     if "tuple_order" in names:
         out = out.join(_order_terms(res), "test_id", "left")
 
