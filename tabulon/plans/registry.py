@@ -240,6 +240,7 @@ def _nation_tests(spark, sf):
 
 
 def _res_sql(swap: bool) -> str:
+    """`res` and `tests` from customer, then the metric CTEs (ending in `m`)."""
     seg = "'2:' || c_mktsegment"
     band = "'1:' || CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR)"
     pcells = f"[{band}, {seg}]" if swap else f"[{seg}, {band}]"
@@ -251,7 +252,12 @@ res AS (
   UNION ALL
   SELECT c_nationkey, 'p', row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey),
          {pcells} FROM customer WHERE c_acctbal >= 0),
-tests AS (SELECT n_nationkey AS test_id FROM nation),
+tests AS (SELECT n_nationkey AS test_id FROM nation),""" + _METRIC_CTES
+
+
+# The metric definitions over `res(test_id, side, pos, cells)` and
+# `tests(test_id)` as SQL CTEs, ending in `m` (one row per test).
+_METRIC_CTES = """
 sizes AS (SELECT test_id, count_if(side = 't') AS n_t, count_if(side = 'p') AS n_p FROM res GROUP BY test_id),
 per_cell AS (SELECT test_id, cell, bool_or(side = 't') AS in_t, bool_or(side = 'p') AS in_p
              FROM (SELECT test_id, side, unnest(list_distinct(cells)) AS cell FROM res) GROUP BY test_id, cell),
@@ -367,7 +373,7 @@ def value_tests(spark, sf) -> DataFrame:
     for tbl, col in _AMB_COLS:
         v = F.col(col)
         lit_v = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
-        parts.append(t(spark, sf, tbl).select(v).distinct().select(
+        parts.append(t(spark, sf, tbl).select(v).where(v.isNotNull()).distinct().select(
             F.lit("tpch").alias("db_id"), F.lit(tbl).alias("tbl_name"),
             F.concat(F.lit(f"SELECT * FROM `{tbl}` WHERE `{col}` == "), lit_v).alias("query"),
             F.concat(F.lit(f"Show the data of the table {tbl} where {col} is equal to "), v).alias("question")))
@@ -396,7 +402,7 @@ def _value_tests_sql() -> str:
         parts.append(f"SELECT 'tpch' AS db_id, '{tbl}' AS tbl_name, "
                      f"'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' AS query, "
                      f"'Show the data of the table {tbl} where {col} is equal to ' || {col} AS question "
-                     f"FROM (SELECT DISTINCT {col} FROM {tbl})")
+                     f"FROM (SELECT DISTINCT {col} FROM {tbl} WHERE {col} IS NOT NULL)")
     return " UNION ALL ".join(parts)
 
 
@@ -489,7 +495,13 @@ def parse_answers(spark, sf):
                     F.length(RSP.unescape_newlines("response")).cast("bigint").alias("unescaped_length"))
 
 
-@key("parse_rows")
+_PRICE = "CAST(o_totalprice AS VARCHAR)"
+
+
+@key("parse_rows", "SELECT o_orderkey, "
+     f"'[(''' || o_orderpriority || ''', ' || {_PRICE} || ', None), (''' || o_orderstatus || ''', True, 1)]' AS span, "
+     f"""'[["' || o_orderpriority || '","' || {_PRICE} || '",null],["' || o_orderstatus || '","true","1"]]' """
+     "AS rows_json, 0.25::DOUBLE AS runtime FROM orders")
 def parse_rows(spark, sf):
     """Tool output printing a result as a Python list, parsed back to rows (orders as the result)."""
     o = t(spark, sf, "orders")
@@ -497,10 +509,23 @@ def parse_rows(spark, sf):
                        F.lit(", None), ('"), F.col("o_orderstatus"), F.lit("', True, 1)] Runtime: 0.25"))
     out = o.select("o_orderkey", printed.alias("printed"))
     out = RSP.parse_rows(out.withColumn("span", RSP.balanced_span("printed")), "span", "rows", span=False)
-    return out.select("o_orderkey", "span", "rows", RSP.runtime_seconds("printed").alias("runtime"))
+    return out.select("o_orderkey", "span", F.to_json("rows").alias("rows_json"),
+                      RSP.runtime_seconds("printed").alias("runtime"))
 
 
-@key("token_crop")
+_PREFIX = r"regexp_replace(array_to_string(lines[1:m], ' '), '^\s+|\s+$', '', 'g')"
+_PREFIX_WORDS = rf"(CASE WHEN {_PREFIX} = '' THEN 0 ELSE len(regexp_split_to_array({_PREFIX}, '\s+')) END)"
+
+
+@key("token_crop", f"""
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+chain(doc_id, lines, m, done) AS (
+  SELECT doc_id, lines, len(lines), false FROM d
+  UNION ALL
+  SELECT doc_id, lines, CASE WHEN stop THEN m ELSE CAST(round_even(m / 2.0, 0) AS INTEGER) END, stop
+  FROM (SELECT doc_id, lines, m, (m <= 4 OR {_PREFIX_WORDS} <= 2048) AS stop FROM chain WHERE NOT done))
+SELECT doc_id, CAST(max(len(lines)) AS INTEGER) AS n_lines, CAST(min(m) AS INTEGER) AS kept_lines
+FROM chain GROUP BY doc_id""")
 def token_crop(spark, sf):
     """Lines of every document cropped to a 2,048-word budget by halving (whole texts)."""
     d = t(spark, sf, "documents").select("doc_id", F.split(F.col("text"), "\n").alias("lines"))
@@ -605,14 +630,26 @@ def evaluate_checklist(spark, sf):
     return evaluate(spark, tests.withColumn("prediction", pred), "query", "prediction")
 
 
-@key("gold_answers")
+def _gold_sql() -> str:
+    parts = []
+    for tbl, col in _AMB_COLS:
+        if tbl != "orders":
+            continue
+        parts.append(f"SELECT 'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' "
+                     f"AS query, count(*) AS n_rows FROM {tbl} WHERE {col} IS NOT NULL GROUP BY {col}")
+    return " UNION ALL ".join(parts)
+
+
+@key("gold_answers", _gold_sql())
 def gold_answers(spark, sf):
-    """Run every data-derived test query of `orders` once; answers as rows."""
-    from .evaluate import answers_as_rows, gold_answers as gold
+    """Run every data-derived test query of `orders` once; rows per answer."""
+    from .evaluate import gold_answers as gold, with_test_ids
     C.driver_database(spark, sf, ["orders"])
-    tests = value_tests(spark, sf).where(F.col("tbl_name") == "orders")
+    tests = with_test_ids(value_tests(spark, sf).where(F.col("tbl_name") == "orders"))
     res, _ = gold(spark, tests, "query")
-    return res.groupBy("test_id").agg(F.count("*").alias("n_rows"))
+    counts = res.groupBy("test_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return (tests.join(counts, "test_id", "left")
+                 .select("query", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))
 
 
 # ------------------------------------------------------- sources and sinks
@@ -695,7 +732,8 @@ def ambiguity_pipeline(spark, sf):
                       "target_queries")
 
 
-@key("table_from_json")
+@key("table_from_json", "SELECT o_orderkey, 0 AS row_pos, CAST(o_orderkey AS VARCHAR) AS key, "
+     "o_orderstatus AS status FROM orders")
 def table_from_json(spark, sf):
     """Responses holding an order as a one-record JSON table, read back as records."""
     o = t(spark, sf, "orders")
@@ -720,7 +758,17 @@ def cost_summary(spark, sf):
                     "n", F.bround("mean_execution_accuracy", 6).alias("mean_execution_accuracy"))
 
 
-@key("evaluate_answers")
+_ANSWER_METRICS = ["cell_precision", "cell_recall", "tuple_cardinality", "tuple_constraint", "execution_accuracy"]
+
+
+@key("evaluate_answers", "WITH per AS (SELECT o_orderstatus AS test_id, count(*) AS n, max(o_orderpriority) AS top "
+     "FROM orders GROUP BY o_orderstatus), "
+     "res AS (SELECT test_id, 't' AS side, 1 AS pos, ['1:' || n] AS cells FROM per "
+     "UNION ALL SELECT test_id, 'p', 1, ['1:' || n, '2:' || top] FROM per), "
+     "tests AS (SELECT test_id FROM per)," + _METRIC_CTES
+     + " SELECT 'SELECT count(*) AS n FROM orders WHERE o_orderstatus == ''' || test_id || '''' AS target, "
+     + ", ".join(f"{_METRIC_SQL[m]} AS {m}" for m in _ANSWER_METRICS)
+     + ", NULL::DOUBLE AS tuple_order FROM m")
 def evaluate_answers(spark, sf):
     """Text answers scored against SQL targets: per order status, the target counts the
     orders; the printed answer gives that count and the highest priority, parsed into rows."""
@@ -734,4 +782,5 @@ def evaluate_answers(spark, sf):
         F.concat(F.lit("The answer is [["), F.col("n").cast("string"), F.lit(", '"), F.col("top"),
                  F.lit("']] Runtime: 0.1")).alias("response"))
     tests = tests.withColumn("prediction", RSP.rows_from_text("response"))
-    return evaluate(spark, tests.drop("response"), "target", "prediction")
+    scored = evaluate(spark, tests.drop("response"), "target", "prediction")
+    return scored.select("target", *_ANSWER_METRICS, "tuple_order")
