@@ -179,3 +179,18 @@ def test_checklist_options(spark):
     joins = generate(db, families=["join"], tables_to_include=["orders"]).collect()
     assert {r.sql_tag for r in joins} == {"JOIN-PROJECT-ALL", "JOIN-PROJECT-CAT"}
     assert QUESTIONS["JOIN-PROJECT-ALL"].format(t="orders", t2="customer", p="o_custkey") in {r.question for r in joins}
+
+
+def test_checklist_add_col_and_null_families(spark):
+    from tabulon.plans.checklist import generate
+    db = C.driver_database(spark, SF_SMALL, ["part"])
+    rows = generate(db, families=["project", "null"], add_col=True, drop_empty=False).collect()
+    add = sorted(r.query for r in rows if r.sql_tag == "SELECT-ADD-COL")
+    # part has 6 classified columns: prefixes of length 1..4 in schema order
+    assert add[0] == "SELECT `p_partkey` FROM `part`" and len(add) == 4
+    assert "SELECT `p_partkey`, `p_name`, `p_brand`, `p_type` FROM `part`" in add
+    nulls = [r for r in rows if r.sql_tag == "NOT-NULL-COUNT"]
+    assert len(nulls) == 12 and all(r.test_category == "NULL" for r in nulls)
+    assert "Count the rows where the values of p_size are not missing in table part" in {r.question for r in nulls}
+    rand = [r for r in rows if r.sql_tag == "SELECT-RANDOM-COL"]
+    assert sorted(r.query.count("`") // 2 - 1 for r in rand) == [1, 2, 3, 4, 5]
