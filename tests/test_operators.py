@@ -194,3 +194,14 @@ def test_checklist_add_col_and_null_families(spark):
     assert "Count the rows where the values of p_size are not missing in table part" in {r.question for r in nulls}
     rand = [r for r in rows if r.sql_tag == "SELECT-RANDOM-COL"]
     assert sorted(r.query.count("`") // 2 - 1 for r in rand) == [1, 2, 3, 4, 5]
+
+
+def test_evaluate_across_databases(spark):
+    tests = spark.createDataFrame([
+        ("SELECT count(*) AS n FROM lineitem", "SELECT count(*) AS n FROM lineitem", "/root/testdata/sf0.001", "x"),
+        ("SELECT count(*) AS n FROM lineitem", "SELECT count(*) AS n FROM orders", "/root/testdata/sf0.01", "y"),
+    ], "target string, prediction string, db_path string, note string")
+    tests = tests.withColumn("prediction", F.concat(F.col("prediction"), F.lit(" ")))
+    got = {r.note: r for r in evaluate(spark, tests, "target", "prediction", db_path_col="db_path").collect()}
+    assert got["x"].execution_accuracy == 1.0
+    assert got["y"].execution_accuracy == 0.0
