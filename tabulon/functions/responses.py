@@ -244,19 +244,40 @@ def schema_text(catalog: DataFrame) -> DataFrame:
                                                 F.array_join(F.col("_c.c"), ", "), F.lit(")")).alias("db_schema")))
 
 
+def record_text(df: DataFrame) -> Column:
+    """A row as a Python-style record: ``{'col': 'text', 'n': 1, 'x': None}``.
+
+    Strings are single-quoted (inner quotes escaped), booleans ``True/False``,
+    nulls ``None``, other values as their text.
+    """
+    items = []
+    for f in df.schema.fields:
+        x = F.col(quote(f.name))
+        name = f.name.replace("'", "\\'")
+        if f.dataType.typeName() == "string":
+            v = F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        elif f.dataType.typeName() == "boolean":
+            v = F.when(x, F.lit("True")).otherwise(F.lit("False"))
+        else:
+            v = x.cast("string")
+        items.append(F.concat(F.lit(f"'{name}': "), F.coalesce(v, F.lit("None"))))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}"))
+
+
 def sample_rows(tables: dict[str, DataFrame], n: int = 3,
                 primary_keys: dict[str, list[str]] | None = None) -> DataFrame:
-    """(tbl_name, entries array<string>): the first ``n`` rows of each table as JSON records.
+    """(tbl_name, entries array<string>): the first ``n`` rows of each table as records.
 
     First by primary key when declared (one ``TakeOrderedAndProject`` per
-    table), else by an md5 of the row.
+    table), else by an md5 of the row. Records are Python-style text
+    (:func:`record_text`), as sample rows appear in prompts.
     """
     parts = []
     for t, df in tables.items():
         pk = (primary_keys or {}).get(t)
         key = [F.col(quote(c)) for c in pk] if pk else [F.md5(F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns])))]
         first = df.select(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("_o"),
-                          F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns])).alias("rec")) \
+                          record_text(df).alias("rec")) \
                   .orderBy("_o").limit(n)
         parts.append(first.groupBy().agg(F.sort_array(F.collect_list(F.struct("_o", "rec"))).alias("_r"))
                      .select(F.lit(t).alias("tbl_name"), F.col("_r.rec").alias("entries")))

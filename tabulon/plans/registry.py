@@ -784,3 +784,39 @@ def evaluate_answers(spark, sf):
     tests = tests.withColumn("prediction", RSP.rows_from_text("response"))
     scored = evaluate(spark, tests.drop("response"), "target", "prediction")
     return scored.select("target", *_ANSWER_METRICS, "tuple_order")
+
+
+# Columns of the two prompt tables, for the oracle's record text ("str" is quoted).
+_PROMPT_COLS = {
+    "part": [("p_partkey", "num"), ("p_name", "str"), ("p_brand", "str"), ("p_type", "str"), ("p_size", "num"),
+             ("p_retailprice", "num")],
+    "orders": [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"), ("o_totalprice", "num"),
+               ("o_orderdate", "num"), ("o_orderpriority", "str")],
+}
+
+
+def _record_sql(cols) -> str:
+    items = []
+    for c, kind in cols:
+        v = f"'''' || replace({c}, '''', '\\''') || ''''" if kind == "str" else f"CAST({c} AS VARCHAR)"
+        items.append(f"'''{c}'': ' || coalesce({v}, 'None')")
+    return "'{' || " + " || ', ' || ".join(items) + " || '}'"
+
+
+def _prompt_sql() -> str:
+    samp = " UNION ALL ".join(
+        f"SELECT '{tb}' AS tbl_name, '[' || string_agg(rec, ', ' ORDER BY k) || ']' AS entries FROM "
+        f"(SELECT {cols[0][0]} AS k, {_record_sql(cols)} AS rec FROM {tb} ORDER BY {cols[0][0]} LIMIT 3)"
+        for tb, cols in _PROMPT_COLS.items())
+    sch = " UNION ALL ".join(
+        f"SELECT '{tb}' AS tbl_name, 'Table {tb}(" + ", ".join(f"{c} {k}" for c, k in _SCHEMAS[tb]) + ")' AS db_schema"
+        for tb in _PROMPT_COLS)
+    template = RSP.PROMPTS["text2sql"].replace("'", "''")
+    return (f"WITH samp AS ({samp}), sch AS ({sch}), tests AS ({_value_tests_sql()}) "
+            f"SELECT t.tbl_name, t.query, replace(replace('{template}', '{{db_schema}}', sch.db_schema), "
+            f"'{{question}}', t.question) || ' Some instances: ' || samp.entries AS prompt "
+            f"FROM tests t JOIN sch ON sch.tbl_name = t.tbl_name JOIN samp ON samp.tbl_name = t.tbl_name")
+
+
+# Registered here: the oracle needs the schema table defined above.
+ORACLE_SQL["prompt_table"] = _prompt_sql()
