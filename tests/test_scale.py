@@ -51,3 +51,27 @@ def test_substring_match_is_an_equi_join(spark):
     plan = _plan(j)
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert [(r.test_id, r.attribute) for r in j.collect()] == [("q1", "price")]
+
+
+def test_join_broadcasts_only_under_the_size_threshold(spark):
+    from .conftest import SF_SMALL
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    customer = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    j = S.join_fk(orders, customer, "o_custkey", "c_custkey")
+    assert "BroadcastHashJoin" in _plan(j)  # small side, under the threshold
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        j2 = S.join_fk(orders, customer, "o_custkey", "c_custkey")
+        j2.write.format("noop").mode("overwrite").save()
+        final = j2._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in final and "BroadcastHashJoin" not in final
+        assert j2.count() == j.count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
