@@ -127,3 +127,24 @@ def test_efficiency(spark):
     mu, sd = statistics.fmean(p), statistics.pstdev(p)
     kept = [x for x in p if mu - 3 * sd <= x <= mu + 3 * sd]
     assert r.valid_efficiency_score == pytest.approx((4.0 / statistics.fmean(kept)) ** 0.5)
+
+
+def test_cell_key_edge_cases(spark):
+    from decimal import Decimal
+
+    from tabulon.functions.cells import cell_key, text_cell_key
+    row = spark.createDataFrame(
+        [(2**53 + 1, float(2**53 + 1), Decimal("1.50"), 1.5, -0.0, 0.0, True, 1, "1", None)],
+        "big bigint, bigd double, dec decimal(10,2), dbl double, negz double, posz double, "
+        "flag boolean, one int, txt string, nothing string")
+    keys = row.select(*[cell_key(F.col(f.name), f.dataType).alias(f.name) for f in row.schema.fields]).first()
+    # Python: 2**53 + 1 != float(2**53 + 1); Decimal('1.50') == 1.5; -0.0 == 0.0; True == 1; '1' != 1
+    assert keys.big != keys.bigd
+    assert keys.dec == keys.dbl
+    assert keys.negz == keys.posz
+    assert keys.flag == keys.one
+    assert keys.txt != keys.one
+    assert keys.nothing == "0"
+    lit = spark.createDataFrame([("1.0",), ("True",), ("None",), ("abc",)], "s string") \
+        .select(text_cell_key(F.col("s")).alias("k")).collect()
+    assert [r.k for r in lit] == [keys.one, keys.one, "0", "2:abc"]
