@@ -146,17 +146,23 @@ def _order_terms(res: DataFrame) -> DataFrame:
              .select("test_id", "ft", "fp"))
     ranked = group_positions(first, ["test_id"], [F.col("ft")], "rt")
     ranked = group_positions(ranked, ["test_id"], [F.col("fp")], "rp")
+    diff = F.col("rt") - F.col("rp")
+    # Exact at any size: a bigint square, summed as decimal(38,0) (a bigint
+    # sum would overflow beyond about three million common rows).
     return ranked.groupBy("test_id").agg(
         F.count(F.lit(1)).alias("n_common"),
-        F.sum(F.pow(F.col("rt") - F.col("rp"), 2).cast("bigint")).alias("d2"))
+        F.sum((diff * diff).cast("decimal(38,0)")).alias("d2"))
 
 
 def _spearman(n: Column, d2: Column) -> Column:
+    """1 - 6·d2 / (n(n²-1)) with exact integer numerator and denominator
+    (decimal), divided in double: the same value as Python's exact-integer
+    division while both fit in 2**53, and no overflow beyond."""
     n = F.coalesce(n, F.lit(0))
-    neff = F.when(n == 1, F.lit(2)).otherwise(n).cast("bigint")
-    rho = F.when(n == 0, F.lit(0.0)).otherwise(
-        F.lit(1.0) - (F.lit(6) * F.coalesce(d2, F.lit(0))).cast("double")
-        / (neff * (neff * neff - 1)).cast("double"))
+    neff = F.when(n == 1, F.lit(2)).otherwise(n).cast("decimal(38,0)")
+    num = (F.coalesce(d2, F.lit(0).cast("decimal(38,0)")) * F.lit(6)).cast("double")
+    den = (neff * (neff * neff - F.lit(1))).cast("double")
+    rho = F.when(n == 0, F.lit(0.0)).otherwise(F.lit(1.0) - num / den)
     return (F.bround(rho, 3) + F.lit(1.0)) / F.lit(2.0)
 
 

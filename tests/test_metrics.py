@@ -148,3 +148,14 @@ def test_cell_key_edge_cases(spark):
     lit = spark.createDataFrame([("1.0",), ("True",), ("None",), ("abc",)], "s string") \
         .select(text_cell_key(F.col("s")).alias("k")).collect()
     assert [r.k for r in lit] == [keys.one, keys.one, "0", "2:abc"]
+
+
+def test_spearman_large_tests_do_not_overflow(spark):
+    from decimal import Decimal
+
+    from tabulon.operators.compare import _spearman
+    for n, d2 in [(10_000_000, 2 * 10**20), (3_000_000, 9 * 10**18), (5, 6)]:
+        df = spark.createDataFrame([(n, Decimal(d2))], "n bigint, d2 decimal(38,0)")
+        got = df.select(_spearman(F.col("n"), F.col("d2"))).first()[0]
+        rho = 1 - 6 * d2 / (n * (n * n - 1))
+        assert got == (round(rho, 3) + 1) / 2
