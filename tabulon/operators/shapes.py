@@ -30,6 +30,17 @@ def c(name: str) -> Column:
     return F.col(quote(name))
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def agg_expr(df: DataFrame, fn: str, col: str) -> Column:
+    """``fn(col)``; a SUM over an integer column is taken as ``decimal(38,0)``,
+    exact where a bigint sum would overflow on very large tables."""
+    if fn == "sum" and dict(df.dtypes).get(col) in _INTEGRAL:
+        return F.sum(c(col).cast("decimal(38,0)"))
+    return _AGG[fn](c(col))
+
+
 def is_id_column(name: str) -> bool:
     """The checklist's "id" rule: any name containing ``id`` (case-insensitive)."""
     return "id" in name.lower()
@@ -108,7 +119,7 @@ def count_distinct(df: DataFrame, cols: list[str] | str) -> DataFrame:
 def global_agg(df: DataFrame, cols: list[str] | str, fns=("max", "min", "avg")) -> DataFrame:
     """One row, ``<fn>_<c>`` for every function and column, one scan."""
     cols = [cols] if isinstance(cols, str) else cols
-    return df.agg(*[_AGG[f](c(x)).alias(f"{f}_{x}") for x in cols for f in fns])
+    return df.agg(*[agg_expr(df, f, x).alias(f"{f}_{x}") for x in cols for f in fns])
 
 
 def group_count(df: DataFrame, col: str) -> DataFrame:
@@ -120,7 +131,7 @@ def group_agg(df: DataFrame, by: str, cols: list[str] | str,
               fns=("min", "max", "avg", "sum")) -> DataFrame:
     """``SELECT by, FN(col) GROUP BY by`` for all functions/columns at once."""
     cols = [cols] if isinstance(cols, str) else cols
-    return df.groupBy(c(by)).agg(*[_AGG[f](c(x)).alias(f"{f}_{x}") for x in cols for f in fns])
+    return df.groupBy(c(by)).agg(*[agg_expr(df, f, x).alias(f"{f}_{x}") for x in cols for f in fns])
 
 
 def average_group_size(df: DataFrame, col: str) -> DataFrame:
@@ -131,8 +142,9 @@ def average_group_size(df: DataFrame, col: str) -> DataFrame:
 
 def average_group_sum_avg(df: DataFrame, by: str, col: str) -> DataFrame:
     """One row: mean over groups of SUM(col) and of AVG(col), each rounded to 2 places."""
-    g = df.groupBy(c(by)).agg(F.sum(c(col)).alias("s"), F.avg(c(col)).alias("a"))
-    return g.agg(F.bround(F.avg("s"), 2).alias("mean_sum"), F.bround(F.avg("a"), 2).alias("mean_avg"))
+    g = df.groupBy(c(by)).agg(agg_expr(df, "sum", col).alias("s"), F.avg(c(col)).alias("a"))
+    return g.agg(F.bround(F.avg(F.col("s").cast("double")), 2).alias("mean_sum"),
+                 F.bround(F.avg("a"), 2).alias("mean_avg"))
 
 
 def having_count(df: DataFrame, col: str, op: str, threshold: int | None = None) -> DataFrame:
@@ -147,8 +159,8 @@ def having_count(df: DataFrame, col: str, op: str, threshold: int | None = None)
 
 def having_agg(df: DataFrame, by: str, col: str, fn: str, op: str, value=None) -> DataFrame:
     """Groups whose ``fn(col)`` (avg or sum) is ``op`` the value (default: rounded mean over groups)."""
-    g = df.groupBy(c(by)).agg(_AGG[fn](c(col)).alias("_v"))
-    v = F.bround(g.agg(F.avg("_v")).scalar(), 2) if value is None else F.lit(value)
+    g = df.groupBy(c(by)).agg(agg_expr(df, fn, col).alias("_v"))
+    v = F.bround(g.agg(F.avg(F.col("_v").cast("double"))).scalar(), 2) if value is None else F.lit(value)
     return g.where(_CMP[op](F.col("_v"), v)).select(c(by))
 
 
