@@ -10,11 +10,12 @@ unless it is most of a document. Within a tile only nodes of one size band
 (sizes within a factor 0.8) are compared; xor counts of parity bitmaps bound
 their overlap from above, and what passes is verified on the sorted arrays.
 
-Tiles are searched twice. First every node meets the smallest node of its
-tiles; the verified links already join most groups. Then all pairs of nodes
-that are still in different groups are compared, so that no link between
-groups is missed, and a group of very many near copies costs a number of
-comparisons in proportion to its size, not its square. Tiles of many rows are
+Tiles are searched in rounds. First every node meets the smallest node of its
+tiles; then, twice, the node of another group that its bitmap is nearest to;
+the verified links join most groups by then. At last all pairs of nodes that
+are still in different groups are tested, so that no link between groups is
+missed, while a group of very many near copies gives a number of pairs in
+proportion to its size, not its square. Tiles of many rows are
 cut into blocks, and pairs of blocks go to different tasks.
 
 Defined cases: null text is empty text; an empty set links with nothing and
@@ -219,16 +220,19 @@ class _Bits:
             out[sel] = block
         return out
 
-    def may_link(self, i, j, n):
-        """Pairs whose overlap, bounded from above by bit counts, can reach 0.8 of the union."""
-        width, ok = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), bool)
+    def differ(self, i, j):
+        """Bits that differ between the bitmaps of rows i and j: at most the elements in which the sets differ."""
+        width, out = np.minimum(self.width[i], self.width[j]), np.zeros(len(i), np.int64)
         for w in np.unique(width):
             sel = np.flatnonzero(width == w)
             for k in range(0, len(sel), max(1, (1 << 20) // int(w))):
                 s = sel[k:k + max(1, (1 << 20) // int(w))]
-                differ = np.bitwise_count(self.take(i[s], w) ^ self.take(j[s], w)).sum(1, dtype=np.int64)
-                ok[s] = 9 * differ <= n[i[s]] + n[j[s]]
-        return ok
+                out[s] = np.bitwise_count(self.take(i[s], w) ^ self.take(j[s], w)).sum(1, dtype=np.int64)
+        return out
+
+    def may_link(self, i, j, n):
+        """Pairs whose overlap, bounded from above by bit counts, can reach 0.8 of the union."""
+        return 9 * self.differ(i, j) <= n[i] + n[j]
 
 
 def _pairs_of_groups(sizes):
@@ -249,47 +253,66 @@ def _pairs_of_groups(sizes):
 _PAIR = "a long, b long"
 
 
-def _compare_tiles(batches):
-    """Pairs of nodes of a tile block that are in different groups, in one size band, and pass the bit bound."""
-    rest, done = None, set()
-    def search(t):
-        key = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-        first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
-        sizes = np.diff(np.r_[first, t.num_rows])
-        rep, label, n, blk = (t.column(c).to_numpy() for c in ("rep", "label", "n", "block"))
-        bits = _Bits(t.column("bits"))
-        lo, hi = key[1], key[2]
-        for i, j in _pairs_of_groups(sizes):
-            near = (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-            near &= (lo[i] == hi[i]) | (blk[i] != blk[j])
-            i, j = i[near], j[near]
-            if len(i):
-                ok = bits.may_link(i, j, n)
-                a, b = np.minimum(rep[i[ok]], rep[j[ok]]), np.maximum(rep[i[ok]], rep[j[ok]])
-                if len(a):
-                    found = np.unique(np.stack([a, b]), axis=1)
-                    if len(done) > 1_000_000:
-                        done.clear()
-                    new = [p for p in zip(*found.tolist(), strict=True) if p not in done]
-                    done.update(new)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in new], pa.int64()),
-                                                      "b": pa.array([p[1] for p in new], pa.int64())})
-    for b in batches:
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        t = t.combine_chunks()
-        last = [t.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
-        same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "lo", "hi"), last, strict=True)])
-        cut = int(np.argmax(same))
-        rest = t.slice(cut)
-        if cut:
-            yield from search(t.slice(0, cut).combine_chunks())
-    if rest is not None and rest.num_rows:
-        yield from search(rest.combine_chunks())
+def _search(t: pa.Table, nearest: bool):
+    """Pairs (a, b) of whole tile blocks that are in different groups, in one size band, and pass the bit bound."""
+    lo, hi, rep, label, n, block = (t.column(c).to_numpy() for c in ("lo", "hi", "rep", "label", "n", "block"))
+    key = np.stack([t.column("key").to_numpy(), lo, hi])
+    first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+    bits = _Bits(t.column("bits"))
+    best = np.full(t.num_rows, np.iinfo(np.int64).max)
+    mate = np.full(t.num_rows, -1)
+    for i, j in _pairs_of_groups(np.diff(np.r_[first, t.num_rows])):
+        near = (label[i] != label[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        near &= (lo[i] == hi[i]) | (block[i] != block[j])
+        i, j = i[near], j[near]
+        differ = bits.differ(i, j)
+        ok = 9 * differ <= n[i] + n[j]
+        i, j, differ = i[ok], j[ok], differ[ok]
+        if not nearest:
+            yield rep[i], rep[j]
+            continue
+        for x, y in ((i, j), (j, i)):
+            order = np.lexsort((differ, x))
+            x, y, d = x[order], y[order], differ[order]
+            head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
+            better = d[head] < best[x[head]] if len(x) else []
+            best[x[head][better]], mate[x[head][better]] = d[head][better], y[head][better]
+    if nearest:
+        has = np.flatnonzero(mate >= 0)
+        yield rep[has], rep[mate[has]]
+
+
+def _compare_tiles(nearest: bool):
+    """The pairs of tile blocks, which come sorted; a block that two batches share is held back for the next."""
+    def go(batches):
+        rest, done = None, set()
+
+        def pairs(t):
+            for x, y in _search(t.combine_chunks(), nearest):
+                found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done
+                if len(done) > 1_000_000:
+                    done.clear()
+                done.update(found)
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for b in batches:
+            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            last = [t.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
+            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "lo", "hi"), last, strict=True)])
+            cut = int(np.argmax(same))
+            rest = t.slice(cut)
+            if cut:
+                yield from pairs(t.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield from pairs(rest)
+    return go
 
 
 def _exact(batches):
     """Pairs with 100 * intersection >= 80 * union, on sorted arrays of both texts."""
-    for b in batches:
+    for b in (x.slice(k, 1000) for x in batches for k in range(0, x.num_rows, 1000)):
         sets = []
         for c in ("text_a", "text_b"):
             offsets, raw = text_buffers(b.column(c))
@@ -335,19 +358,25 @@ def _star_pairs(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bound, _PAIR), "star")
 
 
-def _cross_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of tile mates that the first search left in different groups."""
-    group = stored(nodes.select("sid", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                   .select("sid", "rep", F.coalesce("label", "rep").alias("label")), "groups")
-    placed = stored(tiles.join(group, "sid").select("key", "rep", "label").distinct(), "placed")
+def _mixed(rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, label, blocks) of the tiles that hold nodes of two groups at least; rows: (key, rep)."""
+    group = stored(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                   .select("rep", F.coalesce("label", "rep").alias("label")), "groups")
+    placed = stored(rows.join(group, "rep"), "placed")
     mixed = stored(placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
-                   .where("x != y").select("key", F.expr(f"ceil(c / {BLOCK})").cast("int").alias("blocks")), "mixed")
-    rows = (placed.join(mixed, "key").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+                   .where("x != y").select("key", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("blocks")), "mixed")
+    return stored(placed.join(mixed, "key").select("key", "rep", "label", "blocks"), "tiles-mixed")
+
+
+def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of tile mates in different groups: all that may link, or for each node the nearest by its bitmap."""
+    rows = (mixed.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label"))
     full = rows.join(nodes.select("rep", "n", "bits"), "rep")
     spread = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return stored(spread.select("key", "lo", "hi", "block", "rep", "label", "n", "bits").mapInArrow(_compare_tiles, _PAIR).distinct(), "cross")
+    return stored(spread.select("key", "lo", "hi", "block", "rep", "label", "n", "bits")
+                  .mapInArrow(_compare_tiles(nearest), _PAIR).distinct(), "cross")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
@@ -374,11 +403,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = stored(source.join(wanted, "doc_id").select("doc_id", "sid", "text").mapInArrow(_with_bits, _NODES), "nodes")
 
     links = _verify(_star_pairs(tiles, nodes), nodes)
-    first = stored(components(links), "groups")
-    more = _verify(_cross_pairs(tiles, nodes, first), nodes)
-    links = links.union(more)
-    final = first if more.isEmpty() else stored(components(links), "components")
-    return Join(sets, links, final)
+    labels = stored(components(links), "groups")
+    rows = tiles.join(nodes.select("sid", "rep"), "sid").select("key", "rep").distinct()
+    for nearest in (True, True, False):
+        mixed = _mixed(rows, nodes.select("rep"), labels)
+        more = _verify(_cross_pairs(mixed, nodes, nearest), nodes)
+        rows = mixed.select("key", "rep")
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = stored(components(links), "groups")
+    return Join(sets, links, labels)
 
 
 def _sid_column(dig: str):
