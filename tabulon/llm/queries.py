@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from tabulon.llm import warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids
+from tabulon.llm.packing import pack
 from tabulon.llm.shared import table
 
 
@@ -17,7 +21,21 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup)}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, shards = wavelet.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return wavelet.read(folder, shards)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op4_warc, op6_packing, op7_token_output)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D]+')"""
