@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tabulon.llm import warc, wavelet
+from tabulon.llm import quality, toxicity, warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids
 from tabulon.llm.packing import pack
@@ -35,7 +35,16 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read(folder, shards)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op4_warc, op6_packing, op7_token_output)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op4_warc, op6_packing, op7_token_output,
+                                   op9_toxicity, op10_quality)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D]+')"""

@@ -61,7 +61,7 @@ def build(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[bytes
         high = x[one]
         zeros.append(n - len(high))
         x = np.concatenate([x[~one], high])
-    head = json.dumps({"n": n, "docs": len(sizes), "planes": planes, "table": len(table), "zeros": zeros,
+    head = json.dumps({"n": n, "docs": len(sizes), "planes": planes, "frame": FRAME_BITS, "table": len(table), "zeros": zeros,
                        "ones": ones, "places": places}).encode()
     return [MAGIC, len(head).to_bytes(8, "little"), head, table, *frames]
 
@@ -74,7 +74,7 @@ class Shard:
         size = int.from_bytes(read_at(8, 8), "little")
         h = json.loads(read_at(16, size))
         self._read, self._base, self._kept, self._frames = read_at, 16 + size, kept, {}
-        self.n, self.docs, self.planes = h["n"], h["docs"], h["planes"]
+        self.n, self.docs, self.planes, self._bits = h["n"], h["docs"], h["planes"], h["frame"]
         self._zeros, self._ones, self._places = h["zeros"], h["ones"], h["places"]
         self._opened = ZstdDecompressor()
         self.doc_ids, self.sizes = np.frombuffer(self._opened.decompress(read_at(self._base, h["table"])), "<i8").reshape(2, -1)
@@ -92,14 +92,14 @@ class Shard:
         """Ones among the first i bits of a plane."""
         if i >= self.n:
             return self.n - self._zeros[plane]
-        k = i // FRAME_BITS
-        return self._ones[plane][k] + int(self._frame(plane, k)[:i % FRAME_BITS].sum())
+        k = i // self._bits
+        return self._ones[plane][k] + int(self._frame(plane, k)[:i % self._bits].sum())
 
     def _select(self, plane, bit, k):
         """Position of the k-th (from 0) bit of that value in a plane."""
-        before = [o if bit else f * FRAME_BITS - o for f, o in enumerate(self._ones[plane])]
+        before = [o if bit else f * self._bits - o for f, o in enumerate(self._ones[plane])]
         f = int(np.searchsorted(before, k, side="right")) - 1
-        return f * FRAME_BITS + int(np.flatnonzero(self._frame(plane, f)[:self.n - f * FRAME_BITS] == bit)[k - before[f]])
+        return f * self._bits + int(np.flatnonzero(self._frame(plane, f)[:self.n - f * self._bits] == bit)[k - before[f]])
 
     def access(self, i: int) -> int:
         """The token at position i."""
@@ -107,7 +107,7 @@ class Shard:
             raise IndexError(i)
         out = 0
         for p in range(self.planes):
-            bit = int(self._frame(p, i // FRAME_BITS)[i % FRAME_BITS])
+            bit = int(self._frame(p, i // self._bits)[i % self._bits])
             one = self._rank1(p, i)
             i = self._zeros[p] + one if bit else i - one
             out = out << 1 | bit
