@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Words that a worker keeps ids of, and their characters; beyond, it starts anew.
-WORDS, CHARS = 1_000_000, 16_000_000
+WORDS, CHARS = 700_000, 8_000_000
 
 _memo: dict = {}
 _NEAR_SPACE = re.compile(r"\s | \s")
@@ -39,17 +39,22 @@ class Memo:
         self.chars = self.used = 0
         self.flat, self.start, self.size = np.empty(1 << 20, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def ids_of(self, words):
+        """(ids per word, all ids) of new words."""
+        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+
     def _learn(self, words):
         for k in range(0, len(words), 20_000):
             part = words[k:k + 20_000]
-            got = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            n, total = len(self.at), int(sizes.sum())
+            sizes, ids = self.ids_of(part)
+            n, total = len(self.at), len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
             while n + len(part) > len(self.start):
                 self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.flat[self.used:self.used + total] = ids
             self.start[n:n + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.size[n:n + len(part)] = sizes
             self.used += total
