@@ -52,6 +52,8 @@ def suffix_array(codes: np.ndarray, depth: int):
 class Pieces(Memo):
     """A worker's model: pieces, their matching, and the ids of words seen."""
 
+    words_kept, chars_kept = 700_000, 8_000_000
+
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 

@@ -8,21 +8,34 @@ are those of its words in order. A worker keeps the ids of words it has seen
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Words that a worker keeps ids of, and their characters; beyond, it starts anew.
-WORDS, CHARS = 700_000, 8_000_000
+WORDS, CHARS = 2_000_000, 24_000_000
 
 _memo: dict = {}
-_NEAR_SPACE = re.compile(r"\s | \s")
+_SPACES = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
+def _near_spaces(text: str) -> bool:
+    """Whether white space may stand beside white space (then a text is cut at lone spaces only), or a NUL occurs."""
+    if "\0" in text:
+        return True
+    if not text.isascii():
+        return _SPACES.search(text) is not None
+    if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+        return _SPACES.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+
+
 class Memo:
     """ids of words; spaced: a word's leading space belongs to it (byte-level BPE), else white space is dropped."""
 
+    words_kept, chars_kept = WORDS, CHARS
+
     def __init__(self, path: str, spaced: bool):
         import os
 
@@ -32,6 +45,9 @@ class Memo:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self.spaced = spaced
+        # new words go to the tokenizer many at once, with a mark between them that is a word and one id of its own
+        self.mark = "\n" if spaced else "~"
+        self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids
         self.clear()
 
     def clear(self):
@@ -41,9 +57,26 @@ class Memo:
 
     def ids_of(self, words):
         """(ids per word, all ids) of new words."""
-        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return sizes, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        plain = [len(self.mark_id) == 1 and self.mark not in w and not w[-1].isspace() and not w[:2].isspace() for w in words]
+        together = [w for w, p in zip(words, plain, strict=True) if p]
+        glue = self.mark if self.spaced else f" {self.mark} "
+        parts = [glue.join(together[k:k + 2000]) for k in range(0, len(together), 2000)]
+        sizes, flat = [], []
+        for e in self.tok.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id[0])
+            sizes.append(np.diff(np.r_[-1, at, len(ids)]) - 1)
+            flat.append(np.delete(ids, at))
+        if len(together) == len(words):
+            return np.concatenate(sizes), np.concatenate(flat)
+        alone = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(
+            [w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
+        n = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        flat = np.concatenate([*flat, np.zeros(0, np.uint32)])
+        lists = iter(np.split(flat, np.cumsum(n)[:-1]) if len(n) else ())
+        rest = iter(alone)
+        each = [next(lists) if p else next(rest) for p in plain]
+        return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
 
     def _learn(self, words):
         for k in range(0, len(words), 20_000):
@@ -66,19 +99,22 @@ class Memo:
             for c in "\n\r\t":
                 text = text.replace(c, " ")
             return [w for w in (text.lower() if text.isascii() else text).split(" ") if w]
-        if _NEAR_SPACE.search(text):
+        if _near_spaces(text):
             return [w for w in _LONE_SPACE.split(text) if w]
-        head, *rest = text.split(" ")
-        return [*([head] if head else ()), *[" " + w for w in rest]]
+        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return words if words[0] and words[-1] else [w for w in words if w]
 
     def encode(self, texts):
         """(ids per text, all ids) of a list of texts."""
         lists = [self._words(t) for t in texts]
         words = list(chain.from_iterable(lists))
-        if len(self.at) > WORDS or self.chars > CHARS:
+        if len(self.at) > self.words_kept or self.chars > self.chars_kept:
             self.clear()
-        self._learn([w for w in set(words) if w not in self.at])
-        code = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        code = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(code < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[k] for k in new)))
+            code[new] = np.fromiter(map(self.at.__getitem__, (words[k] for k in new)), np.int64, len(new))
         size = self.size[code]
         total = np.cumsum(size)
         n = int(total[-1]) if len(total) else 0

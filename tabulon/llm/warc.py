@@ -36,8 +36,8 @@ from tabulon.llm.files import new_name, open_store, read_ranges
 from tabulon.llm.shared import stored
 from tabulon.session import work_dir
 
-#: Lines of an index block and bytes after which a task starts the next archive.
-BLOCK_LINES, ARCHIVE_BYTES = 3000, 256_000_000
+#: Lines of an index block, bytes after which a task starts the next archive, records that one task reads.
+BLOCK_LINES, ARCHIVE_BYTES, READ_LINES = 3000, 256_000_000, 50_000
 _DATE = "2024-01-01T00:00:00Z"  # pages carry no capture time
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -245,7 +245,9 @@ def read(archive: Archive, first: str | None = None, last: str | None = None, pa
         rows = rows.where(F.col("first_key") <= last)
     n = archive.spark.sparkContext.defaultParallelism
     lines = rows.repartition(n, "file", "offset").mapInArrow(_open_blocks(archive.folder, first, last), "key string, file string, offset long, length long")
-    placed = stored(lines, "lines").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    lines = stored(lines, "lines")
+    parts = max(n, lines.count() // READ_LINES + 1)
+    placed = lines.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_records(archive.folder, payloads), _FOUND)
 
 
