@@ -78,27 +78,38 @@ class Memo:
         each = [next(lists) if p else next(rest) for p in plain]
         return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
 
+    def _keep(self, words, sizes, ids):
+        n, total = len(self.at), len(ids)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used:self.used + total] = ids
+        self.start[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:n + len(words)] = sizes
+        self.used += total
+        self.at.update(zip(words, range(n, n + len(words)), strict=True))
+        self.chars += sum(map(len, words))
+
     def _learn(self, words):
-        for k in range(0, len(words), 20_000):
-            part = words[k:k + 20_000]
-            sizes, ids = self.ids_of(part)
-            n, total = len(self.at), len(ids)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(part) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used:self.used + total] = ids
-            self.start[n:n + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n:n + len(part)] = sizes
-            self.used += total
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
-            self.chars += sum(map(len, part))
+        for k in range(0, len(words), 50_000):
+            part = words[k:k + 50_000]
+            self._keep(part, *self.ids_of(part))
+
+    def _gather(self, code):
+        """(running total of sizes, ids) of words by their number."""
+        size = self.size[code]
+        total = np.cumsum(size)
+        n = int(total[-1]) if len(total) else 0
+        return total, self.flat[np.repeat(self.start[code] - (total - size), size) + np.arange(n)]
 
     def _words(self, text: str):
         if not self.spaced:
+            if text.isascii() and not any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f"):
+                return text.lower().split()
             for c in "\n\r\t":
                 text = text.replace(c, " ")
-            return [w for w in (text.lower() if text.isascii() else text).split(" ") if w]
+            return [w for w in text.split(" ") if w]
         if _near_spaces(text):
             return [w for w in _LONE_SPACE.split(text) if w]
         words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -115,10 +126,7 @@ class Memo:
         if new:
             self._learn(list(dict.fromkeys(words[k] for k in new)))
             code[new] = np.fromiter(map(self.at.__getitem__, (words[k] for k in new)), np.int64, len(new))
-        size = self.size[code]
-        total = np.cumsum(size)
-        n = int(total[-1]) if len(total) else 0
-        ids = self.flat[np.repeat(self.start[code] - (total - size), size) + np.arange(n)]
+        total, ids = self._gather(code)
         ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         upto = np.r_[0, total][ends]
         return np.diff(np.r_[0, upto]), ids

@@ -46,8 +46,8 @@ def build(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[bytes
     table = pack(np.stack([doc_ids.astype("<i8"), sizes.astype("<i8")]).tobytes())
     at = len(table)
     for b in range(planes - 1, -1, -1):
-        bit = (x >> x.dtype.type(b)) & x.dtype.type(1)
-        raw = np.packbits(bit.astype(np.uint8), bitorder="little")
+        one = (x & x.dtype.type(1 << b)).astype(bool)
+        raw = np.packbits(one, bitorder="little")
         place = []
         for k in range(0, len(raw), FRAME_BITS // 8):
             frame = pack(raw[k:k + FRAME_BITS // 8].tobytes())
@@ -55,8 +55,7 @@ def build(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[bytes
             place.append((at, len(frame)))
             at += len(frame)
         places.append(place)
-        one = bit.astype(bool)
-        full = np.add.reduceat(bit, np.arange(0, n, FRAME_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+        full = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), FRAME_BITS // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         ones.append((np.cumsum(full) - full).tolist())
         high = x[one]
         zeros.append(n - len(high))
