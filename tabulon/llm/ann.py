@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import reachable, stored
 
 #: Nodes of a shard and queries of a block, on average.
 SHARD_NODES, QUERY_BLOCK = 4096, 4096
@@ -126,6 +126,7 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    reachable(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     v = v.where("vec_id is not null and vec is not null and forall(vec, x -> x is not null and abs(x) < double('inf'))"
                 " and exists(vec, x -> x != 0)")

@@ -11,7 +11,19 @@ from tabulon.session import work_dir
 RUN_BYTES = 1_000_000
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a shared or equal path)."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in held:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -27,17 +39,12 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     """(id, text, more...) with null text read as empty; other columns of the input are ignored."""
     from pyspark.sql import functions as F
 
+    reachable(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *[F.col(c) for c in more])
 
 
-def parallel(df: DataFrame) -> DataFrame:
-    """At least as many partitions as cores for a frame that a few small files may hold."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def text_buffers(column: pa.Array):
     """(offsets int64, bytes uint8) of an Arrow string column; nulls are empty."""
     import numpy as np

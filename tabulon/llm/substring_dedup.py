@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.shared import runs, stored, text_buffers
+from tabulon.llm.shared import reachable, runs, stored, text_buffers
 from tabulon.llm.shingles import _BASE, _INVERSE, _power, mix64, words
 
 SPAN_WORDS, SPAN_SENTENCES, LONG_SENTENCE, CUT = 25, 2, 24, np.uint64(7)
@@ -173,6 +173,7 @@ def _without(data: bytes, spans) -> tuple[bytes, int]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their repeated passages cut from the text, and n_removed, the sentences cut."""
+    reachable(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where("__id is not null")
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = source.mapInArrow(_spans(BUCKETS * parts), "bucket long, kind int, rows binary").repartition(parts, "bucket")

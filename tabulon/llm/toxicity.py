@@ -3,7 +3,7 @@
 Words are compared by the subsequences of three letters that they share, with
 gaps, each weighted down by its span: an inserted or missing letter leaves
 most of them in place. The kernel of two sentences sums the cubes of the
-normalised kernels of their words. Landmarks are words of the labelled sample
+normalised kernels of their distinct words. Landmarks are words of the labelled sample
 (tellingly frequent in toxic documents, different from each other, and common
 ones); the sentences' kernels with them, whitened by the landmarks' own kernel,
 are the coordinates in which a support vector machine with squared hinge is
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,9 @@ from tabulon.llm.labelled import held_out, training_sample
 from tabulon.llm.shared import with_text
 
 #: Labelled documents of each class and sentences of a document that are learnt from, at most.
-SAMPLE, SENTENCES = 3000, 16
+SAMPLE, SENTENCES = 2500, 8
 #: Landmarks: telling words and common words.
-TELLING, COMMON = 64, 32
+TELLING, COMMON = 48, 16
 GAP, POWER, RIDGE = 0.6, 3, 1.0
 _SPANS = [(a, b) for b in range(2, 5) for a in range(1, b)]
 _MARKS = re.compile(r"[\W_]+")
@@ -112,14 +112,16 @@ class Machine:
 
 
 class Reader:
-    """Sentences of texts as codes of distinct words; values of the words come from ``of_words``."""
+    """Sentences of texts as numbers of distinct words; values of the cleaned words come from ``of_words``."""
 
     def __init__(self, of_words):
         self.of_words = of_words
         self.clear()
 
     def clear(self):
-        self.at, self.words, self.ends, self.size, self.values = {}, [], [], [], []
+        self.at, self.cleaned = {}, {}
+        self.form, self.ends = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        self.size, self.values = [np.zeros(0, np.int64)], [self.of_words([])]
 
     def read(self, texts):
         """(values of words, first word of each sentence, document of each sentence)."""
@@ -127,28 +129,36 @@ class Reader:
         if len(self.at) > WORDS:
             self.clear()
         every = list(chain.from_iterable(lists))
-        self._learn([w for w in set(every) if w not in self.at])
-        code = np.fromiter(map(self.at.__getitem__, every), np.int64, len(every))
-        values, ends, size = (np.concatenate(x) for x in (self.values, self.ends, self.size))
-        self.values, self.ends, self.size = [values], [ends], [size]
-        stop = ends[code]
-        value = values[code]
-        self._spaced_out(every, size[code], stop, value)
+        code = np.fromiter(map(self.at.get, every, repeat(-1)), np.int64, len(every))
+        new = np.flatnonzero(code < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(every[k] for k in new)))
+            code[new] = np.fromiter(map(self.at.__getitem__, (every[k] for k in new)), np.int64, len(new))
+        for name in ("form", "ends", "size", "values"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        form, stop = self.form[0][code], self.ends[0][code]
+        value = self.values[0][form]
+        self._spaced_out(every, self.size[0][form], value)
         first = np.flatnonzero(np.r_[True, stop[:-1]])
+        sentence = np.cumsum(np.r_[0, stop[:-1]])
+        own = np.unique(sentence * np.int64(len(self.cleaned) + 1) + form, return_index=True)[1]
+        again = np.ones(len(form), bool)
+        again[own] = False
+        value[again] = 0  # a word counts once in a sentence
         doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, lists), np.int64, len(lists)))[first]
         return value, first, doc
 
     def _learn(self, new):
-        if not new and self.values:
-            return
-        n = len(self.at)
-        cleaned = [clean(w) for w in new]
-        self.at.update(zip(new, range(n, n + len(new)), strict=True))
-        self.values.append(self.of_words(cleaned))
-        self.ends.append(np.array([w[-1] in ".!?" for w in new], bool))
-        self.size.append(np.array([len(c) for c in cleaned], np.int64))
-
-    def _spaced_out(self, every, size, stop, value):
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        forms = [clean(w) for w in new]
+        fresh = list(dict.fromkeys(w for w in forms if w not in self.cleaned))
+        self.cleaned.update(zip(fresh, range(len(self.cleaned), len(self.cleaned) + len(fresh)), strict=True))
+        self.values.append(self.of_words(fresh))
+        self.size.append(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+        self.form.append(np.fromiter(map(self.cleaned.__getitem__, forms), np.int64, len(forms)))
+        self.ends.append(np.fromiter((w[-1] in ".!?" for w in new), bool, len(new)))
+
+    def _spaced_out(self, every, size, value):
         """Runs of three or more single letters count as the word they spell."""
         single = size == 1
         if not single.any():
@@ -200,13 +210,13 @@ def _choose(counts: DataFrame, toxic: int, clean_docs: int) -> list[str]:
 
 def _hinge(x, y, weight, ridge=RIDGE):
     """Weights and bias of a support vector machine with squared hinge, by Newton steps on the support vectors."""
-    x = np.c_[x, np.ones(len(x))]
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     w = np.zeros(x.shape[1])
     keep = np.eye(len(w)) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(30):
         out = y * (x @ w) < 1
-        xs, ws = x[out], weight[out]
+        xs, ws = x[out].astype(float), weight[out]
         new = np.linalg.solve(keep + xs.T @ (xs * ws[:, None]), xs.T @ (ws * y[out]))
         if np.allclose(new, w, atol=1e-8):
             break
@@ -243,21 +253,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     own = marks.kernel(picked).astype(float)**POWER
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     white = vectors / np.sqrt(np.maximum(values, 1e-2))
-    sent = chosen.sparkSession.sparkContext.broadcast(marks)
+    sent = chosen.sparkSession.sparkContext.broadcast((marks, white.astype(np.float32)))
 
     def sentences(batches):
-        reader = Reader(lambda w: sent.value.kernel(w)**POWER)
+        marks, white = sent.value
+        reader = Reader(lambda w: marks.kernel(w)**POWER)
         for b, (value, first, doc) in _pieces(batches, reader):
             x = np.add.reduceat(value, first, axis=0)
             order = np.lexsort((-x.sum(1), doc))
             rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
             top = order[rank < SENTENCES]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc[top])), b.column("y").take(pa.array(doc[top])),
-                                              pa.array(list(x[top]), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
+                                              pa.array([r.tobytes() for r in x[top] @ white], pa.binary())], ["doc_id", "y", "x"])
 
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(sentences, "doc_id long, y int, x array<float>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    x, y = np.stack(rows["x"].to_numpy()).astype(float) @ white, rows["y"].to_numpy(float) * 2 - 1
+    rows = chosen.select("doc_id", "y", "text").mapInArrow(sentences, "doc_id long, y int, x binary").toPandas()
+    rows = rows.sort_values(["doc_id", "x"], kind="stable")
+    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1)
+    y = rows["y"].to_numpy(float) * 2 - 1
     doc, of = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
     use = np.ones(len(y), bool)
     for _ in range(4):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.files import new_name, open_store, read_ranges
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import reachable, stored
 from tabulon.session import work_dir
 
 #: Lines of an index block, bytes after which a task starts the next archive, records that one task reads.
@@ -215,6 +215,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
           block_lines: int = BLOCK_LINES) -> Archive:
     """Write the pages as WARC records with their index. Equal payloads of ``min_bytes`` or more are stored once."""
     spark = pages.sparkSession
+    reachable(spark)
     folder = work_dir(spark, "warc")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                           F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
