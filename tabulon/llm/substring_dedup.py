@@ -121,10 +121,10 @@ def _spans(buckets: int):
             first, bucket = first[order], bucket[order]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             kind, to, blob = [0] * len(cut), bucket[cut].tolist(), [first[s:e].tobytes() for s, e in zip(cut, np.r_[cut[1:], len(first)], strict=True)]
-            for k in range(0, len(rest), 50_000):
+            for k in range(0, len(rest), 2000):
                 kind.append(1)
                 to.append(int(rng.integers(0, buckets)))
-                blob.append(rest[k:k + 50_000].tobytes())
+                blob.append(rest[k:k + 2000].tobytes())
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(to, pa.int64()), "kind": pa.array(kind, pa.int32()), "rows": pa.array(blob, pa.binary())})
     return go
 
