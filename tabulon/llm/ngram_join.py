@@ -254,7 +254,10 @@ _PAIR = "a long, b long"
 
 
 def _search(t: pa.Table, nearest: bool):
-    """Pairs (a, b) of whole tile blocks that are in different groups, in one size band, and pass the bit bound."""
+    """Pairs of whole tile blocks that are in different groups, in one size band, and pass the bit bound.
+
+    All pairs (a, b), or with ``nearest`` (key, a, b) with one b for every a that has any.
+    """
     lo, hi, rep, label, n, block = (t.column(c).to_numpy() for c in ("lo", "hi", "rep", "label", "n", "block"))
     key = np.stack([t.column("key").to_numpy(), lo, hi])
     first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
@@ -279,7 +282,7 @@ def _search(t: pa.Table, nearest: bool):
             best[x[head][better]], mate[x[head][better]] = d[head][better], y[head][better]
     if nearest:
         has = np.flatnonzero(mate >= 0)
-        yield rep[has], rep[mate[has]]
+        yield key[0][has], rep[has], rep[mate[has]]
 
 
 def _compare_tiles(nearest: bool):
@@ -288,7 +291,11 @@ def _compare_tiles(nearest: bool):
         rest, done = None, set()
 
         def pairs(t):
-            for x, y in _search(t.combine_chunks(), nearest):
+            if nearest:
+                for k, a, b in _search(t.combine_chunks(), True):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(k), "a": pa.array(a), "b": pa.array(b)})
+                return
+            for x, y in _search(t.combine_chunks(), False):
                 found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done
                 if len(done) > 1_000_000:
                     done.clear()
@@ -369,14 +376,15 @@ def _mixed(rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of tile mates in different groups: all that may link, or for each node the nearest by its bitmap."""
+    """Pairs (a, b) of tile mates in different groups that may link; with ``nearest`` (key, a, b): of each node its nearest
+    by bitmap. What has no such mate has none in a later round either, as groups only grow."""
     rows = (mixed.withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label"))
     full = rows.join(nodes.select("rep", "n", "bits"), "rep")
     spread = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return stored(spread.select("key", "lo", "hi", "block", "rep", "label", "n", "bits")
-                  .mapInArrow(_compare_tiles(nearest), _PAIR).distinct(), "cross")
+                  .mapInArrow(_compare_tiles(nearest), f"key long, {_PAIR}" if nearest else _PAIR).distinct(), "cross")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
@@ -407,8 +415,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = tiles.join(nodes.select("sid", "rep"), "sid").select("key", "rep").distinct()
     for nearest in (True, True, False):
         mixed = _mixed(rows, nodes.select("rep"), labels)
-        more = _verify(_cross_pairs(mixed, nodes, nearest), nodes)
-        rows = mixed.select("key", "rep")
+        found = _cross_pairs(mixed, nodes, nearest)
+        rows = found.select("key", F.col("a").alias("rep")).distinct() if nearest else None
+        more = _verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes)
         if not more.isEmpty():
             links = links.union(more)
             labels = stored(components(links), "groups")

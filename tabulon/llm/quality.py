@@ -177,6 +177,17 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     return with_text(docs, id_col, text_col).mapInArrow(go, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with a score of ``threshold`` or more, all their columns, in one pass without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col))
+
+    def go(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.value.score(_batch_statistics(b.column(text_col))) >= threshold, pa.bool_()))
+
+    return docs.mapInArrow(go, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **columns) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs, train(docs, labels, **columns), **columns)
