@@ -19,36 +19,38 @@ from pyspark.sql import functions as F
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids
 from tabulon.llm.packing import pack
-from tabulon.llm.quality import classify
+from tabulon.llm.quality import accepted
 from tabulon.llm.shared import stored, table
 from tabulon.llm.substring_dedup import remove_repeats
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among the (distinct) ids; a null id equals a null id."""
-    if not docs.where("doc_id is null").isEmpty():
-        return docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return docs.join(ids, "doc_id", "left_semi")
+def _without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among the given ones; what goes is far less than what stays. A null id stays."""
+    return docs.join(stored(ids.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = classify(docs, table(spark, sf_dir, "labels"))
-    return _with_ids(docs, stored(scored.where("predicted = 1").select("doc_id").distinct(), "good"))
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    groups = stored(exact_groups(docs).select("doc_id", "kept"), "kept")
-    kept = _with_ids(docs, groups.where("kept").select("doc_id").distinct())
-    repeated = groups.groupBy("doc_id").count().where("count > 1")
+    """Of equal texts the document with the largest id stays (a null id only among null ids)."""
+    groups = stored(exact_groups(docs).select("doc_id", "keep_id", "kept"), "kept")
+    kept = _without_ids(docs, groups.where("doc_id is not null and not doc_id <=> keep_id"))
+    nulls = groups.where("doc_id is null and not kept")
+    repeated = groups.where("doc_id <=> keep_id and not kept")
+    if not nulls.isEmpty():
+        lost = stored(exact_groups(docs).where("doc_id is null and keep_id is not null").select("text_sha256").distinct(), "nulls")
+        kept = kept.withColumn("__sha", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
+        kept = kept.join(lost, F.col("__sha") == F.col("text_sha256"), "left_anti").select(*docs.columns)
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    groups = stored(component_ids(docs).select("doc_id", "component_id"), "components")
-    return _with_ids(docs, groups.where("component_id <=> doc_id").select("doc_id").distinct())
+    groups = component_ids(docs)
+    return _without_ids(docs, groups.where("doc_id != component_id"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
