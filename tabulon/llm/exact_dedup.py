@@ -30,7 +30,7 @@ from tabulon.llm.shared import runs, stored, text_buffers, with_text
 #: Chunks hold 1024 bytes on average (a cut where ten bits of the gear hash are zero), 16 KB at most.
 CUT_MASK, MAX_CHUNK, WINDOW = np.uint64(0x3FF << 20), 16_384, 16
 #: Bytes of sent chunks that a task keeps to compare with; beyond it, it forgets and a chunk may move again.
-REMEMBERED_BYTES = 64_000_000
+REMEMBERED_BYTES = 24_000_000
 
 _GEAR = np.random.default_rng(20240502).integers(0, 2**64, 256, dtype=np.uint64)
 

@@ -44,6 +44,8 @@ from tabulon.llm.shingles import parity_bits, shingle_sets
 HOT_SHARE = 2000
 #: The same bound as a plain number of 8-byte keys that are sent to every task (8 MB).
 HOT_KEYS = 1 << 20
+#: Documents whose shingles a task holds at once to see which are frequent.
+DESCRIBED = 4000
 #: Prefix rows that one task takes, and rows of a tile's block.
 ROWS_PER_TASK, BLOCK = 1_000_000, 2048
 _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
@@ -79,7 +81,7 @@ _SETS = "doc_id long, n long, prefix long, dig binary, hot long, times long"
 
 def _describe(batches):
     """Sizes and digests of the documents' sets, and shingles that are frequent in a batch."""
-    for b, offsets, raw in _read(batches):
+    for b, offsets, raw in _read(x.slice(k, DESCRIBED) for x in batches for k in range(0, x.num_rows, DESCRIBED)):
         n, dig, flats = [], [], []
         for _, _, sizes, flat in shingle_sets(offsets, raw):
             n.append(sizes)
@@ -240,10 +242,10 @@ def _pairs_of_groups(sizes):
     start = np.cumsum(sizes) - sizes
     for m in np.unique(sizes[sizes > 1]):
         groups = start[sizes == m]
-        step = max(1, 2_000_000 // int(m * m))
+        step = max(1, 500_000 // int(m * m))
         for k in range(0, len(groups), step):
-            for i0 in range(0, int(m) - 1, 512):
-                i = np.arange(i0, min(i0 + 512, int(m) - 1))
+            for i0 in range(0, int(m) - 1, 128):
+                i = np.arange(i0, min(i0 + 128, int(m) - 1))
                 a = np.repeat(i, int(m) - 1 - i)
                 b = np.concatenate([np.arange(x + 1, int(m)) for x in i])
                 g = groups[k:k + step, None]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.session import work_dir
 
 #: Documents are cut into runs of about this many bytes for numpy work inside a task.
-RUN_BYTES = 1_000_000
+RUN_BYTES = 500_000
 
 
 def reachable(spark: SparkSession) -> None:
