@@ -5,10 +5,11 @@ Results are compared as bags of untyped cells, where ``1 == 1.0 == True``,
 becomes a string key with exactly that equality:
 
 * ``0``            null
-* ``1:<number>``   numbers and booleans; an integral value is written as a
-                   bigint (so ``1``, ``1.0`` and ``true`` all give ``1:1``),
-                   any other value by its double text (shortest round-trip
-                   form, so distinct doubles give distinct text)
+* ``1:<number>``   numbers and booleans; an integral value below 10**38 by its
+                   exact integer text (so ``1``, ``1.0`` and ``true`` all give
+                   ``1:1``), a decimal that a double cannot hold by its exact
+                   decimal text, any other value by its double text (shortest
+                   round-trip form, so distinct doubles give distinct text)
 * ``2:<text>``     strings; dates, timestamps and other types by their text
 
 All of it is built from Spark SQL built-ins and stays in codegen.
@@ -21,25 +22,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
-_BIGINT_LIMIT = 9.2e18
+_FRACTIONAL = (T.FloatType, T.DoubleType)
+#: Integral doubles from here on are beyond decimal(38) and keep their double text.
+_DECIMAL_LIMIT = 1e38
+_WHOLE = "decimal(38,0)"
+
+
+def _exact_integer(d: Column) -> Column:
+    """Exact text of an integral double below 10**38: three parts of 42 bits, put together as decimals."""
+    base = float(2**42)
+    size = F.abs(d)
+    high = F.floor(size / F.lit(base * base)).cast("bigint")
+    rest = size - high.cast("double") * F.lit(base * base)
+    mid = F.floor(rest / F.lit(base)).cast("bigint")
+    low = (rest - mid.cast("double") * F.lit(base)).cast("bigint")
+    whole = (high.cast(_WHOLE) * F.lit(str(2**84)).cast(_WHOLE) + mid.cast(_WHOLE) * F.lit(str(2**42)).cast(_WHOLE) + low.cast(_WHOLE)).cast(_WHOLE)
+    return F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"))
 
 
 def number_key(x: Column) -> Column:
     """Key of a double value (not null)."""
     d = x.cast("double")
-    integral = (d == F.floor(d)) & (F.abs(d) < F.lit(_BIGINT_LIMIT))
+    small = (d == F.floor(d)) & (F.abs(d) < F.lit(9e18))
+    large = F.abs(d).between(F.lit(9e18), F.lit(_DECIMAL_LIMIT)) & (F.abs(d) < F.lit(_DECIMAL_LIMIT))
     return (F.when(F.isnan(d), F.lit("1:nan"))
-             .when(integral, F.concat(F.lit("1:"), d.cast("bigint").cast("string")))
+             .when(small, F.concat(F.lit("1:"), d.cast("bigint").cast("string")))
+             .when(large, F.concat(F.lit("1:"), _exact_integer(d)))
              .otherwise(F.concat(F.lit("1:"), d.cast("string"))))
 
 
+def _decimal_key(x: Column, dtype: T.DecimalType) -> Column:
+    """Key of a decimal with a scale: whole numbers as integers, others as doubles if those hold them exactly enough to come back."""
+    kind = f"decimal({dtype.precision},{dtype.scale})"
+    text = x.cast("string")
+    whole = F.regexp_extract(text, r"^(-?\d+)\.0*$", 1)
+    back = x.cast("double").cast(kind)
+    return (F.when(whole != "", F.concat(F.lit("1:"), F.when(whole == "-0", F.lit("0")).otherwise(whole)))
+             .when(F.coalesce(back == x, F.lit(False)), number_key(x))
+             .otherwise(F.concat(F.lit("1:"), F.regexp_replace(text, r"0+$", ""))))
+
+
 def cell_key(x: Column, dtype: T.DataType) -> Column:
     """Canonical key of a typed column."""
     if isinstance(dtype, _INTEGRAL):
         key = F.concat(F.lit("1:"), x.cast("string"))
     elif isinstance(dtype, T.DecimalType) and dtype.scale == 0:
         key = F.concat(F.lit("1:"), x.cast("string"))
+    elif isinstance(dtype, T.DecimalType):
+        key = _decimal_key(x, dtype)
     elif isinstance(dtype, _FRACTIONAL):
         key = number_key(x)
     elif isinstance(dtype, T.BooleanType):
@@ -72,6 +102,15 @@ def text_cell_key(x: Column) -> Column:
              .otherwise(F.concat(F.lit("2:"), x)))
 
 
+def literal_cell_key(x: Column, dtype: T.DataType) -> Column:
+    """Key of a cell of a literal answer: text (see :func:`text_cell_key`), or ``struct<text, quoted>``
+    as :func:`tabulon.functions.responses.typed_rows` gives it, where quoted text stays text."""
+    if not isinstance(dtype, T.StructType):
+        return text_cell_key(x)
+    quoted = F.concat(F.lit("2:"), x["text"])
+    return F.when(x["quoted"] & x["text"].isNotNull(), quoted).otherwise(text_cell_key(x["text"]))
+
+
 def row_cells(df_schema: T.StructType, names: list[str]) -> Column:
     """``array(cell_key(c1), cell_key(c2), ...)`` for a row."""
     fields = {f.name: f.dataType for f in df_schema.fields}

@@ -124,6 +124,25 @@ def rows_from_text(text, span: bool = True) -> Column:
     return F.element_at(F.transform(F.array(src), both), 1)
 
 
+_MARK = "\ue002"
+
+
+def typed_rows(text, span: bool = True) -> Column:
+    """``rows_from_text`` with each cell as ``struct<text, quoted>``: quoted cells are text even if they look like numbers.
+
+    Every quoted string gets a mark after its opening quote before parsing; the mark is read and removed here.
+    """
+    src = balanced_span(text) if span else _c(text)
+    marked = F.regexp_replace(src, r"""(['"])((?:(?!\1)[^\\]|\\.)*)\1""", "$1" + _MARK + "$2$1")
+    rows = rows_from_text(marked, span=False)
+
+    def cell(x):
+        quoted = F.coalesce(x.startswith(_MARK), F.lit(False))
+        return F.struct(F.when(quoted, F.substring(x, 2, 1 << 30)).otherwise(x).alias("text"), quoted.alias("quoted"))
+
+    return F.transform(rows, lambda r: F.transform(r, cell))
+
+
 def parse_rows(df: DataFrame, text_col: str, out_col: str = "rows", span: bool = True) -> DataFrame:
     """``rows_from_text`` as DataFrame steps: each intermediate (span, JSON
     text, parse attempts) is its own column, computed once per row in

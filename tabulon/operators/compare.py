@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cells import row_cells, text_cell_key
+from ..functions.cells import literal_cell_key, row_cells
 from .ranking import group_positions
 
 ALL_METRICS = ["cell_precision", "cell_recall", "tuple_cardinality", "tuple_order",
@@ -70,13 +70,15 @@ def capture(df: DataFrame, test_id, side: str, test_col: str | None = None) -> D
 def capture_literal(df: DataFrame, rows_col: str, test_col: str, side: str) -> DataFrame:
     """Literal results (``array<array<string>>`` per test) as ``res`` rows.
 
-    The row order of the literal is kept as ``pos``; cells are keyed by
-    :func:`text_cell_key` (numbers compare by value).
+    The row order of the literal is kept as ``pos``; cells are text, where
+    what reads as a number compares by value, or ``struct<text, quoted>``,
+    where quoted cells compare as text.
     """
+    kind = df.schema[rows_col].dataType.elementType.elementType
     return (df.select(F.col(test_col).alias("test_id"),
                       F.posexplode(F.col(rows_col)).alias("pos", "row"))
               .select("test_id", F.lit(side).alias("side"), F.col("pos").cast("bigint").alias("pos"),
-                      F.transform("row", text_cell_key).alias("cells")))
+                      F.transform("row", lambda x: literal_cell_key(x, kind)).alias("cells")))
 
 
 # ------------------------------------------------------------------ metrics

@@ -16,7 +16,6 @@ the table by primary key (or by an md5 of the row) in one
 
 from __future__ import annotations
 
-import glob
 import os
 from dataclasses import dataclass, field
 
@@ -105,13 +104,16 @@ class Database:
         return self.tables[name]
 
 
-def _table_files(path: str, fmt: str) -> dict[str, str]:
-    if not path or not os.path.isdir(path):
+def _table_files(spark: SparkSession, path: str, fmt: str) -> dict[str, str]:
+    """Table name -> path of every ``<path>/<name>.<fmt>``, listed by the path's own Hadoop file system."""
+    if not path:
         return {}
-    out = {}
-    for p in sorted(glob.glob(os.path.join(path, f"*.{fmt}"))):
-        out[os.path.splitext(os.path.basename(p))[0]] = p
-    return out
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return {}
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(folder)]
+    return {name[:-len(fmt) - 1]: full for name, full in sorted(found) if name.endswith(f".{fmt}")}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -127,7 +129,9 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 def load_tables(spark: SparkSession, path: str, names: list[str] | None = None,
                 fmt: str = "parquet", register: bool = True) -> dict[str, DataFrame]:
     """Read every ``<path>/<name>.<fmt>`` (or only ``names``) and register views."""
-    files = _table_files(path, fmt)
+    files = _table_files(spark, path, fmt)
+    if not files:
+        raise ValueError(f"no {fmt} tables in {path}")
     if names is not None:
         missing = [n for n in names if n not in files]
         if missing:
@@ -153,7 +157,7 @@ def open_database(spark: SparkSession, path: str | None, db_name: str,
     are written to ``path`` as parquet when a path is given, so the database
     outlives the session; otherwise they are only registered as views.
     """
-    existing = _table_files(path, fmt) if path else {}
+    existing = _table_files(spark, path, fmt) if path else {}
     if existing and tables:
         raise ValueError("The provided database is not empty, but tables provided")
     if not existing and not tables:
@@ -166,7 +170,7 @@ def open_database(spark: SparkSession, path: str | None, db_name: str,
             if not isinstance(tdf, DataFrame):
                 tdf = spark.createDataFrame(tdf)
             if path:
-                out = os.path.join(path, f"{name}.parquet")
+                out = f"{path.rstrip('/')}/{name}.parquet"
                 tdf.write.mode("errorifexists").parquet(out)
                 tdf = spark.read.parquet(out)
             frames[name] = tdf

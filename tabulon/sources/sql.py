@@ -26,6 +26,26 @@ except ImportError:  # pragma: no cover
 
 DEFAULT_TIMEOUT_S = 500
 
+# SQLSTATE classes of errors that lie in the query or its data (cardinality, data, constraint, syntax or access,
+# unsupported, limits); others, like a lost executor, are not the query's fault.
+_QUERY_STATES = ("21", "22", "23", "42", "0A", "54")
+
+
+def is_query_error(e: BaseException) -> bool:
+    """Whether an exception means that the query text itself failed, at analysis or at run time."""
+    if isinstance(e, SQL_ERRORS):
+        return True
+    cause, seen = getattr(e, "java_exception", None), 0
+    while cause is not None and seen < 20:
+        try:
+            state = cause.getSqlState()
+        except Exception:  # noqa: BLE001  not a Spark error
+            state = None
+        if state:
+            return state[:2] in _QUERY_STATES
+        cause, seen = cause.getCause(), seen + 1
+    return False
+
 
 class QueryTimeout(Exception):
     pass
@@ -77,20 +97,29 @@ def with_time_limit(spark: SparkSession, action, timeout_s: float):
     group = f"tabulon-{uuid.uuid4().hex}"
     fired = threading.Event()
 
+    done = threading.Event()
+
     def cancel():
+        # A cancel that comes before the job starts has no effect, so it is repeated until the action ends.
+        if done.wait(timeout_s):
+            return
         fired.set()
-        sc.cancelJobGroup(group)
+        while not done.wait(0.1):
+            sc.cancelJobGroup(group)
 
-    timer = threading.Timer(timeout_s, cancel)
+    timer = threading.Thread(target=cancel, daemon=True)
     sc.setJobGroup(group, "time-limited query", interruptOnCancel=True)
     timer.start()
     try:
-        return action()
+        out = action()
     except Exception as e:  # noqa: BLE001
         if fired.is_set():
             raise QueryTimeout(f"query cancelled after {timeout_s}s") from e
         raise
     finally:
-        timer.cancel()
+        done.set()
         sc.setLocalProperty("spark.jobGroup.id", None)
         sc.setLocalProperty("spark.job.description", None)
+    if fired.is_set():
+        raise QueryTimeout(f"query ran over {timeout_s}s")
+    return out

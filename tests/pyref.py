@@ -1,96 +1,73 @@
-"""Plain-Python statements of the comparison metrics, for checking the Spark job.
+"""The comparison metrics from their definitions, over multisets of typed cells, for checking the Spark job.
 
-Written from the definitions (see tabulon.operators.compare), over lists
-of rows whose cells are Python values.
+A result is a list of rows of Python values. Cells are compared with their
+type (numbers and booleans by value, text as text, null as null); a row is
+compared as the multiset of its cells, so column order does not count.
 """
 
 from collections import Counter
+from fractions import Fraction
 
 
-def _key(x):
-    if x is None:
-        return (0, "")
-    if isinstance(x, (bool, int, float)):
-        return (1, float(x))
-    return (2, str(x))
+def typed(cell):
+    kind = "null" if cell is None else "number" if isinstance(cell, (bool, int, float)) else "text"
+    return kind, None if cell is None else float(cell) if kind == "number" else str(cell)
 
 
-def _canon(row):
-    return tuple(sorted(row, key=_key))
+def bag(row):
+    return frozenset(Counter(map(typed, row)).items())
 
 
-def _empty_rule(t, p):
-    if not t and not p:
-        return 1.0
+def cells(result):
+    return {typed(c) for row in result for c in row}
+
+
+def share(part, whole):
+    return round(part / whole, 3)
+
+
+def places(result, common):
+    """Rank of each common row by the first place at which it stands in the result."""
+    first = {}
+    for place, row in enumerate(result):
+        first.setdefault(tuple(map(typed, row)), place)
+    order = sorted(common, key=first.__getitem__)
+    return {row: rank for rank, row in enumerate(order)}
+
+
+def order_agreement(t, p):
+    common = {tuple(map(typed, r)) for r in t} & {tuple(map(typed, r)) for r in p}
+    if not common:
+        return 0.5  # no correlation, mapped from [-1, 1] to [0, 1]
+    here, there = places(t, common), places(p, common)
+    gaps = sum((here[r] - there[r]) ** 2 for r in common)
+    n = 2 if len(common) == 1 else len(common)
+    rho = Fraction(1) - Fraction(6 * gaps, n * (n * n - 1))
+    return (round(float(rho), 3) + 1) / 2
+
+
+def accuracy(t, p):
+    return 1.0 if len(t) == len(p) and set(map(bag, t)) == set(map(bag, p)) else 0.0
+
+
+def constraint(t, p):
+    there = Counter(map(bag, p))
+    wanted = Counter(map(bag, t))
+    return share(len([r for r in wanted if there[r] == wanted[r]]), len(wanted))
+
+
+DEFINED = {
+    "cell_precision": lambda t, p: share(len(cells(t) & cells(p)), len(cells(p))),
+    "cell_recall": lambda t, p: share(len(cells(t) & cells(p)), len(cells(t))),
+    "tuple_cardinality": lambda t, p: share(*sorted((len(t), len(p)))),
+    "tuple_constraint": constraint,
+    "tuple_order": order_agreement,
+    "execution_accuracy": accuracy,
+}
+
+
+def value(metric, t, p):
+    """A metric of a target and a prediction; two empty results agree, one empty result agrees in nothing."""
     if not t or not p:
-        return 0.0
-    return None
-
-
-def cell_precision(t, p):
-    r = _empty_rule(t, p)
-    if r is not None:
-        return r
-    ts = {c for row in t for c in row}
-    ps = {c for row in p for c in row}
-    return round(len(ts & ps) / len(ps), 3)
-
-
-def cell_recall(t, p):
-    r = _empty_rule(t, p)
-    if r is not None:
-        return r
-    ts = {c for row in t for c in row}
-    ps = {c for row in p for c in row}
-    return round(len(ts & ps) / len(ts), 3)
-
-
-def tuple_cardinality(t, p):
-    if not t and not p:
-        return 1.0
-    a, b = len(t), len(p)
-    return round(min(a, b) / max(a, b), 3)
-
-
-def tuple_constraint(t, p):
-    r = _empty_rule(t, p)
-    if r is not None:
-        return r
-    ct = Counter(_canon(x) for x in t)
-    cp = Counter(_canon(x) for x in p)
-    return round(sum(cp[k] == v for k, v in ct.items()) / len(ct), 3)
-
-
-def execution_accuracy(t, p):
-    if not t and not p:
-        return 1.0
-    if len(t) != len(p):
-        return 0.0
-    return float({_canon(x) for x in t} == {_canon(x) for x in p})
-
-
-def tuple_order(t, p):
-    r = _empty_rule(t, p)
-    if r is not None:
-        return r
-    tl = [tuple(x) for x in t]
-    pl = [tuple(x) for x in p]
-    common_t, common_p = [], []
-    for row in tl:
-        if row in pl and row not in common_t:
-            common_t.append(row)
-    for row in pl:
-        if row in tl and row not in common_p:
-            common_p.append(row)
-    if not common_t:
-        rho = 0.0
-    else:
-        rank_t = {row: i for i, row in enumerate(common_t)}
-        d2 = sum((i - rank_t[row]) ** 2 for i, row in enumerate(common_p))
-        n = max(len(common_t), 2)
-        rho = 1 - 6 * d2 / (n * (n * n - 1))
-    return (round(rho, 3) + 1) / 2
-
-
-ALL = {f.__name__: f for f in (cell_precision, cell_recall, tuple_cardinality, tuple_order,
-                               tuple_constraint, execution_accuracy)}
+        return float(len(t) == len(p))
+    return DEFINED[metric](t, p)
