@@ -20,13 +20,18 @@ from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids
 from tabulon.llm.packing import pack
 from tabulon.llm.quality import accepted
-from tabulon.llm.shared import stored, table
+from tabulon.llm.shared import scratch, stored, table
 from tabulon.llm.substring_dedup import remove_repeats
 
 
+def _ids(rows: DataFrame) -> DataFrame:
+    """The distinct ids of the given rows as a table that outlives a block of scratch tables."""
+    return stored(rows.select("doc_id").distinct(), "gone", lasting=True)
+
+
 def _without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among the given ones; what goes is far less than what stays. A null id stays."""
-    return docs.join(stored(ids.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents whose id is not among the given ones. A null id stays."""
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,21 +41,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays (a null id only among null ids)."""
-    groups = stored(exact_groups(docs).select("doc_id", "keep_id", "kept"), "kept")
-    kept = _without_ids(docs, groups.where("doc_id is not null and not doc_id <=> keep_id"))
-    nulls = groups.where("doc_id is null and not kept")
-    repeated = groups.where("doc_id <=> keep_id and not kept")
-    if not nulls.isEmpty():
-        lost = stored(exact_groups(docs).where("doc_id is null and keep_id is not null").select("text_sha256").distinct(), "nulls")
+    with scratch(spark):
+        groups = stored(exact_groups(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "kept")
+        gone = _ids(groups.where("doc_id is not null and not doc_id <=> keep_id"))
+        nulls = not groups.where("doc_id is null and not kept").isEmpty()
+        repeated = not groups.where("doc_id <=> keep_id and not kept").isEmpty()
+        if nulls:
+            lost = stored(groups.where("doc_id is null and keep_id is not null").select("text_sha256").distinct(), "nulls", lasting=True)
+    kept = _without_ids(docs, gone)
+    if nulls:
         kept = kept.withColumn("__sha", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
         kept = kept.join(lost, F.col("__sha") == F.col("text_sha256"), "left_anti").select(*docs.columns)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    groups = component_ids(docs)
-    return _without_ids(docs, groups.where("doc_id != component_id"))
+    with scratch(spark):
+        gone = _ids(component_ids(docs).where("doc_id != component_id"))
+    return _without_ids(docs, gone)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

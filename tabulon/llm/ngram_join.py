@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
-from tabulon.llm.shared import stored, text_buffers, with_text
+from tabulon.llm.shared import bucketed, stored, text_buffers, with_text
 from tabulon.llm.shingles import parity_bits, shingle_sets
 
 #: A shingle in one of so many documents counts as frequent. It only moves it to the end of the prefix order;
@@ -348,7 +348,8 @@ def _bound(batches):
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: texts of both sides meet by two joins on the representative."""
+    """The pairs (a, b) that link: texts of both sides meet by two joins on the representative, by which nodes are bucketed,
+    so that only texts of pairs move."""
     def side(s, col):
         return nodes.select(F.col("rep").alias(s), F.col(col).alias(f"{col}_{s}"))
     both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b")
@@ -410,7 +411,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     sids = reps.select(F.col("rep").alias("doc_id"), _sid_column("dig").alias("sid"))
     wanted = sids.join(tiles.select("sid").distinct(), "sid").select("doc_id", "sid")
-    nodes = stored(source.join(wanted, "doc_id").select("doc_id", "sid", "text").mapInArrow(_with_bits, _NODES), "nodes")
+    nodes = bucketed(source.join(wanted, "doc_id").select("doc_id", "sid", "text").mapInArrow(_with_bits, _NODES), "nodes", "rep")
 
     links = _verify(_star_pairs(tiles, nodes), nodes)
     labels = stored(components(links), "groups")

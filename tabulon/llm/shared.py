@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +31,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Folders that ``scratch`` deletes when its block ends; None outside of one.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+#: Spark's default limit on the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``stored`` and ``bucketed`` wrote in this block at its end, but for lasting tables.
+
+    For steps that end with a lasting table; what is read after the block must not depend on the others.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder(spark: SparkSession, name: str, lasting: bool) -> str:
+    path = work_dir(spark, name)
+    if not lasting and _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
+    path = _folder(spark, name, lasting)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stored``, in hash buckets of ``key``, one for each shuffle partition: joins on it don't move this side.
+
+    The catalog entry goes as soon as the table is read; the files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    path = _folder(spark, name, False)
+    entry = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"drop table {entry}")
+    return out
+
+
 def with_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(id, text, more...) with null text read as empty; other columns of the input are ignored."""
     from pyspark.sql import functions as F
