@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
-from tabulon.llm.shared import bucketed, stored, text_buffers, with_text
+from tabulon.llm.shared import arrow_batches, bucketed, stored, text_buffers, with_text
 from tabulon.llm.shingles import parity_bits, shingle_sets
 
 #: A shingle in one of so many documents counts as frequent. It only moves it to the end of the prefix order;
@@ -47,7 +47,11 @@ HOT_KEYS = 1 << 20
 #: Documents whose shingles a task holds at once to see which are frequent.
 DESCRIBED = 4000
 #: Prefix rows that one task takes, and rows of a tile's block.
-ROWS_PER_TASK, BLOCK = 1_000_000, 2048
+ROWS_PER_TASK, BLOCK = 500_000, 2048
+#: Prefix rows that a task packs at once, and pairs whose repeats it remembers.
+PACKED_ROWS, REMEMBERED_PAIRS = 500_000, 100_000
+#: Bytes of rows that a Python worker gets at once.
+BATCH = "16m"
 _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
 
 
@@ -110,9 +114,22 @@ def _prefixes(hot, buckets: int):
     def go(batches):
         common, rank = hot.value
         rng = np.random.default_rng(7)
+
+        def pack(parts):
+            rows, late, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket[late] = rng.integers(0, buckets, late.sum()) // 4 * 4
+            order = np.lexsort((rows["hi"], bucket, late))
+            rows, late, bucket = rows[order], late[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (late[1:] != late[:-1])]) if len(rows) else []
+            ends = np.r_[cut[1:], len(rows)] if len(rows) else []
+            return pa.RecordBatch.from_pydict({
+                "bucket": pa.array(bucket[cut] if len(rows) else [], pa.int64()),
+                "kind": pa.array(late[cut].astype(np.int32) if len(rows) else [], pa.int32()),
+                "rows": pa.array([rows[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())})
+
+        parts: list = []
         for _, offsets, raw in _read(batches):
             seen: set = set()
-            parts = []
             for _, _, sizes, flat in shingle_sets(offsets, raw):
                 dig = _digests(sizes, flat)
                 fresh = np.zeros(len(sizes), bool)
@@ -136,18 +153,11 @@ def _prefixes(hot, buckets: int):
                 rows["lo"], rows["hi"] = key & np.uint64(0xFFFFFFFF), key >> np.uint64(32)
                 rows["n"], rows["sid"] = np.minimum(sizes, 65535)[owner], _sids(dig)[owner]
                 parts.append((rows, late > 0, (key % np.uint64(buckets)).astype(np.int64)))
-            if not parts:
-                continue
-            rows, late, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket[late] = rng.integers(0, buckets, late.sum()) // 4 * 4
-            order = np.lexsort((rows["hi"], bucket, late))
-            rows, late, bucket = rows[order], late[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (late[1:] != late[:-1])]) if len(rows) else []
-            ends = np.r_[cut[1:], len(rows)] if len(rows) else []
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(bucket[cut] if len(rows) else [], pa.int64()),
-                "kind": pa.array(late[cut].astype(np.int32) if len(rows) else [], pa.int32()),
-                "rows": pa.array([rows[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())})
+                if sum(len(r) for r, _, _ in parts) >= PACKED_ROWS:
+                    yield pack(parts)
+                    parts = []
+        if parts:
+            yield pack(parts)
     return go
 
 
@@ -299,7 +309,7 @@ def _compare_tiles(nearest: bool):
                 return
             for x, y in _search(t.combine_chunks(), False):
                 found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - done
-                if len(done) > 1_000_000:
+                if len(done) > REMEMBERED_PAIRS:
                     done.clear()
                 done.update(found)
                 if found:
@@ -392,6 +402,11 @@ def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
     """Components and spanning links of the documents at a Jaccard similarity of 0.8 on five-word shingles."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _join(docs, id_col, text_col)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str) -> Join:
     spark = docs.sparkSession
     source = with_text(docs, id_col, text_col)
     described = stored(source.mapInArrow(_describe, _SETS), "sets")

@@ -55,6 +55,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Hand Python workers at most about ``size`` bytes of rows at once in the jobs of this block."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
+
+
 def _folder(spark: SparkSession, name: str, lasting: bool) -> str:
     path = work_dir(spark, name)
     if not lasting and _made.get() is not None:
