@@ -58,7 +58,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     with scratch(spark):
-        gone = _ids(component_ids(docs).where("doc_id != component_id"))
+        gone = _ids(component_ids(docs, links=False).where("doc_id != component_id"))
     return _without_ids(docs, gone)
 
 

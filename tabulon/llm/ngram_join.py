@@ -18,6 +18,12 @@ missed, while a group of very many near copies gives a number of pairs in
 proportion to its size, not its square. Tiles of many rows are
 cut into blocks, and pairs of blocks go to different tasks.
 
+Every link lies inside one of the components found so, so the links are all
+pairs of a component's nodes that pass band, bit bound and the exact count.
+Components are cut into blocks too, and pairs of blocks go to different tasks.
+A group of m near copies has up to m * m / 2 links; they are stored packed, a
+node's partners in one row for each pair of blocks.
+
 Defined cases: null text is empty text; an empty set links with nothing and
 is its own component; fewer than five words are one shingle; repeated ids are
 separate rows of one node; an empty table gives an empty result. Columns other
@@ -50,6 +56,8 @@ DESCRIBED = 4000
 ROWS_PER_TASK, BLOCK = 500_000, 2048
 #: Prefix rows that a task packs at once, and pairs whose repeats it remembers.
 PACKED_ROWS, REMEMBERED_PAIRS = 500_000, 100_000
+#: Nodes, and shingles, of a component's block.
+LINK_BLOCK, LINK_SHINGLES = 256, 500_000
 #: Bytes of rows that a Python worker gets at once.
 BATCH = "16m"
 _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
@@ -57,12 +65,14 @@ _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
 
 @dataclass
 class Join:
-    """sets(doc_id, n_shingles, rep), links(a, b): verified links between representatives that span every
-    component, components(node, label) of the linked representatives."""
+    """sets(doc_id, n_shingles, rep, copies): copies are the documents of the set; links(a, b): all links between
+    representatives, a < b; components(node, label) of the linked representatives; linked(node, n_links): the documents of
+    other sets that each of them links with. With components only, links are some that span every component, linked is None."""
 
     sets: DataFrame
     links: DataFrame
     components: DataFrame
+    linked: DataFrame | None = None
 
 
 def _read(batches: Iterator[pa.RecordBatch]):
@@ -297,10 +307,27 @@ def _search(t: pa.Table, nearest: bool):
         yield key[0][has], rep[has], rep[mate[has]]
 
 
+def _whole_groups(batches, names):
+    """Tables of whole groups of rows that are equal in ``names``, by which they come sorted; a group that two batches share
+    is held back for the next."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+        if not t.num_rows:
+            continue
+        same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in names])
+        cut = int(np.argmax(same))
+        rest = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _compare_tiles(nearest: bool):
-    """The pairs of tile blocks, which come sorted; a block that two batches share is held back for the next."""
+    """The pairs of tile blocks, which come sorted."""
     def go(batches):
-        rest, done = None, set()
+        done = set()
 
         def pairs(t):
             if nearest:
@@ -316,16 +343,8 @@ def _compare_tiles(nearest: bool):
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        for b in batches:
-            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
-            last = [t.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
-            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "lo", "hi"), last, strict=True)])
-            cut = int(np.argmax(same))
-            rest = t.slice(cut)
-            if cut:
-                yield from pairs(t.slice(0, cut))
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest)
+        for t in _whole_groups(batches, ("key", "lo", "hi")):
+            yield from pairs(t)
     return go
 
 
@@ -366,6 +385,56 @@ def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact, _PAIR), "links")
 
 
+_LINKED = "node long, n_links long, others array<long>"
+
+
+def _links_of_blocks(batches):
+    """All links of pairs of a component's blocks, packed by node: documents linked with, and partners, each link at one end."""
+    for t in _whole_groups(batches, ("label", "lo", "hi")):
+        lo, hi, block, rep, copies, n = (t.column(c).to_numpy() for c in ("lo", "hi", "block", "rep", "copies", "n"))
+        key = np.stack([t.column("label").to_numpy(), lo, hi])
+        first = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        bits = _Bits(t.column("bits"))
+        flat = np.concatenate([x for *_, x in shingle_sets(*text_buffers(t.column("text").combine_chunks()))])
+        start = np.r_[0, np.cumsum(n)]
+        count, others = np.zeros(t.num_rows, np.int64), [np.zeros(0, np.int64)] * t.num_rows
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), t.num_rows], strict=True):
+            values, ids = np.unique(flat[start[s]:start[e]], return_inverse=True)
+            at, mark = start[s:e + 1] - start[s], np.zeros(len(values), np.int64)
+            for i in range(s, e) if lo[s] == hi[s] else s + np.flatnonzero(block[s:e] == lo[s]):
+                j = np.arange(i + 1, e) if lo[s] == hi[s] else s + np.flatnonzero(block[s:e] == hi[s])
+                j = j[5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])]
+                j = j[bits.may_link(np.full(len(j), i), j, n)]
+                if not len(j):
+                    continue
+                own = ids[at[i - s]:at[i - s + 1]]
+                mark[own] = 1
+                theirs = mark[np.concatenate([ids[at[k - s]:at[k - s + 1]] for k in j])]
+                mark[own] = 0
+                common = np.add.reduceat(theirs, np.cumsum(n[j]) - n[j])
+                j = j[100 * common >= 80 * (n[i] + n[j] - common)]
+                others[i] = rep[j]
+                count[i] += copies[j].sum()
+                count[j] += copies[i]
+        has = np.flatnonzero(count)
+        ends = np.cumsum([0, *(len(others[k]) for k in has)])
+        partners = np.concatenate([others[k] for k in has]) if len(has) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(rep[has]), "n_links": pa.array(count[has]),
+                                          "others": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(partners))})
+
+
+def _all_links(labels: DataFrame, copies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n_links, others) of all links inside the components (node, label); copies: (rep, copies)."""
+    members = stored(labels.withColumnRenamed("node", "rep").join(nodes.select("rep", "n"), "rep").join(copies, "rep"), "linked-nodes")
+    cut = members.groupBy("label").agg(F.expr(f"cast(ceil(greatest(count(*) / {LINK_BLOCK}, sum(n) / {LINK_SHINGLES})) as int)").alias("blocks"))
+    rows = (members.join(stored(cut, "linked-blocks"), "label").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies"))
+    full = rows.join(nodes.select("rep", "n", "bits", "text"), "rep")
+    spread = full.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    return stored(spread.select("label", "lo", "hi", "block", "rep", "copies", "n", "bits", "text").mapInArrow(_links_of_blocks, _LINKED), "linked")
+
+
 def _star_pairs(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node with the smallest node of each of its tiles, if the size band and the bit bound allow a link."""
     hubs = stored(tiles.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("m"), F.max("sid").alias("x"))
@@ -400,19 +469,23 @@ def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame
                   .mapInArrow(_compare_tiles(nearest), f"key long, {_PAIR}" if nearest else _PAIR).distinct(), "cross")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Join:
-    """Components and spanning links of the documents at a Jaccard similarity of 0.8 on five-word shingles."""
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> Join:
+    """Components and links of the documents at a Jaccard similarity of 0.8 on five-word shingles.
+
+    Without ``links`` only the components are whole, for those who need nothing else.
+    """
     with arrow_batches(docs.sparkSession, BATCH):
-        return _join(docs, id_col, text_col)
+        return _join(docs, id_col, text_col, links)
 
 
-def _join(docs: DataFrame, id_col: str, text_col: str) -> Join:
+def _join(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Join:
     spark = docs.sparkSession
     source = with_text(docs, id_col, text_col)
     described = stored(source.mapInArrow(_describe, _SETS), "sets")
     own = described.where("hot is null")
-    reps = stored(own.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("rep")), "reps")
-    sets = own.join(reps, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    reps = stored(own.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    sets = own.join(reps, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"),
+                                                F.coalesce("copies", F.lit(1)).alias("copies"))
 
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("prefix"), F.lit(0)).alias("rows")).first()
     tasks = max(spark.sparkContext.defaultParallelism, total.rows // ROWS_PER_TASK + 1)
@@ -439,7 +512,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str) -> Join:
         if not more.isEmpty():
             links = links.union(more)
             labels = stored(components(links), "groups")
-    return Join(sets, links, labels)
+    if not whole:
+        return Join(sets, links, labels)
+    packed = _all_links(labels, reps.select("rep", "copies"), nodes)
+    pairs = packed.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    return Join(sets, pairs, labels, packed.groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
 
 def _sid_column(dig: str):
@@ -450,9 +527,18 @@ def _sid_column(dig: str):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every document."""
-    join = ngram_join(docs, id_col, text_col)
+def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links) of every document; ``links`` as for the join."""
+    join = ngram_join(docs, id_col, text_col, links)
     labels = join.components.select(F.col("node").alias("rep"), "label")
     return (stored(join.sets, "members").join(labels, "rep", "left")
             .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``component_ids``, and n_links: the other documents that a document links with, those of an equal set included."""
+    join = ngram_join(docs, id_col, text_col)
+    own = join.components.join(join.linked, "node", "left").withColumnRenamed("node", "rep")
+    return (stored(join.sets, "members").join(own, "rep", "left")
+            .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"),
+                    (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")))

@@ -9,7 +9,7 @@ import public_tokenizers
 
 from tabulon.llm import ann, quality, sentencepieces, toxicity, warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
-from tabulon.llm.ngram_join import component_ids
+from tabulon.llm.ngram_join import component_ids, link_counts
 from tabulon.llm.packing import pack
 from tabulon.llm.shared import table
 from tabulon.llm.substring_dedup import remove_repeats
@@ -19,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_ann, op4_warc, op5_sentencepiece, op6_packing,
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op1_ngram_links, op2_exact_dedup, op3_ann, op4_warc, op5_sentencepiece, op6_packing,
                                    op7_token_output, op8_substring_dedup, op9_toxicity, op10_quality, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -86,3 +90,8 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
+
+#: The SQL of op1_ngram_join with the number of links of each document.
+ORACLE_SQL["op1_ngram_links"] = ORACLE_SQL["op1_ngram_join"].replace(
+    "m.component_id\nFROM", "m.component_id, coalesce(k.n_links, 0) AS n_links\nFROM"
+) + "\nLEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) k USING (doc_id)"

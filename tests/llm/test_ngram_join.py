@@ -77,3 +77,29 @@ def test_long_text(spark):
     long = " ".join(f"x{k}" for k in range(30000))
     rows = [(1, long), (2, long + " y"), (3, "z " + long)]
     assert run(spark, rows) == brute(rows)
+
+
+def brute_links(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    return {(i, j) for k, (j, b) in enumerate(sets) for i, a in sets[:k] if a and b and 100 * len(a & b) >= 80 * len(a | b)}
+
+
+def test_every_link_inside_a_group_is_returned_and_counted(spark, monkeypatch):
+    r = random.Random(9)
+    base = [f"v{k}" for k in range(120)]
+    near = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w[r.randrange(len(w))] = f"u{i}"
+        near.append((2000 + i, " ".join(w)))
+    for block in (256, 3):
+        monkeypatch.setattr(J, "LINK_BLOCK", block)
+        rows = corpus(3) + near + [(3000, near[0][1]), (3001, near[0][1]), (3002, None)]
+        want = brute_links(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {x.doc_id: x.n_links for x in J.link_counts(df).collect()}
+        assert got == {i: sum(i in p for p in want) for i, _ in rows}
+        rep = {i: min(j for j, u in rows if shingles(u) == shingles(t)) for i, t in rows if shingles(t)}
+        links = [tuple(x) for x in J.ngram_join(df).links.collect()]
+        assert len(links) == len(set(links)) and set(links) == {tuple(sorted((rep[i], rep[j]))) for i, j in want if rep[i] != rep[j]}
