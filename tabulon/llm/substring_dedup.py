@@ -1,9 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (a word that ends in . ! or ?, or a line end; a
-sentence of more than 24 words is cut further after words that a hash chooses,
-so that the same words are cut the same way wherever they stand). Around every
-sentence lie two spans: the shortest run of two or more sentences with 25 words
+A text is cut into sentences (a word that ends in . ! or ?, closing quotes and
+brackets after it allowed, or a line end), and these into pieces after the word
+of least hash of every nine in a row, so that the same words are cut the same
+way wherever they stand: pieces have nine words at most, only the first and the
+last nine words of a passage can be cut otherwise elsewhere, and any 50 equal
+words with the same line ends hold a whole span (33 between cuts that all
+occurrences share; a span has at most 24 + 9). Pieces are the sentences of what
+follows. Around every sentence lie two spans: the shortest run of two or more sentences with 25 words
 that starts with it, and the shortest that ends with it, so a repeated passage
 is covered to both ends. All spans of all documents are hashed and meet by
 hash; the occurrence with the smallest (doc_id, position) is the first, and
@@ -31,12 +35,48 @@ from pyspark.sql import types as T
 from tabulon.llm.shared import reachable, runs, stored, text_buffers
 from tabulon.llm.shingles import _BASE, _INVERSE, _power, mix64, words
 
-SPAN_WORDS, SPAN_SENTENCES, LONG_SENTENCE, CUT = 25, 2, 24, np.uint64(7)
+SPAN_WORDS, SPAN_SENTENCES = 25, 2
+#: Words of a row of which the one of least hash ends a piece: 3 * WINDOW + SPAN_WORDS - 2 words always hold a span.
+WINDOW = 9
+#: Closing quotes and brackets that may follow a stop.
+CLOSING = 8
 #: Buckets of the span shuffle for each of its partitions.
 BUCKETS = 8
 _ROW = np.dtype([("h", "<u8"), ("c", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u2")])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
+_CLOSE = np.zeros(256, bool)
+_CLOSE[[ord(c) for c in "\"')]}"]] = True
+
+
+def _stops(raw, s, e):
+    """Words that end in . ! or ?, or in one of them before closing quotes and brackets."""
+    at = e - 1
+    k = np.arange(len(at))
+    for _ in range(CLOSING):
+        last, one, two = raw[at[k]], raw[np.maximum(at[k] - 1, s[k])], raw[np.maximum(at[k] - 2, s[k])]
+        back = np.where(_CLOSE[last], 1, np.where((last == 0xBB) & (one == 0xC2), 2,
+                        np.where(((last == 0x99) | (last == 0x9D)) & (one == 0x80) & (two == 0xE2), 3, 0)))
+        k, back = k[back > 0], back[back > 0]
+        if not len(k):
+            break
+        at[k] = np.maximum(at[k] - back, s[k])
+    return _STOP[raw[at]]
+
+
+def _least(h, end):
+    """The word of least hash of every WINDOW words in a row of one sentence, the first of equal ones."""
+    out, m = np.zeros(len(h), bool), len(h) - WINDOW + 1
+    if m < 1:
+        return out
+    v = mix64(h) >> np.uint64(20)
+    best, at = v[:m].copy(), np.arange(m)
+    for k in range(1, WINDOW):
+        less = np.flatnonzero(v[k:k + m] < best)
+        best[less], at[less] = v[k:k + m][less], less + k
+    sentence = np.cumsum(end) - end
+    out[at[sentence[:m] == sentence[WINDOW - 1:]]] = True
+    return out
 
 
 class Spans:
@@ -50,12 +90,10 @@ class Spans:
             return
         breaks = np.flatnonzero(raw == 10)
         line = np.searchsorted(breaks, s)
-        end = _STOP[raw[e - 1]]
+        end = _stops(raw, s, e)
         end[:-1] |= (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
         end[-1] = True
-        first = np.flatnonzero(np.r_[True, end[:-1]])
-        size = np.diff(np.r_[first, n])
-        end |= (np.repeat(size, size) > LONG_SENTENCE) & ((mix64(h) >> np.uint64(20)) & CUT == 0)
+        end |= _least(h, end)
         self.first = np.flatnonzero(np.r_[True, end[:-1]])
         self.last = np.r_[self.first[1:], n]
         self.doc = doc[self.first]

@@ -103,3 +103,34 @@ def test_repeated_rows_extra_columns_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.text, r.at) for r in S.remove_repeats(df).collect())
     assert got == [(0, text, "z"), (1, text, "x"), (1, text, "x"), (2, "", "y")]
     assert S.remove_repeats(df.where("false")).count() == 0
+
+
+def test_no_50_words_stay_twice_wherever_they_stand(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7)) + r.choice([""] * 14 + [".", '."', "?)"]) * punctuated
+    rows = []
+    for k in range(150):
+        punctuated = k % 2
+        passage = [word() for _ in range(51)]
+        for side in (0, 1):
+            lead, tail = ([word() for _ in range(r.randrange(3, 40))] for _ in range(2))
+            rows.append((2 * k + side, " ".join(lead + passage + tail)))
+
+    def windows(texts):
+        seen: dict = {}
+        for i, t in texts:
+            w = t.lower().split()
+            for a in range(len(w) - 49):
+                seen.setdefault(tuple(w[a:a + 50]), set()).add((i, a))
+        return [x for x in seen.values() if len(x) > 1]
+
+    assert len(windows(rows)) == 300
+    got = run(spark, rows)
+    assert windows([(i, t) for i, (t, _) in got.items()]) == []
+    assert all(got[i] == (t, 0) for i, t in rows if i % 2 == 0)
+
+
+def test_a_stop_before_closing_quotes_ends_a_sentence():
+    for word, ends in (('a."', True), ("a.\u201d", True), ("a?')", True), ("a!\u00bb", True), ('a"', False), (')', False), ("a\u2019", False)):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        assert S._stops(raw, np.array([0]), np.array([len(raw)])).tolist() == [ends]
