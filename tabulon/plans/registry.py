@@ -612,46 +612,55 @@ def foreign_keys(spark, sf):
 
 @key("checklist")
 def checklist(spark, sf):
-    from .checklist import generate
-    db = C.driver_database(spark, sf, ["part", "orders", "customer"])
-    return generate(db)
+    from .checklist import DEFAULT_FAMILIES, generate
+    return generate(C.driver_database(spark, sf), families=[*DEFAULT_FAMILIES, "null"])
 
 
 @key("evaluate_checklist")
 def evaluate_checklist(spark, sf):
-    """Score a rewritten prediction (ASC and DESC swapped, >= relaxed to >) for every test of `part`."""
-    from .checklist import generate
+    """Score a rewritten prediction (ASC and DESC swapped, >= relaxed to >) for every test of all tables."""
+    from .checklist import DEFAULT_FAMILIES, generate
     from .evaluate import evaluate
-    db = C.driver_database(spark, sf, ["part"])
-    tests = generate(db)
+    tests = generate(C.driver_database(spark, sf), families=[*DEFAULT_FAMILIES, "null"])
     swapped = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         "query", " ASC$", " __D"), " DESC$", " ASC"), " __D$", " DESC")
     pred = F.replace(swapped, F.lit(">="), F.lit(">"))
     return evaluate(spark, tests.withColumn("prediction", pred), "query", "prediction")
 
 
-def _gold_sql() -> str:
+def _gold_sql(tables=("orders",)) -> str:
     parts = []
     for tbl, col in _AMB_COLS:
-        if tbl != "orders":
+        if tbl not in tables:
             continue
         parts.append(f"SELECT 'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' "
                      f"AS query, count(*) AS n_rows FROM {tbl} WHERE {col} IS NOT NULL GROUP BY {col}")
     return " UNION ALL ".join(parts)
 
 
-@key("gold_answers", _gold_sql())
-def gold_answers(spark, sf):
-    """Run every data-derived test query of `orders` once; rows per answer."""
+def _gold_counts(spark, tests):
     from .evaluate import gold_answers as gold, with_test_ids
-    C.driver_database(spark, sf, ["orders"])
-    tests = with_test_ids(value_tests(spark, sf).where(F.col("tbl_name") == "orders"))
+    tests = with_test_ids(tests)
     res, _ = gold(spark, tests, "query")
     counts = res.groupBy("test_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return (tests.join(counts, "test_id", "left")
                  .select("query", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))
 
 
+@key("gold_answers", _gold_sql())
+def gold_answers(spark, sf):
+    """Run every data-derived test query of `orders` once; rows per answer."""
+    C.driver_database(spark, sf, ["orders"])
+    return _gold_counts(spark, value_tests(spark, sf).where(F.col("tbl_name") == "orders"))
+
+
+@key("gold_answers_all", _gold_sql({tbl for tbl, _ in _AMB_COLS}))
+def gold_answers_all(spark, sf):
+    """Run every data-derived test query of all tables once; rows per answer."""
+    C.driver_database(spark, sf)
+    return _gold_counts(spark, value_tests(spark, sf))
+
+
 # ------------------------------------------------------- sources and sinks
 
 from ..sources import io as IO  # noqa: E402
@@ -722,10 +731,10 @@ AMBIGUITY_DROP_TAGS = ["HAVING-AGG-SUM-LS", "HAVING-AGG-AVG-LS", "DISTINCT-MULT"
 
 @key("ambiguity_pipeline")
 def ambiguity_pipeline(spark, sf):
-    """End to end: checklist of part and orders -> drop tags -> inject ambiguity."""
-    from .checklist import drop_tags, generate
-    db = C.driver_database(spark, sf, ["part", "orders"], db_name="tpch")
-    tests = drop_tags(generate(db, families=["project", "select", "groupby", "orderby"]), AMBIGUITY_DROP_TAGS)
+    """End to end: checklist of all tables -> drop tags -> inject ambiguity."""
+    from .checklist import DEFAULT_FAMILIES, drop_tags, generate
+    db = C.driver_database(spark, sf, db_name="tpch")
+    tests = drop_tags(generate(db, families=[*DEFAULT_FAMILIES, "null"]), AMBIGUITY_DROP_TAGS)
     tests = tests.withColumn("test_id", F.xxhash64("tbl_name", "sql_tag", "query", "question"))
     out = A.ambiguous_tests(tests, annotations(spark), 2.0)
     return out.select("tbl_name", "sql_tag", "query", "ambiguous_question", "swapped_attribute", "ambiguous_label",

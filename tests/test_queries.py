@@ -59,3 +59,24 @@ def test_rows_only(spark, name):
 
 def test_entry(spark):
     assert E.entry(spark).count() >= 1
+
+
+@pytest.mark.parametrize("name", ["checklist", "evaluate_checklist", "ambiguity_pipeline"])
+def test_checklist_keys_take_every_table_and_family(spark, monkeypatch, name):
+    from tabulon.plans import checklist
+    from tabulon.sources.catalog import DRIVER_FOREIGN_KEYS
+
+    class Asked(Exception):
+        pass
+
+    def generate(db, families=None, **_):
+        raise Asked(set(db.tables), set(families or checklist.DEFAULT_FAMILIES), list(db.foreign_keys))
+    monkeypatch.setattr(checklist, "generate", generate)
+    with pytest.raises(Asked) as asked:
+        E.queries()[name](spark, SF_SMALL)
+    assert asked.value.args == (set(DRIVER_TABLES), {*checklist.DEFAULT_FAMILIES, "null"}, DRIVER_FOREIGN_KEYS)
+
+
+def test_gold_answers_of_all_value_tests(spark):
+    tables = {r["query"].split("`")[1] for r in E.queries()["gold_answers_all"](spark, SF_SMALL).collect()}
+    assert tables == {"part", "orders"}
