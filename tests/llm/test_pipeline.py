@@ -47,3 +47,11 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert {r.doc_id for r in P.near_dedup(spark, docs, SF).collect()} == {1, 2, 3, None}
     for _, stage in P.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_an_id_with_another_text_keeps_it(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(5, "A"), (5, "B"), (9, "A"), (7, "C"), (8, "C")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in P.exact_dedup(spark, docs, "").collect())
+    assert got == [(5, "B"), (8, "C"), (9, "A")]
