@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 import public_tokenizers
 
-from tabulon.llm import ann, quality, sentencepieces, toxicity, warc, wavelet
+from tabulon.llm import ann, lexical, quality, sentencepieces, toxicity, warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids, link_counts
 from tabulon.llm.packing import pack
@@ -61,12 +61,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op1_ngram_links, op2_exact_dedup, op3_ann, op4_warc, op5_sentencepiece, op6_packing,
-                                   op7_token_output, op8_substring_dedup, op9_toxicity, op10_quality, pipeline)}
+                                   op7_token_output, op8_substring_dedup, op9_toxicity, op10_quality, op11_lexical_search, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D]+')"""
@@ -91,6 +95,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
 }
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+c AS (SELECT r, doc_id, w, count(*) AS tf FROM (SELECT r, doc_id, unnest({_TERMS}) AS w FROM d) GROUP BY ALL),
+l AS (SELECT r, sum(tf)::BIGINT AS n FROM c GROUP BY r),
+t AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+f AS (SELECT w, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM c, t GROUP BY w),
+i AS (SELECT item_id, w, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+m AS (SELECT r, 100 - 25 + (25 * n * docs) // total AS m FROM l, t),
+s AS (SELECT item_id, r, doc_id, sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM i JOIN c USING (w) JOIN f USING (w) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20"""
+
 #: The SQL of op1_ngram_join with the number of links of each document.
 ORACLE_SQL["op1_ngram_links"] = ORACLE_SQL["op1_ngram_join"].replace(
     "m.component_id\nFROM", "m.component_id, coalesce(k.n_links, 0) AS n_links\nFROM"
