@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 import public_tokenizers
 
-from tabulon.llm import ann, lexical, quality, sentencepieces, toxicity, warc, wavelet
+from tabulon.llm import ann, lexical, licenses, quality, sentencepieces, toxicity, vector_codes, warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
 from tabulon.llm.ngram_join import component_ids, link_counts
 from tabulon.llm.packing import pack
@@ -65,12 +65,21 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op1_ngram_links, op2_exact_dedup, op3_ann, op4_warc, op5_sentencepiece, op6_packing,
-                                   op7_token_output, op8_substring_dedup, op9_toxicity, op10_quality, op11_lexical_search, pipeline)}
+                                   op7_token_output, op8_substring_dedup, op9_toxicity, op10_quality, op11_lexical_search,
+                                   op12_vector_codes, op13_license_scan, pipeline)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                 '[^\x20\x09-\x0D]+')"""
@@ -112,6 +121,31 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 WHERE rank <= 20"""
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd rounds unrolled: x are the parts, b the codebooks, m the nearest entry (distance, index) of every part."""
+    near = """SELECT r, part, min(struct_pack(d := list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+      FROM x JOIN b{k} b USING (part) GROUP BY r, part"""
+    steps = "".join(f"""
+m{k} AS MATERIALIZED ({near.format(k=k)}),
+s{k} AS (SELECT part, m.e AS e, place, floor(sum(value)::DOUBLE / count(*))::BIGINT AS value
+      FROM (SELECT part, m, unnest(v) AS value, generate_subscripts(v, 1) AS place FROM m{k} JOIN x USING (r, part)) GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT part, e, list(value ORDER BY place) AS v FROM s{k} GROUP BY ALL) n USING (part, e)),"""
+                    for k in range(rounds))
+    return f"""
+WITH u AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT r, part, list_slice(v, part * (len(v) // 4) + 1, (part + 1) * (len(v) // 4)) AS v FROM u, range(4) p(part)),
+b0 AS (SELECT part, r AS e, v FROM x WHERE r < 256),{steps}
+a AS ({near.format(k=rounds)}),
+c AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM u JOIN c USING (r), h"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql()
+
 #: The SQL of op1_ngram_join with the number of links of each document.
 ORACLE_SQL["op1_ngram_links"] = ORACLE_SQL["op1_ngram_join"].replace(
     "m.component_id\nFROM", "m.component_id, coalesce(k.n_links, 0) AS n_links\nFROM"
