@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import shapes as S
 from ..operators.ranking import global_positions
 from ..sources import catalog as C
+from ..sources import keys as K
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -591,23 +592,59 @@ def catalog_profile(spark, sf):
 
 _DECLARED_FK_SQL = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in C.DRIVER_FOREIGN_KEYS)
 _PK_SQL = ", ".join(f"('{tb}', '{k[0]}')" for tb, k in C.DRIVER_PRIMARY_KEYS.items() if len(k) == 1)
+_NO_KEYS = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+_KEY_COLS = [(tb, c, k[0]) for tb, cols in _SCHEMAS.items() for c, k in cols if c not in _NO_KEYS]
+
+# Every value of every column that can be a key, with its count; per column sums; pairs of columns by common values.
+_KEY_CTES = f"""
+cols(col, tbl_name, column_name) AS (VALUES {", ".join(f"({i}, '{tb}', '{c}')" for i, (tb, c, _) in enumerate(_KEY_COLS))}),
+v AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {i} AS col, '{k}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {tb} WHERE {c} IS NOT NULL GROUP BY {c}"
+                          for i, (tb, c, k) in enumerate(_KEY_COLS))}),
+per AS (SELECT col, CAST(sum(n) AS BIGINT) AS n_values, count(*) AS n_distinct, count(*) FILTER (n > 1) AS n_repeated FROM v GROUP BY col),
+common AS MATERIALIZED (SELECT a.col AS a, b.col AS b, count(*) AS k, CAST(sum(a.n) AS BIGINT) AS n FROM v a JOIN v b ON a.kind = b.kind AND a.value = b.value AND a.col <> b.col GROUP BY ALL),
+inside AS (SELECT a, b FROM common JOIN per ON a = col WHERE k = n_distinct)"""
+
+
+@key("column_keys", f"""
+WITH {_KEY_CTES}
+SELECT c.tbl_name, c.column_name, coalesce(n_values, 0) AS n_values, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_repeated, 0) AS n_repeated,
+       coalesce(n_repeated, 1) = 0 AS is_unique, coalesce(i.included_in, '') AS included_in
+FROM cols c LEFT JOIN per USING (col)
+LEFT JOIN (SELECT a AS col, string_agg(o.tbl_name || '.' || o.column_name, ',' ORDER BY o.tbl_name || '.' || o.column_name) AS included_in
+           FROM inside JOIN cols o ON o.col = b GROUP BY a) i USING (col)""")
+def column_keys(spark, sf):
+    """Unique columns and inclusion dependencies of all tables, from their rows."""
+    got = K.column_keys(C.load_tables(spark, sf, C.DRIVER_TABLES))
+    return got.withColumn("included_in", F.array_join("included_in", ","))
 
 
 @key("foreign_keys", f"""
-WITH cols AS (SELECT table_name AS tbl_name, column_name FROM information_schema.columns
-              WHERE table_name IN ({", ".join(f"'{x}'" for x in C.DRIVER_TABLES)})
-                AND (data_type IN ('VARCHAR', 'BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')
-                     OR data_type LIKE 'DECIMAL%')),
+WITH {_KEY_CTES},
 pks(child_table, child_column) AS (VALUES {_PK_SQL}),
-declared(tbl_name, parent_column, child_table, child_column) AS (VALUES {_DECLARED_FK_SQL})
-SELECT DISTINCT * FROM (
-  SELECT c.tbl_name, c.column_name AS parent_column, p.child_table, p.child_column
-  FROM cols c JOIN pks p ON c.column_name = p.child_column WHERE c.tbl_name <> p.child_table
-  UNION ALL SELECT * FROM declared)""")
+declared(tbl_name, parent_column, child_table, child_column) AS (VALUES {_DECLARED_FK_SQL}),
+named AS (SELECT c.tbl_name, c.column_name AS parent_column, p.child_table, p.child_column FROM cols c JOIN pks p ON c.column_name = p.child_column
+          WHERE c.tbl_name <> p.child_table EXCEPT SELECT * FROM declared),
+found AS (SELECT x.tbl_name, x.column_name AS parent_column, y.tbl_name AS child_table, y.column_name AS child_column
+          FROM inside JOIN cols x ON x.col = a JOIN cols y ON y.col = b JOIN per ON per.col = b WHERE n_repeated = 0 AND x.tbl_name <> y.tbl_name
+          EXCEPT (SELECT * FROM declared UNION ALL SELECT * FROM named)),
+pairs AS (SELECT *, 'declared' AS origin FROM declared UNION ALL SELECT *, 'name' FROM named UNION ALL SELECT *, 'data' FROM found)
+SELECT p.*, coalesce(x.n_values, 0) AS n_references, coalesce(x.n_values, 0) - coalesce(common.n, 0) AS n_orphans, coalesce(y.n_repeated, 0) AS n_repeated
+FROM pairs p JOIN cols a ON a.tbl_name = p.tbl_name AND a.column_name = p.parent_column
+JOIN cols b ON b.tbl_name = p.child_table AND b.column_name = p.child_column
+LEFT JOIN per x ON x.col = a.col LEFT JOIN per y ON y.col = b.col LEFT JOIN common ON common.a = a.col AND common.b = b.col""")
 def foreign_keys(spark, sf):
-    tables = C.load_tables(spark, sf, C.DRIVER_TABLES)
-    pks = {tb: k for tb, k in C.DRIVER_PRIMARY_KEYS.items()}
-    return C.infer_foreign_keys(C.schema_rows(spark, tables, pks), C.DRIVER_FOREIGN_KEYS)
+    """Foreign keys, declared, by name and found in the rows, with referring rows, orphans and repeated referred values."""
+    return K.references(C.load_tables(spark, sf, C.DRIVER_TABLES), C.DRIVER_PRIMARY_KEYS, C.DRIVER_FOREIGN_KEYS)
+
+
+@key("primary_keys", " UNION ALL ".join(
+    f"SELECT '{tb}' AS tbl_name, '{','.join(k)}' AS key_columns, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, "
+    f"CAST(coalesce(sum(n) FILTER ({' OR '.join(f'{c} IS NULL' for c in k)}), 0) AS BIGINT) AS n_null, "
+    f"count(*) FILTER (n > 1 AND {' AND '.join(f'{c} IS NOT NULL' for c in k)}) AS n_repeated "
+    f"FROM (SELECT {', '.join(k)}, count(*) AS n FROM {tb} GROUP BY ALL)" for tb, k in C.DRIVER_PRIMARY_KEYS.items()))
+def primary_keys(spark, sf):
+    """Declared primary keys against the rows: nulls and key values that repeat."""
+    return K.primary_key_checks(C.load_tables(spark, sf, list(C.DRIVER_PRIMARY_KEYS)), C.DRIVER_PRIMARY_KEYS)
 
 
 @key("checklist")
