@@ -25,9 +25,11 @@ A group of m near copies has up to m * m / 2 links; they are stored packed, a
 node's partners in one row for each pair of blocks.
 
 Defined cases: null text is empty text; an empty set links with nothing and
-is its own component; fewer than five words are one shingle; repeated ids are
-separate rows of one node; an empty table gives an empty result. Columns other
-than the id and the text are ignored.
+is its own component; fewer than five words are one shingle; rows that share an
+id (or have none) are documents of their own, each with the links of its own
+text, and a component is named by its smallest id, null if it has none; an
+empty table gives an empty result. Columns other than the id and the text are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tabulon.llm.components import components
-from tabulon.llm.shared import arrow_batches, bucketed, stored, text_buffers, with_text
+from tabulon.llm.components import components, merged
+from tabulon.llm.shared import arrow_batches, bucketed, scratch, sized, stored, text_buffers, with_text
 from tabulon.llm.shingles import parity_bits, shingle_sets
 
 #: A shingle in one of so many documents counts as frequent. It only moves it to the end of the prefix order;
@@ -54,6 +57,8 @@ HOT_KEYS = 1 << 20
 DESCRIBED = 4000
 #: Prefix rows that one task takes, and rows of a tile's block.
 ROWS_PER_TASK, BLOCK = 500_000, 2048
+#: Rows without texts or bitmaps, rows with bitmaps, and pairs with both texts that one task of a round takes at least.
+SMALL_ROWS, BIT_ROWS, TEXT_PAIRS = 200_000, 20_000, 1000
 #: Prefix rows that a task packs at once, and pairs whose repeats it remembers.
 PACKED_ROWS, REMEMBERED_PAIRS = 500_000, 100_000
 #: Nodes, and shingles, of a component's block.
@@ -65,14 +70,17 @@ _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
 
 @dataclass
 class Join:
-    """sets(doc_id, n_shingles, rep, copies): copies are the documents of the set; links(a, b): all links between
-    representatives, a < b; components(node, label) of the linked representatives; linked(node, n_links): the documents of
-    other sets that each of them links with. With components only, links are some that span every component, linked is None."""
+    """sets(doc_id, n_shingles, dig, rep, first, copies): the node of the document's set, the smallest id and the number of the
+    set's documents; links(a, b): all links between nodes, a < b; components(node, label) of the linked nodes; linked(node,
+    n_links): the documents of other sets that each of them links with. With components only, links are some that span every
+    component, linked is None. A node is the smallest id of its set, or a 64-bit hash of it and the set if several rows have that
+    id or it is null; odd(doc_id) holds such ids, None if there are none."""
 
     sets: DataFrame
     links: DataFrame
     components: DataFrame
     linked: DataFrame | None = None
+    odd: DataFrame | None = None
 
 
 def _read(batches: Iterator[pa.RecordBatch]):
@@ -217,11 +225,18 @@ def _with_bits(batches):
             ends = np.cumsum(sizes)
             bits += [parity_bits(flat[e - k:e]) for k, e in zip(sizes, ends, strict=True)]
         yield pa.RecordBatch.from_pydict({
-            "sid": b.column("sid").cast(pa.int64()), "rep": b.column("doc_id").cast(pa.int64()),
+            "sid": b.column("sid").cast(pa.int64()), "rep": b.column("rep").cast(pa.int64()),
             "n": pa.array(np.concatenate(n) if n else [], pa.int64()), "bits": pa.array(bits, pa.binary()),
             "text": b.column("text").cast(pa.string())})
 
 
+def _set_digests(batches):
+    """Every row with the digest of its text's set (empty without words)."""
+    for b, offsets, raw in _read(batches):
+        dig = [d for _, _, sizes, flat in shingle_sets(offsets, raw) for d in _digests(sizes, flat)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dig, pa.binary())], [*b.schema.names, "dig"])
+
+
 class _Bits:
     """Bitmaps of many nodes in one flat array of 64-bit words."""
 
@@ -381,8 +396,8 @@ def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     so that only texts of pairs move."""
     def side(s, col):
         return nodes.select(F.col("rep").alias(s), F.col(col).alias(f"{col}_{s}"))
-    both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact, _PAIR), "links")
+    both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    return stored(sized(both, pairs.count(), TEXT_PAIRS).mapInArrow(_exact, _PAIR), "links")
 
 
 _LINKED = "node long, n_links long, others array<long>"
@@ -439,22 +454,22 @@ def _star_pairs(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each node with the smallest node of each of its tiles, if the size band and the bit bound allow a link."""
     hubs = stored(tiles.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("m"), F.max("sid").alias("x"))
                   .where("m.sid != x").select("key", F.col("m.sid").alias("hub"), F.col("m.n").alias("hub_n")), "hubs")
-    near = (tiles.join(hubs, "key").where("sid != hub and 5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
-            .select("sid", "hub").distinct())
+    near = stored(tiles.join(hubs, "key").where("sid != hub and 5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
+                  .select("sid", "hub").distinct(), "star-mates")
     def side(s, sid):
         return nodes.select(F.col("sid").alias(sid), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    pairs = near.join(side("a", "sid"), "sid").join(side("b", "hub"), "hub")
-    return stored(pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bound, _PAIR), "star")
+    pairs = near.join(side("a", "sid"), "sid").join(side("b", "hub"), "hub").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return stored(sized(pairs, near.count(), BIT_ROWS).mapInArrow(_bound, _PAIR), "star")
 
 
 def _mixed(rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, rep, label, blocks) of the tiles that hold nodes of two groups at least; rows: (key, rep)."""
-    group = stored(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-                   .select("rep", F.coalesce("label", "rep").alias("label")), "groups")
-    placed = stored(rows.join(group, "rep"), "placed")
-    mixed = stored(placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
-                   .where("x != y").select("key", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("blocks")), "mixed")
-    return stored(placed.join(mixed, "key").select("key", "rep", "label", "blocks"), "tiles-mixed")
+    size = rows.count()
+    group = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    placed = stored(sized(rows.join(group, "rep"), size, SMALL_ROWS), "placed")
+    mixed = (placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"))
+             .where("x != y").select("key", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("blocks")))
+    return stored(sized(placed.join(mixed, "key").select("key", "rep", "label", "blocks"), size, SMALL_ROWS), "tiles-mixed")
 
 
 def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
@@ -464,9 +479,10 @@ def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
             .select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "label"))
     full = rows.join(nodes.select("rep", "n", "bits"), "rep")
-    spread = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return stored(spread.select("key", "lo", "hi", "block", "rep", "label", "n", "bits")
-                  .mapInArrow(_compare_tiles(nearest), f"key long, {_PAIR}" if nearest else _PAIR).distinct(), "cross")
+    spread = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "block", "rep", "label", "n", "bits")
+    size = mixed.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    found = sized(spread, size, BIT_ROWS).mapInArrow(_compare_tiles(nearest), f"key long, {_PAIR}" if nearest else _PAIR)
+    return stored(sized(found.distinct(), size, SMALL_ROWS), "cross")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> Join:
@@ -483,9 +499,16 @@ def _join(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Join:
     source = with_text(docs, id_col, text_col)
     described = stored(source.mapInArrow(_describe, _SETS), "sets")
     own = described.where("hot is null")
-    reps = stored(own.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    sets = own.join(reps, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"),
-                                                F.coalesce("copies", F.lit(1)).alias("copies"))
+    odd = stored(own.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "odd-ids")
+    odd = None if odd.isEmpty() else odd
+    reps = own.where("n > 0").groupBy("dig").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    if odd is None:
+        reps = stored(reps.select("*", F.lit(False).alias("odd"), F.col("first").alias("rep")), "reps")
+    else:
+        reps = reps.join(odd.select(F.col("doc_id").alias("own"), F.lit(True).alias("odd")), F.col("first").eqNullSafe(F.col("own")), "left").drop("own")
+        node = F.when(F.col("odd"), F.xxhash64("first", "dig")).otherwise(F.col("first"))
+        reps = stored(reps.select("dig", "first", "copies", F.coalesce("odd", F.lit(False)).alias("odd"), node.alias("rep")), "reps")
+    sets = own.join(reps, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), "dig", "rep", "first", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("prefix"), F.lit(0)).alias("rows")).first()
     tasks = max(spark.sparkContext.defaultParallelism, total.rows // ROWS_PER_TASK + 1)
@@ -497,26 +520,33 @@ def _join(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Join:
     packed = source.mapInArrow(_prefixes(hot, 8 * tasks), "bucket long, kind int, rows binary")
     tiles = stored(packed.repartition(tasks, "bucket").mapInArrow(_tiles, _TILE), "tiles")
 
-    sids = reps.select(F.col("rep").alias("doc_id"), _sid_column("dig").alias("sid"))
-    wanted = sids.join(tiles.select("sid").distinct(), "sid").select("doc_id", "sid")
-    nodes = bucketed(source.join(wanted, "doc_id").select("doc_id", "sid", "text").mapInArrow(_with_bits, _NODES), "nodes", "rep")
+    wanted = reps.select("rep", "first", "odd", _sid_column("dig").alias("sid")).join(tiles.select("sid").distinct(), "sid")
+    texts = source.join(wanted.where("not odd").select(F.col("first").alias("doc_id"), "rep", "sid"), "doc_id").select("rep", "sid", "text")
+    if odd is not None:
+        # ids that say too little: one text of each set, by the set itself
+        theirs = source.join(odd.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+        theirs = theirs.mapInArrow(_set_digests, "doc_id long, text string, dig binary").select(_sid_column("dig").alias("sid"), "text").dropDuplicates(["sid"])
+        texts = texts.unionByName(theirs.join(wanted.where("odd").select("rep", "sid"), "sid").select("rep", "sid", "text"))
+    nodes = bucketed(texts.mapInArrow(_with_bits, _NODES), "nodes", "rep")
 
     links = _verify(_star_pairs(tiles, nodes), nodes)
     labels = stored(components(links), "groups")
-    rows = tiles.join(nodes.select("sid", "rep"), "sid").select("key", "rep").distinct()
+    rows = stored(tiles.join(nodes.select("sid", "rep"), "sid").select("key", "rep").distinct(), "tile-nodes")
     for nearest in (True, True, False):
         mixed = _mixed(rows, nodes.select("rep"), labels)
         found = _cross_pairs(mixed, nodes, nearest)
-        rows = found.select("key", F.col("a").alias("rep")).distinct() if nearest else None
-        more = _verify(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes)
+        size = found.count()
+        rows = stored(sized(found.select("key", F.col("a").alias("rep")).distinct(), size, SMALL_ROWS), "tile-nodes") if nearest else None
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _verify(stored(sized(pairs, size, SMALL_ROWS), "pairs"), nodes)
         if not more.isEmpty():
             links = links.union(more)
-            labels = stored(components(links), "groups")
+            labels = stored(merged(labels, more), "groups")
     if not whole:
-        return Join(sets, links, labels)
+        return Join(sets, links, labels, odd=odd)
     packed = _all_links(labels, reps.select("rep", "copies"), nodes)
     pairs = packed.select("node", F.explode("others").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    return Join(sets, pairs, labels, packed.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    return Join(sets, pairs, labels, packed.groupBy("node").agg(F.sum("n_links").alias("n_links")), odd)
 
 
 def _sid_column(dig: str):
@@ -527,18 +557,51 @@ def _sid_column(dig: str):
     return F.shiftleft(high, 32).bitwiseOR(low)
 
 
+def _members(join: Join) -> DataFrame:
+    """doc_id, n_shingles, dig, rep, copies, grp (the component's label, null for empty sets), component_id of every document."""
+    labels = join.components.select(F.col("node").alias("rep"), "label")
+    members = join.sets.join(labels, "rep", "left").withColumn("grp", F.coalesce("label", "rep"))
+    if join.odd is None:
+        return members.withColumn("component_id", F.coalesce("label", "first", "doc_id"))
+    members = stored(members, "members-odd")
+    name = members.where("grp is not null").groupBy(F.col("grp").alias("of")).agg(F.min("first").alias("name"))
+    return (members.join(name, F.col("grp") == F.col("of"), "left")
+            .withColumn("component_id", F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("name"))))
+
+
 def component_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every document; ``links`` as for the join."""
-    join = ngram_join(docs, id_col, text_col, links)
-    labels = join.components.select(F.col("node").alias("rep"), "label")
-    return (stored(join.sets, "members").join(labels, "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")))
+    return _members(ngram_join(docs, id_col, text_col, links)).select("doc_id", "n_shingles", "component_id")
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``component_ids``, and n_links: the other documents that a document links with, those of an equal set included."""
     join = ngram_join(docs, id_col, text_col)
-    own = join.components.join(join.linked, "node", "left").withColumnRenamed("node", "rep")
-    return (stored(join.sets, "members").join(own, "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"),
-                    (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")))
+    own = join.linked.withColumnRenamed("node", "rep")
+    others = F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return stored(_members(join), "members").join(own, "rep", "left").select("doc_id", "n_shingles", "component_id", others.alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each component the row of smallest id stays, of rows that share it the one of
+    the smallest set digest, of equal sets any one; rows without words all stay."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        join = ngram_join(docs, id_col, text_col, links=False)
+        members = stored(_members(join).select("doc_id", "dig", "grp", "component_id"), "members")
+        # a component without an id has null ones only, which are odd
+        gone = stored(members.where("doc_id != component_id or (doc_id is not null and component_id is null)").select(F.col("doc_id").alias("gone")).distinct(), "gone", lasting=True)
+        if join.odd is not None:
+            odd = stored(join.odd.select(F.col("doc_id").alias("odd")), "odd", lasting=True)
+            first = members.where("grp is not null and doc_id <=> component_id").groupBy("grp").agg(F.first("doc_id").alias("own"), F.min("dig").alias("own_dig"))
+            first = stored(first.join(odd, F.col("own").eqNullSafe(F.col("odd")), "left_semi").select("own", "own_dig"), "first", lasting=True)
+    key = F.col(id_col).cast("long")
+    if join.odd is None:
+        return docs.join(gone, key == F.col("gone"), "left_anti")
+    plain = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_anti").join(gone, key == F.col("gone"), "left_anti")
+    rows = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_semi")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(_set_digests, StructType([*rows.schema.fields, StructField("dig", BinaryType())]))
+    blank = rows.where(F.length("dig") == 0)
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("dig") == F.col("own_dig")), "left_semi").dropDuplicates(["doc_id", "dig"])
+    return plain.unionByName(blank.unionByName(kept).select("row.*"))

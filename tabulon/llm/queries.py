@@ -9,18 +9,19 @@ import public_tokenizers
 
 from tabulon.llm import ann, lexical, licenses, quality, sentencepieces, toxicity, vector_codes, warc, wavelet
 from tabulon.llm.exact_dedup import exact_groups
-from tabulon.llm.ngram_join import component_ids, link_counts
+from tabulon.llm.ngram_join import link_counts
 from tabulon.llm.packing import pack
 from tabulon.llm.shared import table
 from tabulon.llm.substring_dedup import remove_repeats
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return component_ids(table(spark, sf_dir, "documents"))
+    return link_counts(table(spark, sf_dir, "documents"))
 
 
 def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_counts(table(spark, sf_dir, "documents"))
+    """The columns of op1_ngram_join under its former key."""
+    return op1_ngram_join(spark, sf_dir)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +96,10 @@ c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.
 l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, coalesce(k.n_links, 0) AS n_links
 FROM documents d LEFT JOIN n USING (doc_id)
-JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) m USING (doc_id)""",
+JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) m USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) k USING (doc_id)""",
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -145,8 +147,4 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 ORACLE_SQL["op12_vector_codes"] = _codes_sql()
-
-#: The SQL of op1_ngram_join with the number of links of each document.
-ORACLE_SQL["op1_ngram_links"] = ORACLE_SQL["op1_ngram_join"].replace(
-    "m.component_id\nFROM", "m.component_id, coalesce(k.n_links, 0) AS n_links\nFROM"
-) + "\nLEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) k USING (doc_id)"
+ORACLE_SQL["op1_ngram_links"] = ORACLE_SQL["op1_ngram_join"]

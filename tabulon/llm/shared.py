@@ -67,6 +67,12 @@ def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
         spark.conf.unset(key) if held is None else spark.conf.set(key, held)
 
 
+def sized(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in a number of tasks that goes by its ``rows``, where shuffle partitions are more: rounds over small tables cost
+    what their tasks cost. Never fewer tasks than the cluster runs at once."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // per_task + 1))
+
+
 def _folder(spark: SparkSession, name: str, lasting: bool) -> str:
     path = work_dir(spark, name)
     if not lasting and _made.get() is not None:

@@ -103,3 +103,26 @@ def test_every_link_inside_a_group_is_returned_and_counted(spark, monkeypatch):
         rep = {i: min(j for j, u in rows if shingles(u) == shingles(t)) for i, t in rows if shingles(t)}
         links = [tuple(x) for x in J.ngram_join(df).links.collect()]
         assert len(links) == len(set(links)) and set(links) == {tuple(sorted((rep[i], rep[j]))) for i, j in want if rep[i] != rep[j]}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    base = [f"v{k}" for k in range(60)]
+    near = " ".join([*base[:59], "x"])
+    rows = [(1, " ".join(base)), (5, near), (5, "an unrelated text of some words"), (5, "an unrelated text of some words"), (5, ""), (5, None), (None, near + " y"), (None, "p q r s t u"),
+            (None, "p q r s t u"), (None, "z"), (7, "an unrelated text of some words"), (8, "unlike all the others here now"), (9, "z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = lambda x: (x[0] is None, x[0] or 0)
+    sets = [shingles(t) for _, t in rows]
+    link = lambda a, b: 100 * len(a & b) >= 80 * len(a | b) and bool(a)
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if link(a, b):
+                    group[i] = group[j] = min(group[i], group[j])
+    name = {g: min((rows[i] for i in range(len(rows)) if group[i] == g), key=key)[0] for g in group}
+    want = sorted(((r[0], len(s), name[g], sum(link(s, o) for j, o in enumerate(sets) if j != i)) for i, (r, s, g) in enumerate(zip(rows, sets, group, strict=True))), key=str)
+    assert sorted((tuple(r) for r in J.link_counts(df).collect()), key=str) == want
+    kept = sorted((tuple(r) for r in J.deduplicate(df.selectExpr("*", "map(1, 2) as row", "'d' as dig")).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(1, " ".join(base)), (5, "an unrelated text of some words"), (5, ""), (5, None), (None, "p q r s t u"), (None, "z"), (8, "unlike all the others here now"),
+                           (9, "z z")], key=str)
