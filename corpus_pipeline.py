@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.exact_dedup import exact_groups
-from tabulon.llm.ngram_join import component_ids
+from tabulon.llm.ngram_join import deduplicate
 from tabulon.llm.packing import pack
 from tabulon.llm.quality import accepted
 from tabulon.llm.shared import scratch, stored, table
@@ -66,9 +66,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    with scratch(spark):
-        gone = _ids(component_ids(docs, links=False).where("doc_id != component_id"))
-    return _without_ids(docs, gone)
+    return deduplicate(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
