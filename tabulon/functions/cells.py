@@ -5,11 +5,11 @@ Results are compared as bags of untyped cells, where ``1 == 1.0 == True``,
 becomes a string key with exactly that equality:
 
 * ``0``            null
-* ``1:<number>``   numbers and booleans; an integral value below 10**38 by its
-                   exact integer text (so ``1``, ``1.0`` and ``true`` all give
-                   ``1:1``), a decimal that a double cannot hold by its exact
-                   decimal text, any other value by its double text (shortest
-                   round-trip form, so distinct doubles give distinct text)
+* ``1:<number>``   numbers and booleans in one normal form of their digits
+                   (:func:`digits`), so ``1``, ``1.0`` and ``true`` all give
+                   ``1:1``: integers and decimals by their exact digits,
+                   doubles by the digits of their shortest round-trip text,
+                   integral doubles below 10**38 by their exact integer
 * ``2:<text>``     strings; dates, timestamps and other types by their text
 
 All of it is built from Spark SQL built-ins and stays in codegen.
@@ -40,26 +40,37 @@ def _exact_integer(d: Column) -> Column:
     return F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"))
 
 
+def digits(text: Column) -> Column:
+    """Normal form of a number's text, from its digits alone: no sign but ``-``, no needless zeros, no exponent where the
+    number lies between 1e-38 and 1e38, else ``<digits>e<position of the point>``."""
+    sign = F.when(F.trim(text).startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    whole, part = F.regexp_extract(text, r"^\s*[+-]?(\d*)", 1), F.regexp_extract(text, r"\.(\d*)", 1)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)", 1).try_cast("bigint"), F.lit(0))
+    every = F.concat(whole, part)
+    led = F.regexp_replace(every, r"^0+", "")
+    point = F.length(whole) + power - (F.length(every) - F.length(led))
+    own = F.regexp_replace(led, r"0+$", "")
+    size = F.length(own)
+    plain = (F.when(own == "", F.lit("0"))
+              .when(~point.between(-38, 38), F.concat(sign, own, F.lit("e"), point.cast("string")))
+              .when(point >= size, F.concat(sign, F.rpad(own, point.cast("int"), "0")))
+              .when(point > 0, F.concat(sign, F.substring(own, F.lit(1), point.cast("int")), F.lit("."), F.substring(own, point.cast("int") + 1, size)))
+              .otherwise(F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -point.cast("int")), own)))
+    return plain
+
+
 def number_key(x: Column) -> Column:
     """Key of a double value (not null)."""
     d = x.cast("double")
+    text = d.cast("string")
     small = (d == F.floor(d)) & (F.abs(d) < F.lit(9e18))
     large = F.abs(d).between(F.lit(9e18), F.lit(_DECIMAL_LIMIT)) & (F.abs(d) < F.lit(_DECIMAL_LIMIT))
     return (F.when(F.isnan(d), F.lit("1:nan"))
              .when(small, F.concat(F.lit("1:"), d.cast("bigint").cast("string")))
              .when(large, F.concat(F.lit("1:"), _exact_integer(d)))
-             .otherwise(F.concat(F.lit("1:"), d.cast("string"))))
-
-
-def _decimal_key(x: Column, dtype: T.DecimalType) -> Column:
-    """Key of a decimal with a scale: whole numbers as integers, others as doubles if those hold them exactly enough to come back."""
-    kind = f"decimal({dtype.precision},{dtype.scale})"
-    text = x.cast("string")
-    whole = F.regexp_extract(text, r"^(-?\d+)\.0*$", 1)
-    back = x.cast("double").cast(kind)
-    return (F.when(whole != "", F.concat(F.lit("1:"), F.when(whole == "-0", F.lit("0")).otherwise(whole)))
-             .when(F.coalesce(back == x, F.lit(False)), number_key(x))
-             .otherwise(F.concat(F.lit("1:"), F.regexp_replace(text, r"0+$", ""))))
+             .when(F.abs(d) == float("inf"), F.concat(F.lit("1:"), text))
+             .when(text.contains("E"), F.concat(F.lit("1:"), digits(text)))
+             .otherwise(F.concat(F.lit("1:"), text)))
 
 
 def cell_key(x: Column, dtype: T.DataType) -> Column:
@@ -69,7 +80,7 @@ def cell_key(x: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DecimalType) and dtype.scale == 0:
         key = F.concat(F.lit("1:"), x.cast("string"))
     elif isinstance(dtype, T.DecimalType):
-        key = _decimal_key(x, dtype)
+        key = F.concat(F.lit("1:"), digits(x.cast("string")))
     elif isinstance(dtype, _FRACTIONAL):
         key = number_key(x)
     elif isinstance(dtype, T.BooleanType):
@@ -93,12 +104,15 @@ def text_cell_key(x: Column) -> Column:
 
     A literal answer has lost its types; text that reads as a number is
     compared as that number, ``None``/``null`` as null, ``True``/``False`` as 1/0.
+    Numbers go by their digits, never through a double, but for those printed
+    with an exponent: only floats are printed so, and an integral one is the
+    exact integer that the double holds.
     """
     s = F.trim(x)
     return (F.when(x.isNull() | s.isin("None", "null", "NULL"), F.lit("0"))
              .when(s.isin("True", "true"), F.lit("1:1"))
              .when(s.isin("False", "false"), F.lit("1:0"))
-             .when(s.rlike(_NUMBER_TEXT), number_key(s.cast("double")))
+             .when(s.rlike(_NUMBER_TEXT), F.when(s.rlike("[eE]"), number_key(s.cast("double"))).otherwise(F.concat(F.lit("1:"), digits(s))))
              .otherwise(F.concat(F.lit("2:"), x)))
 
 

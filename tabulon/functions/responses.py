@@ -87,44 +87,67 @@ def balanced_span(text) -> Column:
     return F.when(start > 0, F.coalesce(F.when(fast != "", fast), slow))
 
 
-def _python_literal_to_json(s: Column, tuples: bool) -> Column:
-    s = F.regexp_replace(s, r"(?<![\w'\"])None(?![\w'\"])", "null")
-    s = F.regexp_replace(s, r"(?<![\w'\"])True(?![\w'\"])", "true")
-    s = F.regexp_replace(s, r"(?<![\w'\"])False(?![\w'\"])", "false")
-    if tuples:
-        # Only structural parentheses: "(" at the start or after "[" / ",",
-        # ")" before "]" / "," or at the end.
-        s = F.regexp_replace(s, r"(^\s*|[\[,]\s*)\(", "$1[")
-        s = F.regexp_replace(s, r"\)(\s*(?:[\],]|$))", "]$1")
-    return s
-
-
-def rows_from_text(text, span: bool = True) -> Column:
-    """Rows (``array<array<string>>``) from a printed Python list; a flat list is one row.
+#: A quoted string of a Python literal, what stands for it while the rest is read, and the mark of a string's cell.
+_QUOTED = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+_HOLE, _MARK = "\ue001", "\ue002"
+#: Outside of strings, in this order: names, numbers (as strings, so that no digit is lost), brackets around one value, tuples
+#: as lists, the comma at a list's end.
+_OUTSIDE = [(r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"),
+            (r"(?<![\w.+-])([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|nan|inf|NaN|Infinity))(?![\w.])", '"$1"'),
+            (r"\(([^()\[\],]*[^()\[\],\s][^()\[\],]*)\)", "$1"),
+            (r"\(", "["), (r"\)", "]"), (r",(\s*\])", "$1")]
+#: Inside of strings, after an even number of backslashes: escapes that JSON writes otherwise or not at all.
+_INSIDE = [(r"\\x([0-9a-fA-F]{2})", r"\\u00$2"), (r"\\0(?![0-7])", r"\\u0000"), (r"\\a", r"\\u0007"), (r"\\v", r"\\u000b"), (r"\\'", "'"), ('"', r'\\"'),
+           (r"\\([^\\\"bfnrtu])", r"\\\\$2")]
+_JSON = {"allowUnquotedControlChars": "true"}
+
+
+def _json_string(quoted: Column, mark: str) -> Column:
+    """A quoted Python string as a JSON string."""
+    plain = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    fixed = plain
+    for pattern, to in _INSIDE:
+        fixed = F.regexp_replace(fixed, r"(?<!\\)((?:\\\\)*)" + pattern, "$1" + to)
+    return F.concat(F.lit('"' + mark), F.when(plain.contains("\\") | plain.contains('"'), fixed).otherwise(plain), F.lit('"'))
+
+
+def _outside(text: Column) -> Column:
+    """A printed Python literal with a hole for each string, its values and brackets as in JSON."""
+    out = F.regexp_replace(text, _QUOTED, _HOLE)
+    for pattern, to in _OUTSIDE:
+        out = F.regexp_replace(out, pattern, to)
+    return out
+
+
+def _filled(outside: Column, strings: Column, mark: str = "") -> Column:
+    """JSON text: the holes filled with the strings in order."""
+    between = F.split(outside, _HOLE)
+    return F.array_join(F.zip_with(between, F.transform(strings, lambda x: _json_string(x, mark)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    With ``span`` the first balanced bracket span is parsed (as in tool
-    output). ``None/True/False`` and tuples are read as JSON null, booleans
-    and lists; text that does not parse gives null. Cells keep their printed
-    text (``1`` stays ``"1"``).
-    """
-    src = balanced_span(text) if span else _c(text)
-    opts = {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"}
 
-    def parse(s):
-        nested = F.from_json(s, "array<array<string>>", opts)
-        flat = F.from_json(s, "array<string>", opts)
-        flat_ok = F.when(~F.exists(flat, lambda x: F.coalesce(x.startswith("["), F.lit(False))), F.array(flat))
-        return F.coalesce(nested, flat_ok)
+def _rows(outside: Column, json: Column) -> Column:
+    """Rows of a list of lists; a list of values is one row; null for anything else."""
+    nested = outside.rlike(r"^\s*\[\s*(\[|\]\s*$)")
+    flat = F.from_json(F.when(outside.rlike(r"^\s*\[[^\[]*$"), json), "array<string>", _JSON)
+    return F.when(nested, F.from_json(json, "array<array<string>>", _JSON)).otherwise(F.when(flat.isNotNull(), F.array(flat)))
 
-    def both(s):
-        return F.coalesce(parse(_python_literal_to_json(s, True)), parse(_python_literal_to_json(s, False)))
 
-    # Bind the span once (a one-element transform acts as a `let`), so the
-    # span is found once per row, not once per parse attempt.
-    return F.element_at(F.transform(F.array(src), both), 1)
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once (a one-element transform)."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-_MARK = "\ue002"
+def rows_from_text(text, span: bool = True, mark: str = "") -> Column:
+    """Rows (``array<array<string>>``) from a printed Python list; a flat list is one row.
+
+    With ``span`` the first balanced bracket span is parsed (as in tool output). Lists and tuples (``('x',)`` too) are rows,
+    ``None`` is null, strings are read with their escapes; text that is no such literal gives null. Cells keep their printed
+    text (``1`` stays ``"1"``, ``True`` is ``"true"``), a list inside a row is a cell with its JSON text. ``mark`` stands
+    before the text of quoted cells.
+    """
+    src = balanced_span(text) if span else _c(text)
+    parts = _let(src, lambda s: F.struct(F.regexp_extract_all(s, F.lit(_QUOTED), F.lit(0)).alias("strings"), _outside(s).alias("outside")))
+    return _let(parts, lambda p: _rows(p["outside"], _filled(p["outside"], p["strings"], mark)))
 
 
 def typed_rows(text, span: bool = True) -> Column:
@@ -132,36 +155,21 @@ def typed_rows(text, span: bool = True) -> Column:
 
     Every quoted string gets a mark after its opening quote before parsing; the mark is read and removed here.
     """
-    src = balanced_span(text) if span else _c(text)
-    marked = F.regexp_replace(src, r"""(['"])((?:(?!\1)[^\\]|\\.)*)\1""", "$1" + _MARK + "$2$1")
-    rows = rows_from_text(marked, span=False)
-
     def cell(x):
         quoted = F.coalesce(x.startswith(_MARK), F.lit(False))
         return F.struct(F.when(quoted, F.substring(x, 2, 1 << 30)).otherwise(x).alias("text"), quoted.alias("quoted"))
 
-    return F.transform(rows, lambda r: F.transform(r, cell))
+    return F.transform(rows_from_text(text, span, _MARK), lambda r: F.transform(r, cell))
 
 
 def parse_rows(df: DataFrame, text_col: str, out_col: str = "rows", span: bool = True) -> DataFrame:
-    """``rows_from_text`` as DataFrame steps: each intermediate (span, JSON
-    text, parse attempts) is its own column, computed once per row in
-    codegen, instead of one nested expression that repeats them."""
+    """``rows_from_text`` as DataFrame steps: span, strings and the text around them are columns of their own, computed once
+    per row, instead of one nested expression."""
     src = balanced_span(text_col) if span else F.col(text_col)
-    opts = {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"}
-    d = df.withColumn("_span", src).withColumn("_j", _python_literal_to_json(F.col("_span"), True))
-    d = d.withColumn("_n", F.from_json("_j", "array<array<string>>", opts))
-    d = d.withColumn("_jt", F.when(F.col("_n").isNull(), _python_literal_to_json(F.col("_span"), False)))
-    d = d.withColumn("_nt", F.when(F.col("_n").isNull(), F.from_json("_jt", "array<array<string>>", opts)))
-    flat = F.from_json(F.coalesce("_j", F.lit("")), "array<string>", opts)
-    flat_t = F.from_json(F.coalesce("_jt", F.lit("")), "array<string>", opts)
-
-    def only_scalars(a):
-        return F.when(~F.exists(a, lambda x: F.coalesce(x.startswith("["), F.lit(False))), F.array(a))
-
-    d = d.withColumn("_f", F.when(F.col("_n").isNull() & F.col("_nt").isNull(),
-                                  F.coalesce(only_scalars(flat), only_scalars(flat_t))))
-    return d.withColumn(out_col, F.coalesce("_n", "_nt", "_f")).drop("_span", "_j", "_n", "_jt", "_nt", "_f")
+    d = df.withColumn("_span", src)
+    d = d.withColumn("_strings", F.regexp_extract_all("_span", F.lit(_QUOTED), F.lit(0))).withColumn("_outside", _outside(F.col("_span")))
+    d = d.withColumn("_json", _filled(F.col("_outside"), F.col("_strings")))
+    return d.withColumn(out_col, _rows(F.col("_outside"), F.col("_json"))).drop("_span", "_strings", "_outside", "_json")
 
 
 def table_from_json(df: DataFrame, text_col: str, id_col: str) -> DataFrame:

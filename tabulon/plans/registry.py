@@ -514,6 +514,21 @@ def parse_rows(spark, sf):
                       RSP.runtime_seconds("printed").alias("runtime"))
 
 
+@key("parse_layouts", r"""
+SELECT o_orderkey, 'column' AS layout, '[["' || o_orderpriority || '"],["it''s"]]' AS rows_json FROM orders
+UNION ALL SELECT o_orderkey, 'row', '[["' || o_orderkey || '9007199254740993","' || o_orderkey || '.12345678901234567890",null]]' FROM orders
+UNION ALL SELECT o_orderkey, 'nested', '[["' || o_orderstatus || '","[\"a\",\"1\"]"],["say \"A\"","\\"]]' FROM orders""")
+def parse_layouts(spark, sf):
+    """Results printed as one-column tuples, as a single row with long numbers, and as lists with nesting and escapes."""
+    o = t(spark, sf, "orders")
+    number, text, status = F.col("o_orderkey").cast("string"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    layouts = {"column": F.concat(F.lit("result [('"), text, F.lit("""',), ("it's",)] end""")),
+               "row": F.concat(F.lit("["), number, F.lit("9007199254740993, "), number, F.lit(".12345678901234567890, None,]")),
+               "nested": F.concat(F.lit("[['"), status, F.lit(r"""', ['a', 1]], ['say "\x41"', '\\'],]"""))}
+    out = o.select("o_orderkey", F.explode(F.create_map(*[x for k, v in layouts.items() for x in (F.lit(k), v)])).alias("layout", "printed"))
+    return RSP.parse_rows(out, "printed").select("o_orderkey", "layout", F.to_json("rows").alias("rows_json"))
+
+
 _PREFIX = r"regexp_replace(array_to_string(lines[1:m], ' '), '^\s+|\s+$', '', 'g')"
 _PREFIX_WORDS = rf"(CASE WHEN {_PREFIX} = '' THEN 0 ELSE len(regexp_split_to_array({_PREFIX}, '\s+')) END)"
 
@@ -832,6 +847,23 @@ def evaluate_answers(spark, sf):
     return scored.select("target", *_ANSWER_METRICS, "tuple_order")
 
 
+@key("evaluate_exact_answers", "WITH per AS (SELECT o_orderstatus AS test_id, count(*) + 9007199254740992 AS n FROM orders GROUP BY o_orderstatus), "
+     "res AS (SELECT test_id, 't' AS side, 1 AS pos, ['1:' || n] AS cells FROM per "
+     "UNION ALL SELECT test_id, 'p', 1, ['1:' || CASE WHEN test_id = 'O' THEN n + 1 ELSE n END] FROM per), "
+     "tests AS (SELECT test_id FROM per)," + _METRIC_CTES
+     + " SELECT 'SELECT count(*) + 9007199254740992 AS n FROM orders WHERE o_orderstatus == ''' || test_id || '''' AS target, "
+     + ", ".join(f"{_METRIC_SQL[m]} AS {m}" for m in _ANSWER_METRICS) + " FROM m")
+def evaluate_exact_answers(spark, sf):
+    """Printed one-column answers beyond 2^53 against SQL targets; the answer for status O is off by one."""
+    from .evaluate import evaluate
+    C.driver_database(spark, sf, ["orders"])
+    per = t(spark, sf, "orders").groupBy("o_orderstatus").agg((F.count(F.lit(1)) + 9007199254740992).alias("n"))
+    given = F.when(F.col("o_orderstatus") == "O", F.col("n") + 1).otherwise(F.col("n"))
+    tests = per.select(F.concat(F.lit("SELECT count(*) + 9007199254740992 AS n FROM orders WHERE o_orderstatus == '"), F.col("o_orderstatus"), F.lit("'")).alias("target"),
+                       RSP.typed_rows(F.concat(F.lit("[("), given.cast("string"), F.lit(",)]"))).alias("prediction"))
+    return evaluate(spark, tests, "target", "prediction", _ANSWER_METRICS).select("target", *_ANSWER_METRICS)
+
+
 # Columns of the two prompt tables, for the oracle's record text ("str" is quoted).
 _PROMPT_COLS = {
     "part": [("p_partkey", "num"), ("p_name", "str"), ("p_brand", "str"), ("p_type", "str"), ("p_size", "num"),

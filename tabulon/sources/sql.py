@@ -6,8 +6,9 @@ statements) then fails to parse instead of running, ``WITH .. SELECT``
 works, and an inner ``ORDER BY`` keeps its order at the top. A newline
 before the closing bracket keeps a trailing line comment from swallowing it.
 
-A time limit is enforced by running the action in its own job group and
-cancelling the group from a timer.
+A time limit is enforced by a tag on the action's jobs, which a timer
+cancels. Tags belong to the calling thread, so several actions can run at
+once, each with its own limit, and the caller's job group stays as it is.
 """
 
 from __future__ import annotations
@@ -15,14 +16,10 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-try:  # Errors Spark raises for bad SQL text or at run time.
-    from pyspark.errors import AnalysisException, ParseException
-    SQL_ERRORS: tuple = (AnalysisException, ParseException, PySparkException)
-except ImportError:  # pragma: no cover
-    SQL_ERRORS = (PySparkException,)
+SQL_ERRORS: tuple = (AnalysisException, ParseException)
 
 DEFAULT_TIMEOUT_S = 500
 
@@ -32,19 +29,21 @@ _QUERY_STATES = ("21", "22", "23", "42", "0A", "54")
 
 
 def is_query_error(e: BaseException) -> bool:
-    """Whether an exception means that the query text itself failed, at analysis or at run time."""
+    """Whether an exception means that the query text itself failed, at analysis or at run time.
+
+    Errors at run time count by their SQLSTATE or that of a cause; without one it is not the query's fault.
+    """
     if isinstance(e, SQL_ERRORS):
         return True
-    cause, seen = getattr(e, "java_exception", None), 0
-    while cause is not None and seen < 20:
+    states = [e.getSqlState()] if isinstance(e, PySparkException) else []
+    cause = getattr(e, "java_exception", None) or getattr(e, "_origin", None)
+    while cause is not None and len(states) < 20:
         try:
-            state = cause.getSqlState()
+            states.append(cause.getSqlState())
         except Exception:  # noqa: BLE001  not a Spark error
-            state = None
-        if state:
-            return state[:2] in _QUERY_STATES
-        cause, seen = cause.getCause(), seen + 1
-    return False
+            states.append(None)
+        cause = cause.getCause()
+    return any(s and s[:2] in _QUERY_STATES for s in states)
 
 
 class QueryTimeout(Exception):
@@ -82,8 +81,7 @@ def run_query(spark: SparkSession, text: str, timeout_s: float = DEFAULT_TIMEOUT
               limit: int | None = None) -> list[list]:
     """Run a query and return its rows (for small results and tests only).
 
-    The job runs in its own job group and is cancelled after ``timeout_s``;
-    a cancelled run raises ``QueryTimeout``.
+    The job is cancelled after ``timeout_s``; a cancelled run raises ``QueryTimeout``.
     """
     df = sql_frame(spark, text)
     if limit is not None:
@@ -91,13 +89,16 @@ def run_query(spark: SparkSession, text: str, timeout_s: float = DEFAULT_TIMEOUT
     return [list(r) for r in with_time_limit(spark, df.collect, timeout_s)]
 
 
-def with_time_limit(spark: SparkSession, action, timeout_s: float):
-    """Run ``action()`` (a Spark action) and cancel its jobs after ``timeout_s``."""
-    sc = spark.sparkContext
-    group = f"tabulon-{uuid.uuid4().hex}"
-    fired = threading.Event()
+_INTERRUPT = "spark.job.interruptOnCancel"
 
-    done = threading.Event()
+
+def with_time_limit(spark: SparkSession, action, timeout_s: float | None):
+    """Run ``action()`` (a Spark action) and cancel its jobs after ``timeout_s`` (None: never)."""
+    if timeout_s is None:
+        return action()
+    sc = spark.sparkContext
+    tag = f"tabulon-{uuid.uuid4().hex}"
+    fired, done = threading.Event(), threading.Event()
 
     def cancel():
         # A cancel that comes before the job starts has no effect, so it is repeated until the action ends.
@@ -105,11 +106,12 @@ def with_time_limit(spark: SparkSession, action, timeout_s: float):
             return
         fired.set()
         while not done.wait(0.1):
-            sc.cancelJobGroup(group)
+            sc.cancelJobsWithTag(tag)
 
-    timer = threading.Thread(target=cancel, daemon=True)
-    sc.setJobGroup(group, "time-limited query", interruptOnCancel=True)
-    timer.start()
+    held = sc.getLocalProperty(_INTERRUPT)
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    threading.Thread(target=cancel, daemon=True).start()
     try:
         out = action()
     except Exception as e:  # noqa: BLE001
@@ -118,8 +120,8 @@ def with_time_limit(spark: SparkSession, action, timeout_s: float):
         raise
     finally:
         done.set()
-        sc.setLocalProperty("spark.jobGroup.id", None)
-        sc.setLocalProperty("spark.job.description", None)
+        sc.removeJobTag(tag)
+        sc.setLocalProperty(_INTERRUPT, held)
     if fired.is_set():
         raise QueryTimeout(f"query ran over {timeout_s}s")
     return out
