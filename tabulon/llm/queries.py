@@ -33,8 +33,8 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write(pages), pages, "url").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

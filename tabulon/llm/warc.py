@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from hashlib import sha1
 from urllib.parse import quote, urlsplit
@@ -219,8 +220,8 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     folder = work_dir(spark, "warc")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                           F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
-    # sha1 groups equal payloads; the byte count beside it is part of the key
-    marked = source.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html"))
+    # payloads are equal if their SHA-256 is; records carry the SHA-1, for which collisions are known
+    marked = source.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("size", F.octet_length("html"))
     narrow = stored(marked.where(F.col("size") >= min_bytes).select("page_id", "digest", "size"), "payloads")
     first = stored(narrow.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "shared-payloads")
     again = stored(narrow.join(first, ["digest", "size"]).where("refers_to != page_id or page_id is null and refers_to is not null")
@@ -252,33 +253,78 @@ def read(archive: Archive, first: str | None = None, last: str | None = None, pa
     return placed.mapInArrow(_records(archive.folder, payloads), _FOUND)
 
 
+def _meet(before):
+    """(key, file, offset, length) of the blocks that can hold each asked key. Block starts (kind 0) and asked keys (kind 1) come
+    sorted by range and key; ``before`` has for each range the last block that starts in an earlier one."""
+    def go(batches):
+        now, last, at, at_key = None, None, [], None
+        for b in batches:
+            out = []
+            for key, kind, last_key, file, offset, length, part in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True):
+                if part != now:
+                    now, last, at, at_key = part, before.value.get(part), [], None
+                if kind == 0:
+                    if at and at_key != key:
+                        last = at[-1]
+                        at = []
+                    at.append((last_key, file, offset, length))
+                    at_key = key
+                    continue
+                if at and at_key != key:
+                    last, at = at[-1], []
+                out += [(key, *x[1:]) for x in ([last] if last is not None and last[0] >= key else []) + at]
+            if out:
+                key, file, offset, length = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "file": pa.array(file), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
+    return go
+
+
+def _search_blocks(folder):
+    """Lines of the asked keys: keys come sorted by block, which is opened once, and each is searched by bisection."""
+    def go(batches):
+        opened, lines, own = None, [], None
+        for b in batches:
+            out = []
+            for key, file, offset, length in zip(*(b.column(c).to_pylist() for c in ("key", "file", "offset", "length")), strict=True):
+                if opened != (file, offset):
+                    lines = _block_lines(bytes(next(read_ranges(folder, file, [(offset, length)]))))
+                    opened, own = (file, offset), [x[0] for x in lines]
+                out += [(k, f, int(o), int(n)) for k, f, o, n in lines[bisect_left(own, key):bisect_right(own, key)]]
+            if out:
+                key, file, offset, length = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "file": pa.array(file), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64())})
+    return go
+
+
 def lookup(archive: Archive, urls: DataFrame, url_col: str, payloads: bool = False) -> DataFrame:
-    """Records of the given URLs. Keys and directory meet per index file, whose number is small and whose key range is known."""
-    keyed = urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(_keys, "key string").distinct()
-    files = archive.directory.groupBy("file").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"))
-    wanted = keyed.join(files, (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))).select("key", F.col("file").alias("index"))
-    blocks = archive.directory.withColumnRenamed("file", "index")
-    folder = archive.folder
-
-    def find(keys, blocks):
-        import pandas as pd
-        blocks = blocks.sort_values("offset")
-        firsts, lasts = blocks["first_key"].to_numpy(object), blocks["last_key"].to_numpy(object)
-        keys, opened, out = np.sort(keys["key"].to_numpy(object)), {}, []
-        for k in keys:
-            for at in range(int(np.searchsorted(lasts, k, side="left")), int(np.searchsorted(firsts, k, side="right"))):
-                if at not in opened:
-                    opened.clear()  # keys come in order, so an earlier block is not needed again
-                    row = blocks.iloc[at]
-                    lines = _block_lines(bytes(next(read_ranges(folder, row["index"], [(int(row["offset"]), int(row["length"]))]))))
-                    opened[at] = lines, np.array([x[0] for x in lines], object)
-                lines, own = opened[at]
-                lo, hi = np.searchsorted(own, k, side="left"), np.searchsorted(own, k, side="right")
-                out += [(k, f, int(o), int(n)) for _, f, o, n in lines[lo:hi]]
-        return pd.DataFrame(out, columns=["key", "file", "offset", "length"])
-
-    lines = wanted.groupBy("index").cogroup(blocks.groupBy("index")).applyInPandas(find, "key string, file string, offset long, length long")
-    return lines.mapInArrow(_records(folder, payloads), _FOUND)
+    """Records of the given URLs.
+
+    Their keys and the directory's block starts are dealt together by ranges of keys and walked in order, so each key meets the
+    blocks that can hold it without a nested loop; of other ranges it needs the last block before its own, one row a range.
+    Blocks are then opened once each, searched by bisection, and only the records' byte ranges are read.
+    """
+    spark = archive.spark
+    n = spark.sparkContext.defaultParallelism
+    keyed = stored(urls.select(F.col(url_col).cast("string").alias("url")).distinct().mapInArrow(_keys, "key string").distinct(), "keys")
+    blocks = archive.directory.select(F.col("first_key").alias("key"), F.lit(0).alias("kind"), "last_key", "file", "offset", "length")
+    asked = keyed.select("key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("last_key"), F.lit(None).cast("string").alias("file"),
+                         F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"))
+    parts = max(n, (keyed.count() + blocks.count()) // READ_LINES + 1)
+    both = stored(blocks.unionByName(asked).repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()), "asked")
+    order = F.struct("key", "last_key", "file", "offset")
+    lasts = {r.part: tuple(r.x) for r in both.where("kind = 0").groupBy("part").agg(F.max_by(F.struct("last_key", "file", "offset", "length"), order).alias("x")).collect()}
+    before, held = {}, None
+    for part in range(parts):
+        if held is not None:
+            before[part] = held
+        held = lasts.get(part, held)
+    spread = both.repartition(parts, "part").sortWithinPartitions("part", "key", "kind", "last_key", "file", "offset")
+    found = spread.mapInArrow(_meet(spark.sparkContext.broadcast(before)), "key string, file string, offset long, length long")
+    opened = found.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "key")
+    lines = stored(opened.mapInArrow(_search_blocks(archive.folder), "key string, file string, offset long, length long"), "lines")
+    count = max(n, lines.count() // READ_LINES + 1)
+    placed = lines.repartitionByRange(count, "file", "offset").sortWithinPartitions("file", "offset")
+    return placed.mapInArrow(_records(archive.folder, payloads), _FOUND)
 
 
 def _keys(batches):

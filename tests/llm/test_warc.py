@@ -47,6 +47,24 @@ def test_search(spark):
     assert archive.directory.count() > 20
 
 
+def test_lookup_of_all_urls_is_the_whole_archive(spark, monkeypatch):
+    # many captures of one URL, over several blocks and ranges, beside single ones
+    rows = ROWS + [(1000 + i, f"http://hot.org/{i % 2}", f"hot {i}") for i in range(300)] + [(2000 + i, f"http://zz.org/{i:04d}", "z") for i in range(150)]
+    for lines, block in ((50_000, 7), (20, 3), (10, 64)):
+        monkeypatch.setattr(warc, "READ_LINES", lines)
+        archive = warc.write(frame(spark, rows), block_lines=block)
+        assert digest(warc.lookup(archive, frame(spark, rows), "url")) == expected(rows)
+        some = [r for r in rows if r[1] in ("http://hot.org/1", "http://zz.org/0149", None)]
+        got = [r.page_id for r in warc.lookup(archive, frame(spark, some), "url").collect()]
+        assert sorted(got) == sorted(r[0] for r in some)
+
+
+def test_repeated_page_ids_have_records_of_their_own(spark):
+    rows = [(1, "http://a.org/", "x"), (1, "http://a.org/", "y"), (1, "http://b.org/", "x"), (2, "http://c.org/", "x")]
+    got = sorted((r.page_id, r.key, r.record_type, r.refers_to) for r in warc.lookup(warc.write(frame(spark, rows)), frame(spark, rows), "url").collect())
+    assert got == [(1, "org,a)/", "response", None), (1, "org,a)/", "revisit", 2), (1, "org,b)/", "revisit", 2), (2, "org,c)/", "response", None)]
+
+
 def test_archives_are_plain_warc(spark):
     archive = warc.write(frame(spark, ROWS[:3]))
     store, path = open_store(archive.folder)
