@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs.
 
-Equal vectors are one node. Nodes are dealt by hash to shards of a bounded
-size; each shard's nodes are joined one batch after the other into a directed
+Equal vectors are one node. Nodes are dealt by hash to shards, 64 at most until
+a shard fills a task's memory (some 20 million nodes of 64 components), so the
+rows that are repeated by shard are in proportion to the table; each shard's nodes are joined one batch after the other into a directed
 graph: a greedy beam search proposes neighbours, relaxed distance pruning keeps
 the near ones that no kept one covers by a factor ALPHA, and links back are
 pruned the same way. Inner product becomes distance by one more component that
@@ -11,8 +12,8 @@ search finds candidates, whose exact scores in double precision are merged.
 The index covers every vector and is a table (one row per node), so a lost task
 builds or searches its shard again.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components,
-or have another length than most take no part; ties go to the smaller id; a
+Defined cases: vectors that are null, zero or hold null or non-finite components
+take no part; shorter ones count as filled up with zeros at their end; ties go to the smaller id; a
 vector's equals are candidates of each other; rows that repeat an id and vector
 are one; an empty table gives no rows; extra columns are ignored.
 """
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.shared import reachable, stored
 
-#: Nodes of a shard and queries of a block, on average.
-SHARD_NODES, QUERY_BLOCK = 4096, 4096
+#: A shard holds a SHARDS-th of the nodes, SHARD_NODES at least and at most what SHARD_BYTES hold in a task; queries of a block.
+SHARD_NODES, SHARDS, SHARD_BYTES, QUERY_BLOCK = 4096, 64, 256_000_000, 32_768
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 48, 64, 1.2
 _LANES = 512
 
@@ -130,8 +131,14 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     v = v.where("vec_id is not null and vec is not null and forall(vec, x -> x is not null and abs(x) < double('inf'))"
                 " and exists(vec, x -> x != 0)")
-    size = v.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return v.where(F.size("vec") == (size[0].d if size else 0)).distinct()
+    longest = v.agg(F.coalesce(F.max(F.size("vec")), F.lit(0))).first()[0]
+    return v.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), longest - F.size("vec")))).distinct()
+
+
+def shard_count(nodes: int, components: int) -> int:
+    """How many shards: see SHARDS."""
+    most = max(1, SHARD_BYTES // (12 * components + 8 * DEGREE + 200))
+    return max(1, -(-nodes // max(1, min(most, max(SHARD_NODES, -(-nodes // SHARDS))))))
 
 
 _INDEX = "shard int, node int, vec array<double>, ids array<long>, links array<int>, start int, top double"
@@ -143,8 +150,8 @@ def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "em
     smallest = Window.partitionBy("vec").orderBy("vec_id")
     nodes = stored(usable.withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
                    .groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(vec, 0D, (a, x) -> a + x * x)")).alias("top")).first()
-    shards = max(1, -(-facts.n // SHARD_NODES))
+    facts = nodes.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d"), F.max(F.expr("aggregate(vec, 0D, (a, x) -> a + x * x)")).alias("top")).first()
+    shards = shard_count(facts.n, facts.d or 0)
     top = float(facts.top or 0.0)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tabulon.llm import ann
 
@@ -15,8 +16,9 @@ def table(spark, ids, x):
     return spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>, label int").repartition(4)
 
 
-def test_recall_scores_and_order(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_NODES", 900)
+@pytest.mark.parametrize("nodes", [900, 250])
+def test_recall_scores_and_order(spark, monkeypatch, nodes):
+    monkeypatch.setattr(ann, "SHARD_NODES", nodes)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 60)
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 24))
@@ -52,5 +54,10 @@ def test_unusable_vectors_and_empty_table(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
             (6, [3.0]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as shard", "2 as vec")
-    assert [tuple(r) for r in ann.neighbours(df, 20, 20).collect()] == [(0, 1, 7, 4.0)]
+    assert [tuple(r) for r in ann.neighbours(df, 20, 20).collect()] == [(0, 1, 7, 4.0), (0, 2, 6, 3.0)]
     assert ann.neighbours(df.where("false"), 20, 20).count() == 0
+
+
+def test_shards_are_bounded_in_number_and_size():
+    assert [ann.shard_count(n, 64) for n in (0, 1, 4096, 4097, 64 * 4096, 10**7)] == [1, 1, 1, 2, 64, 64]
+    assert ann.shard_count(10**9, 64) * ann.SHARD_BYTES >= 10**9 * (12 * 64 + 8 * ann.DEGREE + 200)
