@@ -19,7 +19,7 @@ def held_out(id_col="doc_id"):
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, y: at most ``rows`` labelled documents of either class from the training folds.
 
-    The choice is by a hash of the id, so it is the same on every run; ``rows``
+    The choice is by a hash of the id, and of several texts of one id it is the smallest, so it is the same on every run; ``rows``
     bounds what is broadcast, fetched and learnt from.
     """
     own = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -28,4 +28,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     few = [own.where(f"y = {y}").orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
     chosen = stored(few[0].union(few[1]), "sample-ids")
     texts = with_text(docs, id_col, text_col).where("doc_id is not null")
-    return stored(texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "sample")
+    return stored(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample")

@@ -8,7 +8,8 @@ normalised kernels of their distinct words. Landmarks are words of the labelled
 ones); the sentences' kernels with them, whitened by the landmarks' own kernel,
 are the coordinates in which a support vector machine with squared hinge is
 trained on labelled sentences, first on all sentences of toxic documents, then
-on the highest-scoring of each. A sentence's decision is a sum over its words,
+on the highest-scoring of each. The sentences stay in a table; each Newton step
+sums the support vectors' products in tasks, so only sums reach the driver. A sentence's decision is a sum over its words,
 so a task scores each distinct word once; a document has the score of its
 highest sentence, turned into a probability.
 
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.labelled import held_out, training_sample
-from tabulon.llm.shared import with_text
+from tabulon.llm.shared import stored, with_text
 
-#: Labelled documents of each class and sentences of a document that are learnt from, at most.
-SAMPLE, SENTENCES = 2500, 8
+#: Labelled documents of each class that are learnt from, at most, with all their sentences.
+SAMPLE = 2500
+#: Documents whose sentences a task holds at once in training.
+HELD_DOCS = 200
 #: Landmarks: telling words and common words.
 TELLING, COMMON = 48, 16
 GAP, POWER, RIDGE = 0.6, 3, 1.0
@@ -208,31 +211,80 @@ def _choose(counts: DataFrame, toxic: int, clean_docs: int) -> list[str]:
     return picked + [r.word for r in common.select("word").collect() if r.word not in picked]
 
 
-def _hinge(x, y, weight, ridge=RIDGE):
-    """Weights and bias of a support vector machine with squared hinge, by Newton steps on the support vectors."""
-    x = np.c_[x, np.ones(len(x), x.dtype)]
-    w = np.zeros(x.shape[1])
+def _sentences_of(batches, width):
+    """(sentences, +1 or -1 of each, its document, number of documents) of some rows (y, x) at once."""
+    for b in (x.slice(k, HELD_DOCS) for x in batches for k in range(0, x.num_rows, HELD_DOCS)):
+        blobs = b.column("x").to_pylist()
+        x = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, width).astype(float)
+        of = np.repeat(np.arange(len(blobs)), [len(r) // (4 * width) for r in blobs])
+        yield x, b.column("y").to_numpy()[of] * 2.0 - 1, of, len(blobs)
+
+
+def _tops(x, of, docs, w):
+    """(decision of each sentence, highest of its document)."""
+    decision = x @ w[:-1] + w[-1]
+    top = np.full(docs, -np.inf)
+    np.maximum.at(top, of, decision)
+    return decision, top
+
+
+def _products(width, chosen, now):
+    """Sums over a task's sentences, of either class: how many are used, and of the support vectors at ``now`` the products
+    with themselves and with y. Of toxic documents only the sentences that ``chosen`` scores highest are used, if given."""
+    def go(batches):
+        total = np.zeros((2, 1 + (width + 1) ** 2 + width + 1))
+        for x, y, of, docs in _sentences_of(batches, width):
+            use = np.ones(len(y), bool)
+            if chosen is not None:
+                decision, top = _tops(x, of, docs, chosen)
+                use = (y < 0) | (decision >= top[of] - 1e-12)
+            x = np.c_[x, np.ones(len(x))]
+            out = use & (y * (x @ now) < 1)
+            for k, sign in enumerate((-1, 1)):
+                own = x[out & (y == sign)]
+                total[k] += np.r_[(use & (y == sign)).sum(), (own.T @ own).ravel(), sign * own.sum(0)]
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+    return go
+
+
+def hinge(rows: DataFrame, width: int, chosen=None, ridge=RIDGE) -> np.ndarray:
+    """Weights and, last, bias of a support vector machine with squared hinge, by Newton steps on the support vectors.
+
+    ``rows``: (y 0 or 1, x: a document's sentences, float32). Both classes weigh the same.
+    """
+    w = np.zeros(width + 1) if chosen is None else chosen
     keep = np.eye(len(w)) * ridge
     keep[-1, -1] = 1e-6
     for _ in range(30):
-        out = y * (x @ w) < 1
-        xs, ws = x[out].astype(float), weight[out]
-        new = np.linalg.solve(keep + xs.T @ (xs * ws[:, None]), xs.T @ (ws * y[out]))
+        total = sum(np.frombuffer(r.sums).reshape(2, -1) for r in rows.mapInArrow(_products(width, chosen, w), "sums binary").collect())
+        each = np.array([1.0, total[0, 0] / max(1.0, total[1, 0])])
+        products, with_y = np.split((total * each[:, None]).sum(0)[1:], [(width + 1) ** 2])
+        new = np.linalg.solve(keep + products.reshape(width + 1, width + 1), with_y)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
-    return w[:-1], float(w[-1])
+    return w
 
 
 def _logistic(m, y):
-    """Slope and shift of the probability that label is 1 given a decision."""
+    """Slope and shift of the probability that label is 1 given a decision; toxic documents weigh by the root of the labels' ratio.
+
+    Newton steps, halved while the loss grows.
+    """
+    weight = np.where(y > 0, np.sqrt((y <= 0).sum() / max(1, (y > 0).sum())), 1.0)
+
+    def loss(a, b):
+        return (weight * np.logaddexp(0, np.where(y > 0, -1, 1) * (a * m + b))).sum() + 0.5e-3 * a * a
+
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        g = np.array([((p - y) * m).sum() + 1e-3 * a, (p - y).sum()])
-        v = p * (1 - p) + 1e-9
+        g = np.array([(weight * (p - y) * m).sum() + 1e-3 * a, (weight * (p - y)).sum()])
+        v = weight * (p * (1 - p) + 1e-9)
         h = np.array([[(v * m * m).sum() + 1e-3, (v * m).sum()], [(v * m).sum(), v.sum()]])
-        step = np.linalg.solve(h, g)
+        step, now = np.linalg.solve(h, g), loss(a, b)
+        while np.abs(step).max() >= 1e-10 and not loss(a - step[0], b - step[1]) <= now:
+            step = step / 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
@@ -240,7 +292,7 @@ def _logistic(m, y):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """The machine from at most ``sample`` labelled documents of each class and ``SENTENCES`` sentences of each."""
+    """The machine from at most ``sample`` labelled documents of each class."""
     chosen = training_sample(docs, labels, "toxic", sample, id_col, text_col)
     size = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
     counts = (chosen.select("text", "y").mapInArrow(_word_counts, "word string, clean long, toxic long")
@@ -255,33 +307,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     white = vectors / np.sqrt(np.maximum(values, 1e-2))
     sent = chosen.sparkSession.sparkContext.broadcast((marks, white.astype(np.float32)))
 
+    width = len(picked)
+
     def sentences(batches):
         marks, white = sent.value
         reader = Reader(lambda w: marks.kernel(w)**POWER)
         for b, (value, first, doc) in _pieces(batches, reader):
-            x = np.add.reduceat(value, first, axis=0)
-            order = np.lexsort((-x.sum(1), doc))
-            rank = np.arange(len(doc)) - np.searchsorted(doc[order], doc[order])
-            top = order[rank < SENTENCES]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc[top])), b.column("y").take(pa.array(doc[top])),
-                                              pa.array([r.tobytes() for r in x[top] @ white], pa.binary())], ["doc_id", "y", "x"])
-
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(sentences, "doc_id long, y int, x binary").toPandas()
-    rows = rows.sort_values(["doc_id", "x"], kind="stable")
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1)
-    y = rows["y"].to_numpy(float) * 2 - 1
-    doc, of = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-    use = np.ones(len(y), bool)
+            x = (np.add.reduceat(value, first, axis=0) @ white).astype(np.float32)
+            ends = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r.tobytes() for r in np.split(x, ends)], pa.binary())], ["y", "x"])
+
+    rows = stored(chosen.select("y", "text").mapInArrow(sentences, "y int, x binary"), "sentences")
+    w = None
     for _ in range(4):
-        weight = np.where(y[use] > 0, (y[use] < 0).sum() / max(1, (y[use] > 0).sum()), 1.0)
-        w, bias = _hinge(x[use], y[use], weight)
-        decision = x @ w + bias
-        top = np.full(len(doc), -np.inf)
-        np.maximum.at(top, of, decision)
-        use = (y < 0) | (decision >= top[of] - 1e-12)
-    label = np.zeros(len(doc))
-    label[of] = y > 0
-    return Machine(marks, white @ w, bias, *_logistic(top, label))
+        w = hinge(rows, width, w)
+
+    def highest(batches):
+        for x, y, of, docs in _sentences_of(batches, width):
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            yield pa.RecordBatch.from_pydict({"y": pa.array(y[first]), "top": pa.array(_tops(x, of, docs, w)[1])})
+
+    tops = rows.mapInArrow(highest, "y double, top double").toPandas().sort_values(["top", "y"])
+    return Machine(marks, white @ w[:-1], float(w[-1]), *_logistic(tops["top"].to_numpy(), (tops["y"].to_numpy() > 0).astype(float)))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

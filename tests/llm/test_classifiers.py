@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -48,6 +50,38 @@ def toxic_corpus(n=700):
     return docs, labels
 
 
+def test_machine_is_the_minimum_of_its_loss(spark):
+    """Newton steps over the table against the squared-hinge loss on all sentences at once, moved in every direction."""
+    rng = np.random.default_rng(8)
+    docs = [(k % 2, rng.normal(size=(rng.integers(1, 5), 3)).astype(np.float32) + np.float32(0.8 * (k % 2))) for k in range(60)]
+    rows = spark.createDataFrame([(y, x.tobytes()) for y, x in docs], "y int, x binary").repartition(3)
+
+    def loss(w, chosen):
+        total = [[], []]
+        for y, x in docs:
+            x = x.astype(float)
+            if y and chosen is not None:
+                d = x @ chosen[:-1] + chosen[-1]
+                x = x[d >= d.max() - 1e-12]
+            total[y] += np.maximum(0, 1 - (2 * y - 1) * (x @ w[:-1] + w[-1])).tolist()
+        return (w[:-1] ** 2).sum() + 1e-6 * w[-1] ** 2 + (np.array(total[0]) ** 2).sum() + len(total[0]) / len(total[1]) * (np.array(total[1]) ** 2).sum()
+
+    chosen = None
+    for _ in range(3):
+        w = toxicity.hinge(rows, 3, chosen)
+        least = loss(w, chosen)
+        assert all(loss(w + s * e, chosen) >= least - 1e-9 for e in np.eye(4) for s in (-0.05, -1e-3, 1e-3, 0.05))
+        chosen = w
+
+
+def test_calibration_withstands_outliers():
+    rng = np.random.default_rng(9)
+    m = np.r_[rng.normal(-1, 1, 900), rng.normal(1, 1, 100), 5000.0]
+    a, b = toxicity._logistic(m, np.r_[np.zeros(900), np.ones(101)])
+    p = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
+    assert 0.5 < a < 5 and p[:900].mean() < 0.25 < 0.5 < p[900:1000].mean()
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = toxic_corpus()
     extra = [(10_000, None), (10_001, ""), (10_002, "s c o u n d r e l you are"), (10_003, "wre-tch.x"), (10_004, "bada " * 30_000)]
@@ -100,6 +134,60 @@ def test_quality_held_out_accuracy(spark):
     assert len(out) == len(docs) and sum(p == q for p, q in held) >= 0.97 * len(held) and out[9000].score == out[9001].score
 
 
+def all_statistics(text):
+    """The 25 statistics of a text by their definitions, from its characters and words."""
+    raw = text.encode()
+    n, words = len(raw), [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    lines = [x for x in ([w for w in re.split(rb"[ \t-\r]+", line.lower()) if w] for line in raw.split(b"\n")) if x]
+    pairs = list(zip(low, low[1:], strict=False))
+    share = lambda chars: sum(c in chars for c in raw) / n
+    lower, upper = sum(97 <= c <= 122 for c in raw), sum(65 <= c <= 90 for c in raw)
+    other = sum(c < 128 and not (chr(c).isalnum() or c in b" \t\r\x0b\x0c\n.!?,;:'\"-()|") for c in raw) / n
+    w, top = len(words), lambda items: max(Counter(items).values(), default=0)
+    stop = lambda x: sum(chr(v[-1]) in x for v in words) / w
+    freq = [c / n for c in Counter(raw).values()]
+    return [np.log1p(n), np.log1p(w), sum(map(len, words)) / w, upper / max(1, lower + upper), share(b"0123456789"), share(b" \t\r\x0b\x0c"), share(b"\n"), share(b".!?"),
+            share(b",;:'\"-()"), share(b"|"), other, sum(c >= 128 for c in raw) / n, len(set(low)) / w, top(low) / w, len(set(pairs)) / max(1, w - 1), top(pairs) / w,
+            len(lines) / w, len({tuple(x) for x in lines}) / max(1, len(lines)), np.log1p(max(map(len, words))), sum(len(x) <= 2 for x in words) / w,
+            stop(".!?,;:'\"-()|") + sum(chr(v[-1]) not in ".!?,;:'\"-()|" and v[-1] < 128 and not chr(v[-1]).isalnum() for v in words) / w,
+            sum(v[-1] < 128 and not chr(v[-1]).isalnum() and chr(v[-1]) not in ".!?,;:'\"-()|" for v in words) / w, stop(".!?"), sum(65 <= v[0] <= 90 for v in words) / w,
+            -sum(p * np.log(p) for p in freq)]
+
+
+def test_all_statistics_match_their_definitions():
+    import pyarrow as pa
+    r = random.Random(6)
+    texts = ["".join(r.choice("aabcDEf 12 \n\t.!?,;-|#$éß日") for _ in range(r.randrange(1, 200))) for _ in range(60)]
+    texts = [t for t in texts if t.split()]
+    got = quality._batch_statistics(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, all_statistics(t)), t
+
+
+def test_grow_takes_the_best_split_and_its_newton_value():
+    """One feature that tells the labels apart: the first tree's root splits there, and its leaves have the ridge Newton values."""
+    x = np.c_[np.tile([0.0, 1.0], 200), np.arange(400.0)]
+    y = (np.arange(400) >= 150).astype(float)
+    trees = quality.grow(x, y)
+    cut = trees.threshold[0, 0]
+    share = y.mean()
+    edges = np.unique(np.quantile(x[:, 1], np.arange(1, quality.BINS) / quality.BINS))
+    g, h = y - share, np.full(400, share * (1 - share))
+    gain = []
+    for e in edges:
+        left = x[:, 1] <= e
+        gain.append(sum(g[s].sum() ** 2 / (h[s].sum() + quality.RIDGE) for s in (left, ~left)) if min(left.sum(), (~left).sum()) >= quality.LEAST else 0)
+    assert trees.feature[0, 0] == 1 and cut == edges[int(np.argmax(gain))]
+    at = np.zeros(400, np.int64)
+    for _ in range(quality.DEPTH):
+        at = 2 * at + 1 + (x[np.arange(400), trees.feature[0, at]] > trees.threshold[0, at])
+    leaf = at - trees.feature.shape[1]
+    for k in np.unique(leaf):
+        own = leaf == k
+        assert np.isclose(trees.leaf[0, k], quality.RATE * g[own].sum() / (h[own].sum() + quality.RIDGE))
+
+
 def test_flat_trees_walk_as_nested_rules():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 4))
