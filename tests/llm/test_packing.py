@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tabulon.llm.packing import Plan, pack
+from tabulon.llm import packing
+from tabulon.llm.packing import Plan, pack, places
 from tabulon.llm.tokens import Memo
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -82,8 +83,9 @@ def test_windows_hold_target_proportions():
     for w in range(40):
         held = Counter(s for s, x in place.items() for q in x if w * 1000 <= q < w * 1000 + 1000)
         assert all(abs(held[s] - 1000 * t) <= 1 for s, t in targets.items())
-    plan = Plan(totals, None, 1000)
-    place = {s: [q for _, n, p in plan.pieces(s, 0, totals[s]) for q in range(p, p + n)] for s in totals}
+    upto = {"a": 0, "b": 40_000, "c": 70_000}
+    place = {s: [q for n, p in places(0, totals[s], upto[s], upto[s] + totals[s], 120_000, 120_000, 1000) for q in range(p, p + n)] for s in totals}
+    assert sorted(q for x in place.values() for q in x) == list(range(120_000))
     assert all(abs(sum(q < 7000 for q in x) - 7000 * totals[s] / 120_000) <= 1 for s, x in place.items())
 
 
@@ -91,3 +93,26 @@ def test_empty_table_and_extra_columns(spark):
     assert pack(frame(spark, []), BYTE).count() == 0
     df = frame(spark, [(1, "a b", "s")]).selectExpr("*", "7 as n", "8 as part", "9 as ids")
     assert [tuple(r)[:3] for r in pack(df, BYTE).collect()] == [(1, 0, 3)]
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES_PER_TASK", 1000)
+    df = spark.range(200_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a b c', 'a') as text", "if(id % 5 = 0, 'large', concat('host', id % 150001)) as source").repartition(4)
+    out = pack(df, BYTE, sequence=1024)
+    got = out.groupBy("sequence_id").agg({"length": "sum", "offset": "max", "*": "count"}).toPandas().sort_values("sequence_id")
+    full = int(out.agg({"length": "sum"}).first()[0])
+    assert got["sequence_id"].tolist() == list(range(-(-full // 1024))) and (got["sum(length)"][:-1] == 1024).all()
+    sizes = df.selectExpr("doc_id", "if(doc_id % 3 = 0, 4, 2) as n")
+    some = out.where("sequence_id % 40 = 7").collect()
+    for k in {p.sequence_id for p in some}:
+        at = 0
+        for p in sorted((p for p in some if p.sequence_id == k), key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+    assert out.groupBy("doc_id").agg({"length": "sum"}).join(sizes, "doc_id").where("`sum(length)` != n").count() == 0
+
+
+def test_repeated_rows_are_documents_of_their_own(spark):
+    rows = [(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s")]
+    got = sorted((r.doc_id or 0, r.start, r.length, r.sequence_id, r.doc_tokens) for r in pack(frame(spark, rows), BYTE).collect())
+    assert got == [(0, 0, 2, 0, 2), (1, 0, 3, 0, 3), (1, 0, 3, 0, 3)]
