@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from tabulon.llm.shared import runs, stored, text_buffers, with_text
+from tabulon.llm.shared import lean, runs, stored, text_buffers, with_text
 
 #: Chunks hold 1024 bytes on average (a cut where ten bits of the gear hash are zero), 16 KB at most.
 CUT_MASK, MAX_CHUNK, WINDOW = np.uint64(0x3FF << 20), 16_384, 16
@@ -127,7 +127,7 @@ def _occurrences(fingerprint):
 
 def _with_ordinals(source, recipes, shared, fingerprint) -> DataFrame:
     """Recipes with, for documents that hold a fingerprint of several chunks, the ordinals of those chunks by bytes."""
-    found = stored(source.mapInArrow(_occurrences(fingerprint), "doc_id long, text_sha256 string, seq int, mark binary, chunk binary")
+    found = stored(source.mapInArrow(lean(_occurrences(fingerprint)), "doc_id long, text_sha256 string, seq int, mark binary, chunk binary")
                    .join(shared, "mark", "left_semi"), "shared-chunks")
     ordinal = stored(found.select("mark", "chunk").distinct()
                      .withColumn("ordinal", F.row_number().over(Window.partitionBy("mark").orderBy("chunk"))), "ordinals")
@@ -143,9 +143,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  fingerprint: Callable[[bytes], bytes] = xxh3_128_digest) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
     source = with_text(docs, id_col, text_col)
-    recipes = stored(source.mapInArrow(_recipes(fingerprint), "doc_id long, recipe binary, text_sha256 string")
+    recipes = stored(source.mapInArrow(lean(_recipes(fingerprint)), "doc_id long, recipe binary, text_sha256 string")
                      .withColumn("row", F.monotonically_increasing_id()), "recipes")
-    distinct = source.mapInArrow(_chunks(fingerprint), "mark binary, chunk binary").distinct()
+    distinct = source.mapInArrow(lean(_chunks(fingerprint)), "mark binary, chunk binary").distinct()
     shared = stored(distinct.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "shared-marks")
     if shared.isEmpty():
         listed = recipes.withColumn("ids", F.col("recipe"))

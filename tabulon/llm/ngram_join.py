@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tabulon.llm.components import components, merged
-from tabulon.llm.shared import arrow_batches, bucketed, scratch, sized, stored, text_buffers, with_text
+from tabulon.llm.shared import arrow_batches, bucketed, lean, scratch, sized, stored, text_buffers, with_text
 from tabulon.llm.shingles import parity_bits, shingle_sets
 
 #: A shingle in one of so many documents counts as frequent. It only moves it to the end of the prefix order;
@@ -64,7 +64,7 @@ PACKED_ROWS, REMEMBERED_PAIRS = 500_000, 100_000
 #: Nodes, and shingles, of a component's block.
 LINK_BLOCK, LINK_SHINGLES = 256, 500_000
 #: Bytes of rows that a Python worker gets at once.
-BATCH = "16m"
+BATCH = "8m"
 _ROW = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("n", "<u2"), ("sid", "<u8")])
 
 
@@ -397,7 +397,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def side(s, col):
         return nodes.select(F.col("rep").alias(s), F.col(col).alias(f"{col}_{s}"))
     both = pairs.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return stored(sized(both, pairs.count(), TEXT_PAIRS).mapInArrow(_exact, _PAIR), "links")
+    return stored(sized(both, pairs.count(), TEXT_PAIRS).mapInArrow(lean(_exact), _PAIR), "links")
 
 
 _LINKED = "node long, n_links long, others array<long>"
@@ -447,7 +447,7 @@ def _all_links(labels: DataFrame, copies: DataFrame, nodes: DataFrame) -> DataFr
             .select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies"))
     full = rows.join(nodes.select("rep", "n", "bits", "text"), "rep")
     spread = full.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-    return stored(spread.select("label", "lo", "hi", "block", "rep", "copies", "n", "bits", "text").mapInArrow(_links_of_blocks, _LINKED), "linked")
+    return stored(spread.select("label", "lo", "hi", "block", "rep", "copies", "n", "bits", "text").mapInArrow(lean(_links_of_blocks), _LINKED), "linked")
 
 
 def _star_pairs(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -459,7 +459,7 @@ def _star_pairs(tiles: DataFrame, nodes: DataFrame) -> DataFrame:
     def side(s, sid):
         return nodes.select(F.col("sid").alias(sid), F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     pairs = near.join(side("a", "sid"), "sid").join(side("b", "hub"), "hub").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return stored(sized(pairs, near.count(), BIT_ROWS).mapInArrow(_bound, _PAIR), "star")
+    return stored(sized(pairs, near.count(), BIT_ROWS).mapInArrow(lean(_bound), _PAIR), "star")
 
 
 def _mixed(rows: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -481,7 +481,7 @@ def _cross_pairs(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame
     full = rows.join(nodes.select("rep", "n", "bits"), "rep")
     spread = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "block", "rep", "label", "n", "bits")
     size = mixed.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    found = sized(spread, size, BIT_ROWS).mapInArrow(_compare_tiles(nearest), f"key long, {_PAIR}" if nearest else _PAIR)
+    found = sized(spread, size, BIT_ROWS).mapInArrow(lean(_compare_tiles(nearest)), f"key long, {_PAIR}" if nearest else _PAIR)
     return stored(sized(found.distinct(), size, SMALL_ROWS), "cross")
 
 
@@ -497,7 +497,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _join(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Join:
     spark = docs.sparkSession
     source = with_text(docs, id_col, text_col)
-    described = stored(source.mapInArrow(_describe, _SETS), "sets")
+    described = stored(source.mapInArrow(lean(_describe), _SETS), "sets")
     own = described.where("hot is null")
     odd = stored(own.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"), "odd-ids")
     odd = None if odd.isEmpty() else odd
@@ -517,17 +517,17 @@ def _join(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> Join:
     frequent["rank"] = np.arange(len(frequent), 0, -1)
     frequent = frequent.sort_values("hot")
     hot = spark.sparkContext.broadcast((frequent["hot"].to_numpy(np.uint64), frequent["rank"].to_numpy(np.int64)))
-    packed = source.mapInArrow(_prefixes(hot, 8 * tasks), "bucket long, kind int, rows binary")
-    tiles = stored(packed.repartition(tasks, "bucket").mapInArrow(_tiles, _TILE), "tiles")
+    packed = source.mapInArrow(lean(_prefixes(hot, 8 * tasks)), "bucket long, kind int, rows binary")
+    tiles = stored(packed.repartition(tasks, "bucket").mapInArrow(lean(_tiles), _TILE), "tiles")
 
     wanted = reps.select("rep", "first", "odd", _sid_column("dig").alias("sid")).join(tiles.select("sid").distinct(), "sid")
     texts = source.join(wanted.where("not odd").select(F.col("first").alias("doc_id"), "rep", "sid"), "doc_id").select("rep", "sid", "text")
     if odd is not None:
         # ids that say too little: one text of each set, by the set itself
         theirs = source.join(odd.withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-        theirs = theirs.mapInArrow(_set_digests, "doc_id long, text string, dig binary").select(_sid_column("dig").alias("sid"), "text").dropDuplicates(["sid"])
+        theirs = theirs.mapInArrow(lean(_set_digests), "doc_id long, text string, dig binary").select(_sid_column("dig").alias("sid"), "text").dropDuplicates(["sid"])
         texts = texts.unionByName(theirs.join(wanted.where("odd").select("rep", "sid"), "sid").select("rep", "sid", "text"))
-    nodes = bucketed(texts.mapInArrow(_with_bits, _NODES), "nodes", "rep")
+    nodes = bucketed(texts.mapInArrow(lean(_with_bits), _NODES), "nodes", "rep")
 
     links = _verify(_star_pairs(tiles, nodes), nodes)
     labels = stored(components(links), "groups")
@@ -601,7 +601,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     plain = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_anti").join(gone, key == F.col("gone"), "left_anti")
     rows = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_semi")
     rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(_set_digests, StructType([*rows.schema.fields, StructField("dig", BinaryType())]))
+    rows = rows.mapInArrow(lean(_set_digests), StructType([*rows.schema.fields, StructField("dig", BinaryType())]))
     blank = rows.where(F.length("dig") == 0)
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("dig") == F.col("own_dig")), "left_semi").dropDuplicates(["doc_id", "dig"])
     return plain.unionByName(blank.unionByName(kept).select("row.*"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.labelled import held_out, training_sample
-from tabulon.llm.shared import runs, text_buffers, with_text
+from tabulon.llm.shared import lean, runs, text_buffers, with_text
 from tabulon.llm.shingles import mix64, words
 
 #: Labelled documents of each class that are learnt from, at most.
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             x = _batch_statistics(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    rows = chosen.select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
+    rows = chosen.select("doc_id", "y", "text").mapInArrow(lean(describe), "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
     return grow(np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 25)), rows["y"].to_numpy(float))
 
 
@@ -174,7 +174,7 @@ def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(model.value.score(_batch_statistics(b.column("text"))))], ["doc_id", "score"])
 
-    return with_text(docs, id_col, text_col).mapInArrow(go, "doc_id long, score double")
+    return with_text(docs, id_col, text_col).mapInArrow(lean(go), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +185,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
         for b in batches:
             yield b.filter(pa.array(model.value.score(_batch_statistics(b.column(text_col))) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(go, docs.schema)
+    return docs.mapInArrow(lean(go), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **columns) -> DataFrame:

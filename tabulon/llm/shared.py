@@ -31,6 +31,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Stores that workers keep from one task of an operator to its next; tasks of other operators empty them.
+worker_stores: list[dict] = []
+
+
+def lean(go):
+    """``go`` of a mapInArrow in workers that other operators used before: their stores go first, and what the libraries hold
+    of this task's memory goes back when its rows are done."""
+    def run(batches):
+        for store in worker_stores:
+            store.clear()
+        yield from go(batches)
+        give_back()
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 #: Folders that ``scratch`` deletes when its block ends; None outside of one.
 _made: ContextVar[list | None] = ContextVar("made", default=None)
 #: Spark's default limit on the buckets of a table.

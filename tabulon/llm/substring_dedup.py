@@ -1,11 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (a word that ends in . ! or ?, closing quotes and
-brackets after it allowed, or a line end), and these into pieces after the word
+brackets after it allowed, or a paragraph's last one; a single line end is no
+cut, as passages are wrapped anew), and these into pieces after the word
 of least hash of every nine in a row, so that the same words are cut the same
 way wherever they stand: pieces have nine words at most, only the first and the
 last nine words of a passage can be cut otherwise elsewhere, and any 50 equal
-words with the same line ends hold a whole span (33 between cuts that all
+words hold a whole span (33 between cuts that all
 occurrences share; a span has at most 24 + 9). Pieces are the sentences of what
 follows. Around every sentence lie two spans: the shortest run of two or more sentences with 25 words
 that starts with it, and the shortest that ends with it, so a repeated passage
@@ -16,7 +17,8 @@ with A-Z lower-cased, white space is not compared.
 
 A task sends the first occurrence that it has seen of each span and reports its
 other occurrences at once, so a span in very many documents is one row per
-task batch in the shuffle.
+task batch in the shuffle. Buckets and partitions of that shuffle go by the
+bytes of text, and a task holds one bucket at a time.
 
 Defined cases: null text counts as empty; texts of fewer than 25 words have no
 spans and stay as they are; unchanged texts stay byte for byte; rows that
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.shared import reachable, runs, stored, text_buffers
+from tabulon.llm.shared import lean, reachable, runs, stored, text_buffers
 from tabulon.llm.shingles import _BASE, _INVERSE, _power, mix64, words
 
 SPAN_WORDS, SPAN_SENTENCES = 25, 2
@@ -40,8 +42,8 @@ SPAN_WORDS, SPAN_SENTENCES = 25, 2
 WINDOW = 9
 #: Closing quotes and brackets that may follow a stop.
 CLOSING = 8
-#: Buckets of the span shuffle for each of its partitions.
-BUCKETS = 8
+#: Bytes of text whose spans make one bucket, and one partition, of the span shuffle; buckets for each partition at least.
+BUCKET_BYTES, PART_BYTES, BUCKETS = 4_000_000, 64_000_000, 8
 _ROW = np.dtype([("h", "<u8"), ("c", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u2")])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -91,7 +93,7 @@ class Spans:
         breaks = np.flatnonzero(raw == 10)
         line = np.searchsorted(breaks, s)
         end = _stops(raw, s, e)
-        end[:-1] |= (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
+        end[:-1] |= (line[1:] > line[:-1] + 1) | (doc[1:] != doc[:-1])
         end[-1] = True
         end |= _least(h, end)
         self.first = np.flatnonzero(np.r_[True, end[:-1]])
@@ -175,15 +177,19 @@ def _report(rows):
 
 
 def _repeats(batches):
-    """Occurrences that are not the first of their span; a task holds the rows of its buckets."""
-    held = []
+    """Occurrences that are not the first of their span. Buckets come one after another, and a task holds the rows of one."""
+    held, now = [], None
     for b in batches:
-        for kind, blob in zip(b.column("kind").to_pylist(), b.column("rows").to_pylist(), strict=True):
-            rows = np.frombuffer(blob, _ROW)
+        for bucket, kind, blob in zip(b.column("bucket").to_pylist(), b.column("kind").to_pylist(), b.column("rows"), strict=True):
+            rows = np.frombuffer(blob.as_buffer(), _ROW)
             if kind:
                 yield from _report(rows)
-            else:
-                held.append(rows)
+                continue
+            if bucket != now and held:
+                yield from _report(_first_and_rest(np.concatenate(held))[1])
+                held = []
+            held.append(rows.copy())
+            now = bucket
     if held:
         yield from _report(_first_and_rest(np.concatenate(held))[1])
 
@@ -213,9 +219,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents with their repeated passages cut from the text, and n_removed, the sentences cut."""
     reachable(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where("__id is not null")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = source.mapInArrow(_spans(BUCKETS * parts), "bucket long, kind int, rows binary").repartition(parts, "bucket")
-    repeats = stored(spread.mapInArrow(_repeats, "doc long, at int, n int, h long"), "repeats")
+    size = source.agg(F.coalesce(F.sum(F.octet_length("__text").cast("long")), F.lit(0))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    buckets = max(BUCKETS * parts, size // BUCKET_BYTES)
+    spread = source.mapInArrow(lean(_spans(buckets)), "bucket long, kind int, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    repeats = stored(spread.mapInArrow(lean(_repeats), "doc long, at int, n int, h long"), "repeats")
     own = stored(repeats.groupBy("doc").agg(F.collect_set(F.struct("at", "n", "h")).alias("__spans")), "spans").withColumnRenamed("doc", "__doc")
     names = [c for c in docs.columns if c != "n_removed"]
     joined = docs.select(*names).join(own, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*names, "__spans")
@@ -235,4 +243,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text = pa.array(values, text.type)
             yield pa.RecordBatch.from_arrays([*[text if c == text_col else b.column(c) for c in names], pa.array(removed)], [*names, "n_removed"])
 
-    return joined.mapInArrow(go, schema)
+    return joined.mapInArrow(lean(go), schema)

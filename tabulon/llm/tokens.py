@@ -12,10 +12,13 @@ from itertools import chain, repeat
 
 import numpy as np
 
+from tabulon.llm.shared import worker_stores
+
 #: Words that a worker keeps ids of, and their characters; beyond, it starts anew.
 WORDS, CHARS = 2_000_000, 24_000_000
 
 _memo: dict = {}
+worker_stores.append(_memo)
 _SPACES = re.compile(r"\s\s")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 

@@ -134,3 +134,26 @@ def test_a_stop_before_closing_quotes_ends_a_sentence():
     for word, ends in (('a."', True), ("a.\u201d", True), ("a?')", True), ("a!\u00bb", True), ('a"', False), (')', False), ("a\u2019", False)):
         raw = np.frombuffer(word.encode(), np.uint8)
         assert S._stops(raw, np.array([0]), np.array([len(raw)])).tolist() == [ends]
+
+
+def test_passages_wrapped_anew_are_found(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8))) + r.choice(["", "", "", "", "", ".", ","])
+    filler = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k in range(100):
+        passage = filler(60)
+        wrapped = [w + ("\n" if j % 12 == k % 12 else " ") for j, w in enumerate(passage)]
+        rows.append((2 * k, " ".join(filler(r.randrange(5, 40)) + passage + filler(20))))
+        rows.append((2 * k + 1, " ".join(filler(r.randrange(5, 40))) + " " + "".join(wrapped) + " ".join(filler(20))))
+    got = {x.doc_id: x.n_removed for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[2 * k] == 0 and got[2 * k + 1] > 0 for k in range(100))
+
+
+def test_buckets_go_by_the_bytes_of_text(spark, monkeypatch):
+    rows = corpus(4)
+    want = {x.doc_id: (x.text, x.n_removed) for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(S, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(S, "PART_BYTES", 2000)
+    got = {x.doc_id: (x.text, x.n_removed) for x in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
