@@ -59,6 +59,11 @@ def digits(text: Column) -> Column:
     return plain
 
 
+def _rare_digits(text: Column) -> Column:
+    """``digits`` for the few values that need it, as a lambda: kept out of the generated code of every column."""
+    return F.element_at(F.transform(F.array(text), digits), 1)
+
+
 def number_key(x: Column) -> Column:
     """Key of a double value (not null)."""
     d = x.cast("double")
@@ -69,7 +74,7 @@ def number_key(x: Column) -> Column:
              .when(small, F.concat(F.lit("1:"), d.cast("bigint").cast("string")))
              .when(large, F.concat(F.lit("1:"), _exact_integer(d)))
              .when(F.abs(d) == float("inf"), F.concat(F.lit("1:"), text))
-             .when(text.contains("E"), F.concat(F.lit("1:"), digits(text)))
+             .when(text.contains("E"), F.concat(F.lit("1:"), _rare_digits(text)))
              .otherwise(F.concat(F.lit("1:"), text)))
 
 
@@ -80,7 +85,9 @@ def cell_key(x: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.DecimalType) and dtype.scale == 0:
         key = F.concat(F.lit("1:"), x.cast("string"))
     elif isinstance(dtype, T.DecimalType):
-        key = F.concat(F.lit("1:"), digits(x.cast("string")))
+        text = x.cast("string")
+        short = F.regexp_replace(text, r"\.?0+$", "")  # a scale of one or more always prints a point
+        key = F.concat(F.lit("1:"), F.when(text.contains("E"), _rare_digits(text)).otherwise(short))
     elif isinstance(dtype, _FRACTIONAL):
         key = number_key(x)
     elif isinstance(dtype, T.BooleanType):
@@ -129,3 +136,8 @@ def row_cells(df_schema: T.StructType, names: list[str]) -> Column:
     """``array(cell_key(c1), cell_key(c2), ...)`` for a row."""
     fields = {f.name: f.dataType for f in df_schema.fields}
     return F.array(*[cell_key(F.col(f"`{n}`"), fields[n]) for n in names])
+
+
+def as_text_cells(cells) -> Column:
+    """Cell keys as those of their texts: numbers by their normal form, null as ``None``."""
+    return F.transform(cells, lambda x: F.when(x == "0", F.lit("2:None")).otherwise(F.concat(F.lit("2:"), F.substring(x, 3, 1 << 30))))

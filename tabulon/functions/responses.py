@@ -255,11 +255,6 @@ def crop_entries(df: DataFrame, entries_col: str, out_col: str, budget: int = 20
             .drop("_m", "_done")
 
 
-def to_text_rows(rows) -> Column:
-    """Every cell of ``array<array<...>>`` as text (both sides compared as strings)."""
-    return F.transform(_c(rows), lambda r: F.transform(r, lambda x: x.cast("string")))
-
-
 # ------------------------------------------------------ prompts and samples
 
 def schema_text(catalog: DataFrame) -> DataFrame:

@@ -14,17 +14,17 @@ attribute that label could mean. A question text is kept once per database
 dropped.
 
 "Mentions" is plain substring containment, as in the original tool (so an
-attribute also matches inside a longer name). It is computed as an exact
-equi-join, not a nested loop: each text is exploded into its substrings of
-the (few) distinct attribute-name lengths and joined on equality with the
-attribute names. The work per text is its length times the number of
-distinct name lengths, and the join is a plain hash join.
+attribute also matches inside a longer name). One walk of an Aho-Corasick
+automaton over each text finds all names it holds, so the work is the text's
+length and only matches become rows, which then meet their attributes by an
+equi-join. Names go to the tasks in blocks of a bounded size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.compare import ALL_METRICS
 from ..session import ensure_checkpoint_dir
@@ -68,24 +68,48 @@ def labels_above(ann: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFr
 
 # ------------------------------------------------------- substring joins
 
+#: Characters of the terms that one automaton holds.
+TERM_CHARS = 4_000_000
+
+
+def _held_terms(terms, text_at: int):
+    """The rows with the distinct terms that their text holds."""
+    def go(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for term in terms.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for b in batches:
+            found = [sorted({term for _, term in automaton.iter(text)}) if text else [] for text in b.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], [*b.schema.names, "_terms"])
+    return go
+
+
 def contains_join(texts: DataFrame, text_col: str, terms: DataFrame, term_col: str,
                   keys: list[str]) -> DataFrame:
-    """Rows of ``texts`` x ``terms`` (equal on ``keys``) where the text contains the term.
+    """Rows of ``texts`` x ``terms`` (equal on ``keys``) where the text contains the term; repeated rows of texts count once.
 
-    Exact substring containment as an equi-join on exploded substrings. The
-    distinct term lengths are read from ``terms`` (a handful of numbers).
+    The distinct terms are dealt by hash into blocks of about TERM_CHARS characters; each block's automaton walks all texts.
+    Null texts hold nothing, and null or empty terms are in no text.
     """
-    lengths = sorted(r[0] for r in terms.select(F.length(term_col)).distinct().collect() if r[0])
-    if not lengths:
+    spark = texts.sparkSession
+    own = terms.select(F.col(term_col).alias("_t")).where(F.length("_t") > 0).distinct()
+    blocks = (own.agg(F.coalesce(F.sum(F.length("_t")), F.lit(0))).first()[0] or 0) // TERM_CHARS + 1
+    schema = T.StructType([*texts.schema.fields, T.StructField("_terms", T.ArrayType(T.StringType()))])
+    found = None
+    for block in range(blocks):
+        some = sorted(r[0] for r in own.where(F.pmod(F.xxhash64("_t"), F.lit(blocks)) == block).collect())
+        if not some:
+            continue
+        held = texts.mapInArrow(_held_terms(spark.sparkContext.broadcast(some), texts.columns.index(text_col)), schema)
+        held = held.select(*texts.columns, F.explode("_terms").alias("_sub"))
+        found = held if found is None else found.unionByName(held)
+    if found is None:
         return texts.join(terms, keys).limit(0)
-    lens = F.array(*[F.lit(n) for n in lengths])
-    subs = (texts.select("*", F.explode(lens).alias("_len"))
-                 .select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text_col) - F.col("_len") + 1,
-                                                                        F.lit(0)))).alias("_i"))
-                 .select("*", F.substring(F.col(text_col), F.col("_i"), F.col("_len")).alias("_sub"))
-                 .select(*texts.columns, "_sub").distinct())
-    keyed_terms = terms.withColumn("_sub", F.col(term_col))
-    return subs.join(keyed_terms, [*keys, "_sub"]).drop("_sub")
+    return found.distinct().join(terms.withColumn("_sub", F.col(term_col)), [*keys, "_sub"]).drop("_sub")
 
 
 # ---------------------------------------------------------------- inject

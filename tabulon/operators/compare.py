@@ -31,6 +31,9 @@ Definitions (``round`` is half-to-even, ``bround``):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,31 @@ def capture_literal(df: DataFrame, rows_col: str, test_col: str, side: str) -> D
 
 # ------------------------------------------------------------------ metrics
 
+@dataclass
+class Metric:
+    """A caller's metric: aggregates over a test's distinct canonical rows, and the value from them.
+
+    ``parts`` name aggregate expressions over ``canon`` (a row's sorted cell keys), ``a`` and ``b`` (how often the target and the
+    prediction hold it); ``value`` gets their columns, and ``n_t`` and ``n_p``, the results' row counts. With ``rule`` two empty
+    results score 1 and one empty result 0, as for the other metrics.
+    """
+
+    parts: dict[str, Callable[[], Column]]
+    value: Callable[[dict[str, Column]], Column]
+    rule: bool = True
+
+
+#: Metrics that callers added by name.
+METRICS: dict[str, Metric] = {}
+
+
+def register_metric(name: str, parts: dict[str, Callable[[], Column]], value: Callable[[dict[str, Column]], Column], rule: bool = True) -> None:
+    """Offer a metric to ``metrics``, ``compare`` and the evaluator under ``name``; it is computed in the same job as the others."""
+    if name in ALL_METRICS:
+        raise ValueError(f"{name} is a metric of the library")
+    METRICS[name] = Metric(parts, value, rule)
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.bround(num.cast("double") / den.cast("double"), 3)
 
@@ -99,7 +127,9 @@ def metrics(res: DataFrame, tests: DataFrame, names: list[str] | None = None) ->
     per_row = (res.groupBy("test_id", F.array_sort("cells").alias("canon"))
                .agg(F.count_if(F.col("side") == "t").alias("a"),
                     F.count_if(F.col("side") == "p").alias("b")))
+    own = {n: METRICS[n] for n in names if n not in ALL_METRICS}
     rows = per_row.groupBy("test_id").agg(
+        *[make().alias(f"{n}.{part}") for n, m in own.items() for part, make in m.parts.items()],
         F.sum("a").alias("n_t"), F.sum("b").alias("n_p"),
         F.count_if(F.col("a") > 0).alias("rows_t"),
         F.count_if((F.col("a") > 0) & (F.col("a") == F.col("b"))).alias("rows_eq"),
@@ -135,6 +165,9 @@ def metrics(res: DataFrame, tests: DataFrame, names: list[str] | None = None) ->
                                .when(F.col("rows_xor") == 0, F.lit(1.0)).otherwise(F.lit(0.0)),
         "tuple_order": rule(_spearman(F.col("n_common"), F.col("d2"))),
     }
+    for n, m in own.items():
+        given = {part: F.col(f"`{n}.{part}`") for part in m.parts} | {"n_t": F.col("n_t"), "n_p": F.col("n_p")}
+        exprs[n] = (rule(m.value(given)) if m.rule else m.value(given)).cast("double")
     return out.select("test_id", F.col("n_t").alias("n_target"), F.col("n_p").alias("n_prediction"),
                       *[exprs[n].alias(n) for n in names])
 

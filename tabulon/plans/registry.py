@@ -360,13 +360,18 @@ def efficiency_score(spark, sf):
 
 from ..operators import ambiguity as A  # noqa: E402
 
-AMBIGUITY_MATRIX = [  # label, p_brand, p_type, o_orderpriority, o_orderstatus
-    ("brand", 3.0, 2.0, 0.5, 0.0),
-    ("kind", 1.0, 3.0, 0.0, 2.5),
-    ("urgency", 0.0, 0.0, 3.0, 2.0),
-    ("state", 0.0, 0.0, 1.0, 3.0),
+# Scores of each label for each of _AMB_COLS, in their order.
+AMBIGUITY_MATRIX = [
+    ("brand", 3.0, 2.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ("kind", 1.0, 3.0, 0.0, 2.5, 2.0, 0.0, 0.0, 2.5, 0.5, 0.0, 0.0),
+    ("urgency", 0.0, 0.0, 3.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    ("state", 0.0, 0.0, 1.0, 3.0, 0.0, 2.5, 2.0, 0.0, 0.0, 0.0, 1.0),
+    ("speaker", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 3.0, 0.5, 0.0),
+    ("tongue", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 3.0, 2.5),
 ]
-_AMB_COLS = [("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus")]
+_AMB_COLS = [("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"), ("customer", "c_mktsegment"),
+             ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("events", "event_type"), ("conversations", "role"), ("documents", "lang"),
+             ("nation", "n_name")]
 
 
 def value_tests(spark, sf) -> DataFrame:
@@ -436,7 +441,7 @@ def ambiguity_inject(spark, sf):
 def ambiguity_best(spark, sf):
     """Score each ambiguous test's prediction (its own query) against every target; keep the best."""
     from .evaluate import evaluate
-    C.driver_database(spark, sf, ["part", "orders"])
+    C.driver_database(spark, sf)
     tests = value_tests(spark, sf).withColumn("test_id", F.col("query"))
     amb = A.ambiguous_tests(tests, annotations(spark), 2.0, order_col="test_id")
     pairs = amb.select("ambiguous_question", "query",
@@ -551,10 +556,11 @@ def token_crop(spark, sf):
 
 @key("prompt_table")
 def prompt_table(spark, sf):
-    db = C.driver_database(spark, sf, ["part", "orders"])
+    """Prompts for the value tests of the tables in _PROMPT_COLS, with their first records."""
+    db = C.driver_database(spark, sf, list(_PROMPT_COLS))
     cat = C.schema_rows(spark, db.tables, db.primary_keys)
     samples = RSP.sample_rows(db.tables, 3, db.primary_keys)
-    tests = value_tests(spark, sf)
+    tests = value_tests(spark, sf).where(F.col("tbl_name").isin(*_PROMPT_COLS))
     return RSP.prompt_table(tests, RSP.schema_text(cat), samples, RSP.PROMPTS["text2sql"]).select(
         "tbl_name", "query", "prompt")
 
@@ -680,14 +686,10 @@ def evaluate_checklist(spark, sf):
     return evaluate(spark, tests.withColumn("prediction", pred), "query", "prediction")
 
 
-def _gold_sql(tables=("orders",)) -> str:
-    parts = []
-    for tbl, col in _AMB_COLS:
-        if tbl not in tables:
-            continue
-        parts.append(f"SELECT 'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' "
-                     f"AS query, count(*) AS n_rows FROM {tbl} WHERE {col} IS NOT NULL GROUP BY {col}")
-    return " UNION ALL ".join(parts)
+def _gold_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT 'SELECT * FROM `{tbl}` WHERE `{col}` == ''' || replace({col}, '''', '''''') || '''' "
+        f"AS query, count(*) AS n_rows FROM {tbl} WHERE {col} IS NOT NULL GROUP BY {col}" for tbl, col in _AMB_COLS)
 
 
 def _gold_counts(spark, tests):
@@ -700,14 +702,8 @@ def _gold_counts(spark, tests):
 
 
 @key("gold_answers", _gold_sql())
+@key("gold_answers_all", _gold_sql())
 def gold_answers(spark, sf):
-    """Run every data-derived test query of `orders` once; rows per answer."""
-    C.driver_database(spark, sf, ["orders"])
-    return _gold_counts(spark, value_tests(spark, sf).where(F.col("tbl_name") == "orders"))
-
-
-@key("gold_answers_all", _gold_sql({tbl for tbl, _ in _AMB_COLS}))
-def gold_answers_all(spark, sf):
     """Run every data-derived test query of all tables once; rows per answer."""
     C.driver_database(spark, sf)
     return _gold_counts(spark, value_tests(spark, sf))
@@ -864,8 +860,33 @@ def evaluate_exact_answers(spark, sf):
     return evaluate(spark, tests, "target", "prediction", _ANSWER_METRICS).select("target", *_ANSWER_METRICS)
 
 
-# Columns of the two prompt tables, for the oracle's record text ("str" is quoted).
+_ORDER_RES = """res AS (
+  SELECT n_regionkey AS test_id, 't' AS side, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS pos, ['2:' || n_name] AS cells FROM nation
+  UNION ALL
+  SELECT n_regionkey, 'p', row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_regionkey % 2 = 0 THEN n_nationkey ELSE -n_nationkey END), ['2:' || n_name]
+  FROM nation WHERE n_nationkey % 7 > 0),
+tests AS (SELECT r_regionkey AS test_id FROM region),"""
+
+
+@key("evaluate_ordered", f"WITH {_ORDER_RES} {_METRIC_CTES} "
+     "SELECT 'SELECT n_name FROM nation WHERE n_regionkey = ' || test_id || ' ORDER BY n_name' AS target, "
+     f"{_METRIC_SQL['tuple_order']} AS tuple_order, {_METRIC_SQL['cell_recall']} AS cell_recall FROM m")
+def evaluate_ordered(spark, sf):
+    """Targets with ORDER BY: per region its nations by name, predicted by key, up or down, without some."""
+    from .evaluate import evaluate
+    C.driver_database(spark, sf, ["nation", "region"])
+    k = F.col("r_regionkey").cast("string")
+    way = F.when(F.col("r_regionkey") % 2 == 0, F.lit("ASC")).otherwise(F.lit("DESC"))
+    tests = t(spark, sf, "region").select(
+        F.concat(F.lit("SELECT n_name FROM nation WHERE n_regionkey = "), k, F.lit(" ORDER BY n_name")).alias("target"),
+        F.concat(F.lit("SELECT n_name FROM nation WHERE n_regionkey = "), k, F.lit(" AND n_nationkey % 7 > 0 ORDER BY n_nationkey "), way).alias("prediction"))
+    return evaluate(spark, tests, "target", "prediction", ["tuple_order", "cell_recall"]).select("target", "tuple_order", "cell_recall")
+
+
+# Columns of the prompt tables, for the oracle's record text ("str" is quoted).
 _PROMPT_COLS = {
+    "nation": [("n_nationkey", "num"), ("n_name", "str"), ("n_regionkey", "num")],
+    "customer": [("c_custkey", "num"), ("c_name", "str"), ("c_nationkey", "num"), ("c_acctbal", "num"), ("c_mktsegment", "str")],
     "part": [("p_partkey", "num"), ("p_name", "str"), ("p_brand", "str"), ("p_type", "str"), ("p_size", "num"),
              ("p_retailprice", "num")],
     "orders": [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "str"), ("o_totalprice", "num"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import responses as R
 from tabulon.functions.cells import cell_key
+from tabulon.operators.compare import METRICS, register_metric
 from tabulon.plans.evaluate import evaluate, gold_answers
 from tabulon.sources import catalog as C
 from tabulon.sources.sql import QueryTimeout, with_time_limit
@@ -111,3 +112,25 @@ def test_number_keys_are_exact_at_every_size(spark):
                                "a decimal(38,2), b decimal(38,2), c decimal(10,2), d double, e decimal(9,2), f int")
     r = df.select(*[cell_key(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).first()
     assert r.a != r.b and r.c == r.d and r.e == r.f
+
+
+def test_both_sides_as_text(spark):
+    rows = [(1, "SELECT 1 AS a", "SELECT '1' AS a"), (2, "SELECT '7.50' AS a", "SELECT 7.5D AS a"), (3, "SELECT CAST(NULL AS INT) AS a", "SELECT 'None' AS a"), (4, "SELECT 'x' AS a", "SELECT 'y' AS a")]
+    typed = scores(evaluate(spark, frame(spark, rows), "target", "pred"))
+    text = scores(evaluate(spark, frame(spark, rows), "target", "pred", as_text=True))
+    assert typed == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0} and text == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0}
+    literal = frame(spark, [(1, "SELECT 1 AS a, 'b' AS c", "[('1', 'b')]")]).withColumn("rows", R.typed_rows("pred"))
+    assert scores(evaluate(spark, literal, "target", "rows", as_text=True)) == {1: 1.0} and scores(evaluate(spark, literal, "target", "rows")) == {1: 0.0}
+
+
+def test_a_metric_added_by_name(spark):
+    register_metric("row_jaccard", {"both": lambda: F.count_if((F.col("a") > 0) & (F.col("b") > 0)), "every": lambda: F.count(F.lit(1))}, lambda p: p["both"] / p["every"])
+    try:
+        rows = [(1, "SELECT id FROM range(4)", "SELECT id FROM range(1, 5)"), (2, "SELECT 1 AS a WHERE false", "SELECT 2 AS a WHERE 1 = 0"), (3, "SELECT 1 AS a", "SELECT 1 AS a WHERE false"),
+                (4, "SELECT 1 AS a", "SELECT nope")]
+        got = evaluate(spark, frame(spark, rows), "target", "pred", names=["row_jaccard", "execution_accuracy"])
+        assert scores(got, "row_jaccard") == {1: 0.6, 2: 1.0, 3: 0.0, 4: 0.0} and scores(got)[1] == 0.0
+    finally:
+        del METRICS["row_jaccard"]
+    with pytest.raises(ValueError, match="of the library"):
+        register_metric("tuple_order", {}, lambda p: F.lit(1.0))

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tabulon.operators.compare import ALL_METRICS
 from tabulon.sources.catalog import DRIVER_TABLES
 
 from .conftest import SF_SMALL
@@ -53,8 +54,13 @@ def test_oracle(spark, small_duck, name):
 @pytest.mark.parametrize("name", sorted(k for k in E.queries() if k not in E.oracle_sql()))
 def test_rows_only(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+    rows = df.collect()
+    assert rows and len(df.columns) > 0
+    if name in ("checklist", "ambiguity_pipeline"):
+        assert len(set(rows)) == len(rows) and all(r["query"] and r["sql_tag"] for r in rows)
+    if name in ("evaluate_checklist", "ambiguity_best"):
+        scores = [v for r in rows for k, v in r.asDict().items() if k in ALL_METRICS and v is not None]
+        assert scores and all(0 <= v <= 1 for v in scores) and {0.0, 1.0} <= set(scores)
 
 
 def test_entry(spark):
@@ -79,4 +85,4 @@ def test_checklist_keys_take_every_table_and_family(spark, monkeypatch, name):
 
 def test_gold_answers_of_all_value_tests(spark):
     tables = {r["query"].split("`")[1] for r in E.queries()["gold_answers_all"](spark, SF_SMALL).collect()}
-    assert tables == {"part", "orders"}
+    assert tables == {"part", "orders", "customer", "lineitem", "events", "conversations", "documents", "nation"}
