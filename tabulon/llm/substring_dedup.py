@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.shared import lean, reachable, runs, stored, text_buffers
+from tabulon.llm.shared import arrow_batches, lean, reachable, runs, stored, text_buffers
 from tabulon.llm.shingles import _BASE, _INVERSE, _power, mix64, words
 
 SPAN_WORDS, SPAN_SENTENCES = 25, 2
@@ -44,6 +44,8 @@ WINDOW = 9
 CLOSING = 8
 #: Bytes of text whose spans make one bucket, and one partition, of the span shuffle; buckets for each partition at least.
 BUCKET_BYTES, PART_BYTES, BUCKETS = 4_000_000, 64_000_000, 8
+#: Bytes of rows that a Python worker gets at once, and rows whose texts it cuts at once.
+BATCH, CUT_ROWS = "8m", 1000
 _ROW = np.dtype([("h", "<u8"), ("c", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u2")])
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -222,15 +224,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = source.agg(F.coalesce(F.sum(F.octet_length("__text").cast("long")), F.lit(0))).first()[0]
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     buckets = max(BUCKETS * parts, size // BUCKET_BYTES)
-    spread = source.mapInArrow(lean(_spans(buckets)), "bucket long, kind int, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    repeats = stored(spread.mapInArrow(lean(_repeats), "doc long, at int, n int, h long"), "repeats")
+    with arrow_batches(docs.sparkSession, BATCH):
+        spread = source.mapInArrow(lean(_spans(buckets)), "bucket long, kind int, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        repeats = stored(spread.mapInArrow(lean(_repeats), "doc long, at int, n int, h long"), "repeats")
     own = stored(repeats.groupBy("doc").agg(F.collect_set(F.struct("at", "n", "h")).alias("__spans")), "spans").withColumnRenamed("doc", "__doc")
     names = [c for c in docs.columns if c != "n_removed"]
     joined = docs.select(*names).join(own, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*names, "__spans")
     schema = T.StructType([*[f for f in docs.select(*names).schema.fields], T.StructField("n_removed", T.LongType())])
 
     def go(batches):
-        for b in batches:
+        for b in (x.slice(k, CUT_ROWS) for x in batches for k in range(0, x.num_rows, CUT_ROWS)):
             spans, removed = b.column("__spans"), np.zeros(b.num_rows, np.int64)
             text = b.column(text_col)
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
