@@ -6,10 +6,11 @@ column::
 
     tbl_name, column_name, ordinal, column_type, is_pk, sample_data array<string>
 
-Samples are computed by Spark, one pass per table: categorical columns are
-unpivoted into (column, value) pairs, de-duplicated by a hash aggregate and
-cut to the first ``k`` values by md5 order with a bucketed top-k (no task
-ever holds a whole column); numerical columns take the first ``k`` rows of
+Samples are computed by Spark: categorical columns are
+unpivoted into (column, value) pairs, of which only those of small md5 go on
+(a bottom-k sketch whose bound comes from the columns' approximate distinct
+counts), are de-duplicated and cut to the first ``k`` values by md5 order, so
+the distinct values of large columns are never shuffled; numerical columns take the first ``k`` rows of
 the table by primary key (or by an md5 of the row) in one
 ``TakeOrderedAndProject``.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.topk import top_k_per_group
+from ..session import work_dir
 
 DEFAULT_SEED = 2023
 SAMPLE_SIZE = 5
@@ -214,19 +216,40 @@ def _row_key(df: DataFrame, pk: list[str] | None, seed: int):
     return [F.md5(F.concat(F.lit(str(seed)), F.to_json(F.struct(*[F.col(quote(c)) for c in df.columns]))))]
 
 
+#: Distinct values that the sample's md5 bound lets through, for each that is wanted.
+_SPARE = 16
+
+
+def _least_md5(df: DataFrame, columns: list[str], k: int, seed: int, below: dict[str, str]) -> DataFrame:
+    """(column_name, value, rank): the k distinct non-null values of least md5 whose md5 is below the column's bound, if it has one."""
+    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', CAST({quote(c)} AS STRING), '{below.get(c, 'g')}'" for c in columns)
+    unpivoted = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value, below)")
+    order = F.md5(F.concat(F.lit(str(seed)), F.col("value")))
+    distinct = unpivoted.where(F.col("value").isNotNull()).where(order < F.col("below")).select("column_name", "value").distinct()
+    return top_k_per_group(distinct, ["column_name"], [order, F.col("value")], k).select("column_name", "rank", "value")
+
+
 def categorical_samples(df: DataFrame, columns: list[str], k: int = SAMPLE_SIZE,
                         seed: int = DEFAULT_SEED, long: bool = False) -> DataFrame:
     """(column_name, sample_data): k distinct non-null values per column, md5 order.
 
-    ``long=True`` returns (column_name, rank, value) rows instead of arrays.
+    ``long=True`` returns (column_name, rank, value) rows instead of arrays. Two scans: the first one estimates the columns'
+    distinct counts, the second lets through about ``_SPARE * k`` distinct values a column; a column of which fewer than ``k``
+    came through is read once more without a bound. The samples (k rows a column) are written to the shared folder.
     """
     if not columns:
         return None
-    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', CAST({quote(c)} AS STRING)" for c in columns)
-    unpivoted = df.selectExpr(f"stack({len(columns)}, {pairs}) AS (column_name, value)")
-    distinct = unpivoted.where(F.col("value").isNotNull()).distinct()
-    order = [F.md5(F.concat(F.lit(str(seed)), F.col("value"))), F.col("value")]
-    top = top_k_per_group(distinct, ["column_name"], order, k)
+    spark = df.sparkSession
+    counts = df.agg(*[F.approx_count_distinct(quote(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    below = {c: f"{int(2**32 * _SPARE * k / n):08x}" for c, n in zip(columns, counts, strict=True) if n > 2 * _SPARE * k}
+    path = work_dir(spark, "samples")
+    _least_md5(df, columns, k, seed, below).write.parquet(path)
+    top = spark.read.schema("column_name string, rank int, value string").parquet(path)
+    if below:
+        full = {r.column_name for r in top.groupBy("column_name").count().where(F.col("count") >= k).collect()}
+        short = [c for c in below if c not in full]
+        if short:
+            top = top.where(~F.col("column_name").isin(*short)).unionByName(_least_md5(df, short, k, seed, {}))
     if long:
         return top.select("column_name", F.col("rank").cast("bigint").alias("rank"), "value")
     return (top.groupBy("column_name")

@@ -99,3 +99,19 @@ def test_double_quoted_identifiers(spark):
     df = sql_frame(spark, 'SELECT "n_name" FROM nation WHERE "n_nationkey" = 3', double_quoted_identifiers=True)
     assert [r[0] for r in df.collect()] == ["NATION_3"]
     assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false") == "false"
+
+
+def test_samples_of_large_columns_are_the_least_by_md5(spark, monkeypatch):
+    import hashlib
+
+    df = spark.range(3000).selectExpr("concat('v', id % 2500) AS many", "concat('w', id % 7) AS few", "if(id = 5, 'x', null) AS `one q`", "cast(null as string) AS none")
+    least = lambda values: sorted(values, key=lambda v: hashlib.md5(f"2023{v}".encode()).hexdigest())[:5]
+    want = {"many": least(f"v{i}" for i in range(2500)), "few": least(f"w{i}" for i in range(7)), "one q": ["x"]}
+    asked = []
+    real = C._least_md5
+    monkeypatch.setattr(C, "_least_md5", lambda d, cols, k, seed, below: asked.append((cols, below)) or real(d, cols, k, seed, below))
+    for spare in (16, 0.01):  # with too tight a bound the column is read again
+        monkeypatch.setattr(C, "_SPARE", spare)
+        asked.clear()
+        got = {r.column_name: r.sample_data for r in C.categorical_samples(df, ["many", "few", "one q", "none"], 5).collect()}
+        assert got == want and "many" in asked[0][1] and (spare > 1) == (len(asked) == 1)
