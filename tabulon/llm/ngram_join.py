@@ -595,13 +595,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             odd = stored(join.odd.select(F.col("doc_id").alias("odd")), "odd", lasting=True)
             first = members.where("grp is not null and doc_id <=> component_id").groupBy("grp").agg(F.first("doc_id").alias("own"), F.min("dig").alias("own_dig"))
             first = stored(first.join(odd, F.col("own").eqNullSafe(F.col("odd")), "left_semi").select("own", "own_dig"), "first", lasting=True)
-    key = F.col(id_col).cast("long")
+    key = docs[id_col].cast("long")
     if join.odd is None:
-        return docs.join(gone, key == F.col("gone"), "left_anti")
-    plain = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_anti").join(gone, key == F.col("gone"), "left_anti")
-    rows = docs.join(odd, key.eqNullSafe(F.col("odd")), "left_semi")
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        return docs.join(gone, key == gone["gone"], "left_anti")
+    plain = docs.join(odd, key.eqNullSafe(odd["odd"]), "left_anti").join(gone, key == gone["gone"], "left_anti")
+    rows = docs.join(odd, key.eqNullSafe(odd["odd"]), "left_semi")
+    rows = rows.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), key.alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.mapInArrow(lean(_set_digests), StructType([*rows.schema.fields, StructField("dig", BinaryType())]))
     blank = rows.where(F.length("dig") == 0)
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("dig") == F.col("own_dig")), "left_semi").dropDuplicates(["doc_id", "dig"])
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["own"]) & (rows["dig"] == first["own_dig"]), "left_semi").dropDuplicates(["doc_id", "dig"])
     return plain.unionByName(blank.unionByName(kept).select("row.*"))

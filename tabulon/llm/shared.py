@@ -140,6 +140,14 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
                        *[F.col(c) for c in more])
 
 
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of the frames (case aside)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_buffers(column: pa.Array):
     """(offsets int64, bytes uint8) of an Arrow string column; nulls are empty."""
     import numpy as np

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.shared import arrow_batches, lean, reachable, runs, stored, text_buffers
+from tabulon.llm.shared import arrow_batches, fresh_name, lean, reachable, runs, stored, text_buffers
 from tabulon.llm.shingles import _BASE, _INVERSE, _power, mix64, words
 
 SPAN_WORDS, SPAN_SENTENCES = 25, 2
@@ -227,14 +227,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with arrow_batches(docs.sparkSession, BATCH):
         spread = source.mapInArrow(lean(_spans(buckets)), "bucket long, kind int, rows binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
         repeats = stored(spread.mapInArrow(lean(_repeats), "doc long, at int, n int, h long"), "repeats")
-    own = stored(repeats.groupBy("doc").agg(F.collect_set(F.struct("at", "n", "h")).alias("__spans")), "spans").withColumnRenamed("doc", "__doc")
+    doc, held = fresh_name("doc", docs), fresh_name("spans", docs)
+    own = stored(repeats.groupBy(F.col("doc").alias(doc)).agg(F.collect_set(F.struct("at", "n", "h")).alias(held)), "spans")
     names = [c for c in docs.columns if c != "n_removed"]
-    joined = docs.select(*names).join(own, F.col(id_col).cast("long") == F.col("__doc"), "left").select(*names, "__spans")
+    joined = docs.select(*names).join(own, docs[id_col].cast("long") == own[doc], "left").select(*names, held)
     schema = T.StructType([*[f for f in docs.select(*names).schema.fields], T.StructField("n_removed", T.LongType())])
 
     def go(batches):
         for b in (x.slice(k, CUT_ROWS) for x in batches for k in range(0, x.num_rows, CUT_ROWS)):
-            spans, removed = b.column("__spans"), np.zeros(b.num_rows, np.int64)
+            spans, removed = b.column(held), np.zeros(b.num_rows, np.int64)
             text = b.column(text_col)
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             if len(hit):

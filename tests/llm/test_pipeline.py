@@ -55,3 +55,26 @@ def test_an_id_with_another_text_keeps_it(spark):
     docs = spark.createDataFrame([(5, "A"), (5, "B"), (9, "A"), (7, "C"), (8, "C")], "doc_id long, text string")
     got = sorted(tuple(r) for r in P.exact_dedup(spark, docs, "").collect())
     assert got == [(5, "B"), (8, "C"), (9, "A")]
+
+
+def test_near_copies_go_by_row(spark):
+    base = [f"v{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (5, " ".join([*base[:59], "x"])), (5, "an unrelated text of some words")]
+    got = sorted(tuple(r) for r in P.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert got == [rows[0], rows[2]]
+
+
+def test_columns_of_any_name_and_very_long_texts_pass_through(spark):
+    long = " ".join(f"w{k}" for k in range(40_000))
+    names = ["__sha", "_sha", "rep", "queue", "gone", "odd", "own", "row", "dig", "doc", "spans", "__spans", "__doc", "n_removed_", "text_sha256", "score", "ids"]
+    rows = [(1, long, "en", "s", 1), (2, long + " more", "en", "s", 2), (3, "short text", "en", None, 3), (3, "another short text", "en", "q", 4), (7, "short text", "de", "q", 5), (None, "short text", "de", "q", 6), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = docs.selectExpr("*", *[f"'{n}' as `{n}`" for n in names])
+    for stage in (P.quality, P.exact_dedup, P.near_dedup, P.substring_dedup):
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        plain = stage(spark, docs, SF).select("doc_id", "text")
+        got = out.collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((tuple(r) for r in plain.collect()), key=str)
+        assert all(r[n] == n for r in got for n in names)
+    assert P.packing(spark, wide, SF).agg({"length": "sum"}).first()[0] == P.packing(spark, docs, SF).agg({"length": "sum"}).first()[0]
