@@ -49,18 +49,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         mixed = gone.join(stays, "doc_id", "left_semi")
         by_text = not mixed.isEmpty()
         if by_text:
-            texts = stored(groups.where("not doc_id <=> keep_id").join(mixed, "doc_id", "left_semi").select("doc_id", F.col("text_sha256").alias("__sha")).distinct(), "mixed", lasting=True)
+            texts = stored(groups.where("not doc_id <=> keep_id").join(mixed, "doc_id", "left_semi").select(F.col("doc_id").alias("own"), F.col("text_sha256").alias("sha")).distinct(), "mixed", lasting=True)
             gone = _ids(gone.join(mixed, "doc_id", "left_anti"))
         nulls = not groups.where("doc_id is null and not kept").isEmpty()
         repeated = not groups.where("doc_id <=> keep_id and not kept").isEmpty()
         if nulls:
             lost = stored(groups.where("doc_id is null and keep_id is not null").select("text_sha256").distinct(), "nulls", lasting=True)
     kept = _without_ids(docs, gone)
+    digest = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
     if by_text:
-        kept = kept.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(texts, ["doc_id", "__sha"], "left_anti").select(*docs.columns)
+        kept = kept.join(texts, (docs["doc_id"] == texts["own"]) & (digest == texts["sha"]), "left_anti")
     if nulls:
-        kept = kept.withColumn("__sha", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
-        kept = kept.join(lost, F.col("__sha") == F.col("text_sha256"), "left_anti").select(*docs.columns)
+        kept = kept.join(lost, F.when(docs["doc_id"].isNull(), digest) == lost["text_sha256"], "left_anti")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
