@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import stored, with_text
-from tabulon.llm.tokens import encoded
+from tabulon.llm.shared import arrow_batches, give_back, stored, with_text
+from tabulon.llm.tokens import WORDS, encoded
 
 SEQUENCE, WINDOW_SEQUENCES = 1024, 64
 #: Queues of which a task sums up the sizes.
 QUEUES_PER_TASK = 10_000
+#: Bytes of rows that a Python worker gets at once.
+BATCH = "8m"
 
 
 def places(q: int, count: int, lo: int, hi: int, total: int, size: int, window: int):
@@ -130,10 +132,10 @@ def _shares(sums: DataFrame, window: int) -> tuple[DataFrame, int]:
 _TOKENS = "doc_id long, queue string, n long, part int, before long, ids binary"
 
 
-def _tokenize(path, spaced, end):
+def _tokenize(path, spaced, end, remembered):
     def go(batches):
         part, seen = TaskContext.get().partitionId(), {}
-        for b, sizes, ids in encoded(batches, path, spaced, end):
+        for b, sizes, ids in encoded(batches, path, spaced, end, remembered=remembered):
             queues, before, ends = b.column("queue").to_pylist(), [], np.cumsum(sizes)
             for q, n in zip(queues, sizes.tolist(), strict=True):
                 before.append(seen.get(q, 0))
@@ -144,6 +146,7 @@ def _tokenize(path, spaced, end):
                 [b.column("doc_id").cast(pa.int64()), pa.array(queues, pa.string()), pa.array(sizes, pa.int64()),
                  pa.array([part] * len(raw), pa.int32()), pa.array(before, pa.int64()), pa.array(raw, pa.binary())],
                 ["doc_id", "queue", "n", "part", "before", "ids"])
+        give_back(collect=False)
     return go
 
 
@@ -180,14 +183,18 @@ def _cut(plan, total, window, sequence, with_ids):
 
 def pack(docs: DataFrame, tokenizer: str, spaced: bool = True, end_id: int = 0, sequence: int = SEQUENCE,
          window_sequences: int = WINDOW_SEQUENCES, targets: dict[str, float] | None = None, with_ids: bool = False,
-         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Pieces of all documents in sequences of ``sequence`` tokens, sources mixed in proportion in every window."""
+         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", remembered: int = WORDS) -> DataFrame:
+    """Pieces of all documents in sequences of ``sequence`` tokens, sources mixed in proportion in every window.
+
+    A worker remembers the ids of about ``remembered`` words: fewer take less memory and more time, results are the same.
+    """
     spark = docs.sparkSession
     queue, window = F.coalesce(F.col("queue").cast("string"), F.lit("")), window_sequences * sequence
     if targets is not None:
         queue = F.when(queue.isin(*targets), queue).otherwise(F.lit("\0rest"))
     source = with_text(docs.withColumn("queue", F.col(source_col)) if source_col != "queue" else docs, id_col, text_col, "queue")
-    tokens = stored(source.withColumn("queue", queue).mapInArrow(_tokenize(tokenizer, spaced, end_id), _TOKENS), "tokens")
+    with arrow_batches(spark, BATCH):
+        tokens = stored(source.withColumn("queue", queue).mapInArrow(_tokenize(tokenizer, spaced, end_id, remembered), _TOKENS), "tokens")
     sums = stored(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "queue-parts")
     base = sums.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"))
     if targets is None:

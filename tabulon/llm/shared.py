@@ -46,11 +46,12 @@ def lean(go):
     return run
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     import ctypes
     import gc
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

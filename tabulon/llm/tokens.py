@@ -152,9 +152,11 @@ def with_end(sizes, ids, end: int):
     return sizes + 1, out
 
 
-def encoded(batches, path: str, spaced: bool, end: int, characters: int = 2_000_000):
-    """Yield (batch slice, sizes, ids) with end ids, a bounded number of characters at a time."""
+def encoded(batches, path: str, spaced: bool, end: int, characters: int = 2_000_000, remembered: int = WORDS):
+    """Yield (batch slice, sizes, ids) with end ids, a bounded number of characters at a time; about ``remembered`` words of
+    twelve characters are kept."""
     store = memo(path, spaced)
+    store.words_kept, store.chars_kept = remembered, CHARS // WORDS * remembered
     for b in batches:
         texts = b.column("text").to_pylist()
         k = 0
