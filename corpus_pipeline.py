@@ -24,6 +24,10 @@ from tabulon.llm.shared import scratch, stored, table
 from tabulon.llm.substring_dedup import remove_repeats
 
 
+#: Words whose ids a worker of the packing stage remembers: the stages before it have filled the executors' memory.
+REMEMBERED = 300_000
+
+
 def _ids(rows: DataFrame) -> DataFrame:
     """The distinct ids of the given rows as a table that outlives a block of scratch tables."""
     return stored(rows.select("doc_id").distinct(), "gone", lasting=True)
@@ -78,7 +82,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 1024, every window with the sources' proportions."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
