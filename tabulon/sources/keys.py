@@ -1,10 +1,11 @@
 """Keys from the data: which columns are unique, and which hold only values of another one (inclusion dependencies).
 
 All columns that can be keys are unpivoted to (column, kind, value) pairs, counted by column and value with partial
-aggregates, and brought together by value: a value's row then knows every column that holds it, as a bitmap, and how often.
-The bitmaps of all values of a column, combined by AND, are the columns that hold all of them; the counts tell unique
-columns, and for a pair of columns the rows without a match. A value that fills a third of a table is one row a task before
-anything moves, and a row of the value table is bounded by the number of columns.
+aggregates, and brought together by value: a value then knows every column that holds it. What is asked of the values depends
+on the set of columns that hold them only, so their counts are summed by that set and written as a small table: a row for each
+set that occurs and each of its columns. The columns that are in all sets of a column hold all of its values; the counts tell
+unique columns, and for a pair of columns the rows without a match. A value that fills a third of a table is one row a task
+before anything moves, and a value's row is bounded by the number of columns.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
+from ..session import kept
 from .catalog import FK_SCHEMA, infer_foreign_keys, quote, schema_rows
 
 #: Longer texts go by their SHA-256.
@@ -40,7 +41,8 @@ def key_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
 
 
 def value_table(tables: dict[str, DataFrame]) -> DataFrame:
-    """(held array<struct<col, n>>, in every row the columns that hold one value, by their number in ``key_columns``).
+    """(held array<int>, col, n_values, n_distinct, n_repeated): of the values that the columns ``held`` hold and no other one
+    (columns by their number in ``key_columns``, ascending), the rows, values and repeating values of each of these columns.
 
     Written to the shared folder, as several results read it.
     """
@@ -58,10 +60,10 @@ def value_table(tables: dict[str, DataFrame]) -> DataFrame:
         pairs = ", ".join(f"{i}, '{k}', {text(c, k)}" for i, c, k in own)
         parts.append(df.selectExpr(f"stack({len(own)}, {pairs}) AS (col, kind, value)").where("value IS NOT NULL"))
     counted = reduce(DataFrame.unionByName, parts).groupBy("col", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    held = counted.groupBy("kind", "value").agg(F.collect_list(F.struct("col", "n")).alias("held")).select("held")
-    path = work_dir(spark, "key-values")
-    held.write.parquet(path)
-    return spark.read.schema(held.schema).parquet(path)
+    own = counted.groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("col", "n"))).alias("own"))
+    each = own.select(F.col("own.col").alias("held"), F.explode("own").alias("x"))
+    return kept(each.groupBy("held", F.col("x.col").alias("col"))
+                .agg(F.sum("x.n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"), F.count(F.when(F.col("x.n") > 1, 1)).alias("n_repeated")), "key-values")
 
 
 def _names(spark: SparkSession, columns: list[tuple[str, str, str]]) -> DataFrame:
@@ -80,12 +82,10 @@ def column_keys(tables: dict[str, DataFrame], values: DataFrame | None = None) -
     words = range(len(columns) // _WORD + 1)
 
     def bitmap(w):
-        own = F.filter("held", lambda x: x["col"].between(w * _WORD, (w + 1) * _WORD - 1))
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["col"] - w * _WORD)))
+        own = F.filter("held", lambda x: x.between(w * _WORD, (w + 1) * _WORD - 1))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x - w * _WORD)))
 
-    rows = values.select(*[bitmap(w).alias(f"w{w}") for w in words], F.explode("held").alias("x"))
-    per = rows.groupBy("x.col").agg(F.sum("x.n").alias("n_values"), F.count(F.lit(1)).alias("n_distinct"), F.count(F.when(F.col("x.n") > 1, 1)).alias("n_repeated"),
-                                    *[F.bit_and(f"w{w}").alias(f"w{w}") for w in words])
+    per = values.groupBy("col").agg(*[F.sum(c).alias(c) for c in ("n_values", "n_distinct", "n_repeated")], *[F.bit_and(bitmap(w)).alias(f"w{w}") for w in words])
 
     def holds(i):
         return F.col(f"w{i // _WORD}").bitwiseAND(1 << (i % _WORD)) != 0
@@ -120,11 +120,11 @@ def references(tables: dict[str, DataFrame], primary_keys: dict[str, list[str]]
     pairs = reduce(DataFrame.unionByName, [df.withColumn("origin", F.lit(o)) for df, o in ((stated, "declared"), (named, "name"), (found, "data"))])
     for out, tbl, col in (("a", "tbl_name", "parent_column"), ("b", "child_table", "child_column")):
         pairs = pairs.join(names.select(F.col("tbl_name").alias(tbl), F.col("column_name").alias(col), F.col("col").alias(out)), [tbl, col])
-    sides = values.select("held", F.explode("held").alias("x")).select("held", F.col("x.col").alias("a"), F.col("x.n").alias("n"))
-    matched = F.exists("held", lambda x: x["col"] == F.col("b"))
+    sides = values.select("held", F.col("col").alias("a"), "n_values", "n_repeated")
+    matched = F.array_contains("held", F.col("b"))
     refs = (sides.join(pairs.select("a", "b").distinct(), "a").groupBy("a", "b")
-            .agg(F.sum("n").alias("n_references"), F.sum(F.when(matched, 0).otherwise(F.col("n"))).alias("n_orphans")))
-    repeated = sides.where("n > 1").groupBy(F.col("a").alias("b")).agg(F.count(F.lit(1)).alias("n_repeated"))
+            .agg(F.sum("n_values").alias("n_references"), F.sum(F.when(matched, 0).otherwise(F.col("n_values"))).alias("n_orphans")))
+    repeated = sides.groupBy(F.col("a").alias("b")).agg(F.sum("n_repeated").alias("n_repeated"))
     return (pairs.join(refs, ["a", "b"], "left").join(repeated, "b", "left")
             .select("tbl_name", "parent_column", "child_table", "child_column", "origin",
                     *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_references", "n_orphans", "n_repeated")]))

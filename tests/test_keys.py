@@ -69,3 +69,9 @@ def test_primary_key_checks(spark):
     tables = {"t": ({"a": "long", "b": "string"}, [(1, "x"), (1, "x"), (1, "y"), (None, "x"), (None, "x"), (2, None)]), "e": ({"a": "long"}, [])}
     got = {tuple(r) for r in K.primary_key_checks(frames(spark, tables), {"t": ["a", "b"], "e": ["a"]}).collect()}
     assert got == {("t", "a,b", 6, 3, 1), ("e", "a", 0, 0, 0)}
+
+
+def test_the_value_table_goes_by_sets_of_columns_not_by_values(spark):
+    tables = {"a": ({"x": "long", "y": "long"}, [(k, k % 50) for k in range(400)]), "b": ({"z": "long"}, [(k // 2,) for k in range(100)])}
+    rows = [(tuple(r.held), r.col, r.n_values, r.n_distinct, r.n_repeated) for r in K.value_table(frames(spark, tables)).collect()]
+    assert sorted(rows) == [((0,), 0, 350, 350, 0), ((0, 1, 2), 0, 50, 50, 0), ((0, 1, 2), 1, 400, 50, 50), ((0, 1, 2), 2, 100, 50, 50)]
