@@ -134,3 +134,32 @@ def test_a_metric_added_by_name(spark):
         del METRICS["row_jaccard"]
     with pytest.raises(ValueError, match="of the library"):
         register_metric("tuple_order", {}, lambda p: F.lit(1.0))
+
+
+def test_only_the_cells_of_differing_results_are_written(spark, tmp_path):
+    spark.range(40).selectExpr("id AS k", "id % 7 AS g", "concat('t', id) AS word").createOrReplaceTempView("forty")
+    rows = [(1, "SELECT * FROM forty ORDER BY g ASC, k", "SELECT * FROM forty ORDER BY g DESC, k"), (2, "SELECT * FROM forty ORDER BY g DESC, k", "SELECT * FROM forty ORDER BY g ASC, k"),
+            (3, "SELECT k, g FROM forty", "SELECT g, k FROM forty"), (4, "SELECT * FROM forty WHERE k < 0", "SELECT * FROM forty"), (5, "SELECT nope FROM forty", "SELECT word FROM forty"),
+            (6, "SELECT g FROM forty WHERE k < 10", "SELECT g FROM forty WHERE k < 9"), (7, "SELECT k FROM forty ORDER BY k", "SELECT k FROM forty WHERE k > 1 ORDER BY -k")]
+    work = str(tmp_path / "work")
+    got = {r.test_id: r for r in evaluate(spark, frame(spark, rows), "target", "pred", on_target_error="null", work=work).collect()}
+    assert got[1].tuple_order == got[2].tuple_order and 0 < got[1].tuple_order < 1 and got[7].tuple_order == 0.0 and got[6].tuple_order is None
+    for i in (1, 2, 3):
+        assert (got[i].execution_accuracy, got[i].cell_precision, got[i].cell_recall, got[i].tuple_cardinality, got[i].tuple_constraint) == (1.0,) * 5
+    assert (got[4].cell_recall, got[4].execution_accuracy) == (0.0, 0.0) and got[5].cell_recall is None
+    # g is 0..6, 0, 1, 2 of ten rows and 0..6, 0, 1 of nine: of seven values only that of 2 comes another number of times
+    assert (got[6].cell_precision, got[6].tuple_cardinality, got[6].tuple_constraint, got[6].execution_accuracy) == (1.0, 0.9, 0.857, 0.0)
+    assert got[7].cell_recall == 0.95 and got[7].cell_precision == 1.0
+    written = spark.read.parquet(f"{work}/res")
+    assert written.columns[:4] == ["test_id", "side", "pos", "cells"] and written.count() == 10 + 9 + 40 + 38
+    assert "cells" not in spark.read.parquet(f"{work}/keys/res").columns
+
+
+def test_gold_rows_are_written_once(spark, tmp_path):
+    base = spark.sparkContext.getCheckpointDir() or ""
+    folder = base.partition(":")[2] if base.startswith("file:") else base
+    import os
+    before = set(os.listdir(folder))
+    res, errors = gold_answers(spark, frame(spark, [(1, "SELECT id FROM range(5)", None), (2, "SELECT nope", None), (3, "SELECT id FROM range(5)", None)]), "target", work=str(tmp_path / "gold"))
+    assert sorted(r.test_id for r in res.collect()) == [1] * 5 + [3] * 5 and [r.test_id for r in errors.collect()] == [2]
+    assert not [f for f in set(os.listdir(folder)) - before if f.startswith("tabulon-gold")]
