@@ -34,6 +34,37 @@ def _near_spaces(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or "\n\n" in text
 
 
+#: The cut into words of a tokenizer file that the light route below stands for: letters go by runs, and so do signs.
+_RUNS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_FORMS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# Letters that stay one letter each under NFC and lower case (Latin, Cyrillic, kana, ideographs), with ASCII signs before and
+# after; no apostrophe, as the cut knows endings by it.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fff]+")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _light(path: str):
+    """(tokenizer, whether a token ends a word) that cuts at spaces only, for words that are runs of letters; None if the file
+    cuts words otherwise."""
+    import json
+
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cut, form = file["model"], file.get("pre_tokenizer") or {}, file.get("normalizer") or {}
+    suffix = model.get("end_of_word_suffix")
+    if cut.get("pretokenizers") != [_RUNS, _BYTES] or form.get("normalizers") != _FORMS or model.get("type") != "BPE" or not suffix:
+        return None
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(max(model["vocab"].values()) + 1, bool)
+    last[[k for t, k in model["vocab"].items() if t.endswith(suffix)]] = True
+    return tok, last
+
+
 class Memo:
     """ids of words; spaced: a word's leading space belongs to it (byte-level BPE), else white space is dropped."""
 
@@ -48,6 +79,7 @@ class Memo:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self.spaced = spaced
+        self.light = None if spaced else _light(path)
         # new words go to the tokenizer many at once, with a mark between them that is a word and one id of its own
         self.mark = "\n" if spaced else "~"
         self.mark_id = self.tok.encode(self.mark, add_special_tokens=False).ids
@@ -94,10 +126,45 @@ class Memo:
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
         self.chars += sum(map(len, words))
 
+    def _runs_of_letters(self, words):
+        """(ids per word, all ids) of words that are runs of letters, or None where the tokens do not tell their ends."""
+        tok, last = self.light
+        parts = [" ".join(words[k:k + 2000]) for k in range(0, len(words), 2000)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(parts, add_special_tokens=False)])
+        at = np.flatnonzero(last[flat])
+        return (np.diff(np.r_[-1, at]), flat) if len(at) == len(words) and at[-1] == len(flat) - 1 else None
+
     def _learn(self, words):
         for k in range(0, len(words), 50_000):
             part = words[k:k + 50_000]
-            self._keep(part, *self.ids_of(part))
+            if self.light is None:
+                self._keep(part, *self.ids_of(part))
+                continue
+            cores = [w.strip(_SIGNS) for w in part]
+            simple = [c.isascii() and c.isalpha() or _LETTERS.fullmatch(c) is not None for c in cores]
+            runs = list(dict.fromkeys(c for c, s in zip(cores, simple, strict=True) if s))
+            runs = [c for c in runs if c not in self.at]
+            signed = [(w, c) for w, c, s in zip(part, cores, simple, strict=True) if s and len(c) < len(w)]
+            found = self._runs_of_letters(runs) if runs else None
+            if found:
+                self._keep(runs, *found)
+            cut = [(w, (w[:(k := w.index(c))], c, w[k + len(c):])) for w, c in signed]
+            hard = [w for w, s in zip(part, simple, strict=True) if not s]
+            hard += [p for p in dict.fromkeys(p for _, (lead, _, tail) in cut for p in (lead, tail) if p)] + (runs if runs and not found else [])
+            hard = [w for w in dict.fromkeys(hard) if w not in self.at]
+            if hard:
+                self._keep(hard, *self.ids_of(hard))
+            self._compose(cut)
+
+    def _compose(self, simple):
+        """Keep words by the ids of their pieces."""
+        if not simple:
+            return
+        parts = [[p for p in own if p] for _, own in simple]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        code = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+        total, ids = self._gather(code)
+        self._keep([w for w, _ in simple], np.diff(np.r_[0, np.r_[0, total][np.cumsum(count)]]), ids)
 
     def _gather(self, code):
         """(running total of sizes, ids) of words by their number."""

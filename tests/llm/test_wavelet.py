@@ -67,3 +67,20 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert wavelet.read(*wavelet.write(spark.createDataFrame([], "doc_id long, text string"), WORD)).count() == 0
+
+
+def test_runs_of_letters_take_the_light_route_with_the_library_s_ids():
+    import random
+
+    from tabulon.llm import tokens
+
+    rng = random.Random(7)
+    bits = ["a", "B", "ch", "é", "İ", "ß", "שׁ", "क़", "'s", "'t", "'", '"', "(", ".", "!", "~", "1", "23", "²", "ア", "東京", "Д", "ς", "ŉ", "ª", "Å", "̈", "ſ", "#", "|", "<|endoftext|>", "_", " ", "  ", "\n", "\t"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(2000)] + ["Plain words, (and) more words!!"]
+    store = tokens.Memo(WORD, False)
+    assert store.light is not None and tokens.Memo(public_tokenizers.path("byte_bpe_50k.json"), True).light is None
+    sizes, ids = store.encode(texts)
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert {"plain", "and", "(and)", "(", ")"} <= set(store.at)
