@@ -69,6 +69,7 @@ class Memo:
     """ids of words; spaced: a word's leading space belongs to it (byte-level BPE), else white space is dropped."""
 
     words_kept, chars_kept = WORDS, CHARS
+    light = None
 
     def __init__(self, path: str, spaced: bool):
         import os

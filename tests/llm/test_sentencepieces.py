@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 from sentencepiece import SentencePieceProcessor
 
-from tabulon.llm.sentencepieces import decode, digests, encode, model, suffix_array
+from tabulon.llm.sentencepieces import Pieces, decode, digests, encode, model, suffix_array
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["", " ", "  ", "a", " a", "a ", "a  b\n c\t x ", "Hello World. this  is   it", "é à ñ ÀÉ ß", "日本語テスト", "🙂🙂x", "aaaaaaaaaaaaaaaaaaaa",
@@ -45,3 +45,11 @@ def test_operator(spark):
     back = {r.doc_id: r for r in digests(df, PATH).collect()}
     assert all(back[i].n_ids == len(w) for i, w in want) and back[7].round_trip and not back[12].round_trip
     assert digests(df.where("false"), PATH).count() == 0
+
+
+def test_new_words_go_to_the_model_s_own_matching():
+    m = Pieces(PATH)
+    assert m.light is None
+    sizes, ids = m.encode(["one (two) one", "", "two"])
+    want = SentencePieceProcessor(model_file=PATH).encode(["one (two) one", "", "two"])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want and set(m.at) == {" one", " (two)", " two"}
