@@ -8,11 +8,13 @@ are those of its words in order. A worker keeps the ids of words it has seen
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from tabulon.llm.shared import worker_stores
+from tabulon.llm.shared import runs, text_buffers, worker_stores
 
 #: Words that a worker keeps ids of, and their characters; beyond, it starts anew.
 WORDS, CHARS = 2_000_000, 24_000_000
@@ -42,6 +44,11 @@ _FORMS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "co
 # after; no apostrophe, as the cut knows endings by it.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fff]+")
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Bytes in the form that words are kept in: white space of the files' cut as spaces, and A-Z in lower case.
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[9, 10, 13]] = 32
+_LOWER = _SPACED.copy()
+_LOWER[65:91] += 32
 
 
 def _light(path: str):
@@ -59,6 +66,7 @@ def _light(path: str):
         return None
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    tok.normalizer = None  # such words are put in lower case before, and NFC leaves them as they are
     tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     last = np.zeros(max(model["vocab"].values()) + 1, bool)
     last[[k for t, k in model["vocab"].items() if t.endswith(suffix)]] = True
@@ -90,6 +98,8 @@ class Memo:
         self.at: dict[str, int] = {}
         self.chars = self.used = 0
         self.flat, self.start, self.size = np.empty(1 << 20, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        if self.light:
+            self._keep([""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
     def ids_of(self, words):
         """(ids per word, all ids) of new words."""
@@ -130,7 +140,7 @@ class Memo:
     def _runs_of_letters(self, words):
         """(ids per word, all ids) of words that are runs of letters, or None where the tokens do not tell their ends."""
         tok, last = self.light
-        parts = [" ".join(words[k:k + 2000]) for k in range(0, len(words), 2000)]
+        parts = [" ".join(words[k:k + 200]).lower() for k in range(0, len(words), 200)]
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(parts, add_special_tokens=False)])
         at = np.flatnonzero(last[flat])
         return (np.diff(np.r_[-1, at]), flat) if len(at) == len(words) and at[-1] == len(flat) - 1 else None
@@ -141,31 +151,22 @@ class Memo:
             if self.light is None:
                 self._keep(part, *self.ids_of(part))
                 continue
-            cores = [w.strip(_SIGNS) for w in part]
-            simple = [c.isascii() and c.isalpha() or _LETTERS.fullmatch(c) is not None for c in cores]
-            runs = list(dict.fromkeys(c for c, s in zip(cores, simple, strict=True) if s))
-            runs = [c for c in runs if c not in self.at]
-            signed = [(w, c) for w, c, s in zip(part, cores, simple, strict=True) if s and len(c) < len(w)]
-            found = self._runs_of_letters(runs) if runs else None
+            trimmed = pc.utf8_trim(pa.array(part, pa.string()), _SIGNS)
+            simple = pc.match_substring_regex(trimmed, f"^{_LETTERS.pattern}$").to_numpy(zero_copy_only=False).tolist()
+            cores = trimmed.to_numpy(zero_copy_only=False).tolist()
+            letters = [c for c in dict.fromkeys(compress(cores, simple)) if c not in self.at]
+            found = self._runs_of_letters(letters) if letters else None
             if found:
-                self._keep(runs, *found)
-            cut = [(w, (w[:(k := w.index(c))], c, w[k + len(c):])) for w, c in signed]
-            hard = [w for w, s in zip(part, simple, strict=True) if not s]
-            hard += [p for p in dict.fromkeys(p for _, (lead, _, tail) in cut for p in (lead, tail) if p)] + (runs if runs and not found else [])
+                self._keep(letters, *found)
+            signed = [(w, w.partition(c)) for w, c, s in zip(part, cores, simple, strict=True) if s and len(c) < len(w)]
+            hard = [w for w, s in zip(part, simple, strict=True) if not s] + ([] if found else letters)
+            hard += [p for _, (lead, _, tail) in signed for p in (lead, tail)]
             hard = [w for w in dict.fromkeys(hard) if w not in self.at]
             if hard:
                 self._keep(hard, *self.ids_of(hard))
-            self._compose(cut)
-
-    def _compose(self, simple):
-        """Keep words by the ids of their pieces."""
-        if not simple:
-            return
-        parts = [[p for p in own if p] for _, own in simple]
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        code = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
-        total, ids = self._gather(code)
-        self._keep([w for w, _ in simple], np.diff(np.r_[0, np.r_[0, total][np.cumsum(count)]]), ids)
+            if signed:  # a word of three pieces, the outer ones perhaps empty
+                code = np.fromiter(map(self.at.__getitem__, chain.from_iterable(p for _, p in signed)), np.int64, 3 * len(signed))
+                self._keep([w for w, _ in signed], self.size[code].reshape(-1, 3).sum(1), self._gather(code)[1])
 
     def _gather(self, code):
         """(running total of sizes, ids) of words by their number."""
@@ -188,6 +189,8 @@ class Memo:
 
     def encode(self, texts):
         """(ids per text, all ids) of a list of texts."""
+        if self.light:
+            return self.encode_column(pa.array(texts, pa.string()))
         lists = [self._words(t) for t in texts]
         words = list(chain.from_iterable(lists))
         if len(self.at) > self.words_kept or self.chars > self.chars_kept:
@@ -203,6 +206,36 @@ class Memo:
         return np.diff(np.r_[0, upto]), ids
 
 
+    def encode_column(self, column):
+        """(ids per text, all ids) of an Arrow column, by the light route: Arrow cuts and counts words, only distinct ones are
+        looked up. When the store is full, the words of these texts stay."""
+        offsets, raw = text_buffers(column)
+        data = _LOWER[raw]
+        # marks that NFC joins to letters (U+0300 to U+036F): it may join them to small ones only, so those texts keep their case
+        marked = np.flatnonzero((raw == 0xCC) | (raw == 0xCD))
+        for k in np.unique(np.searchsorted(offsets, marked, side="right") - 1).tolist():
+            data[offsets[k]:offsets[k + 1]] = _SPACED[raw[offsets[k]:offsets[k + 1]]]
+        texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        if len(self.at) > self.words_kept or self.chars > self.chars_kept:
+            held = np.flatnonzero(code > 0)  # 0 is the empty word
+            sizes, ids = self.size[code[held]], self._gather(code[held])[1]
+            self.clear()
+            self._keep([words[k] for k in held.tolist()], sizes, ids)
+            code = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            unseen = [words[k] for k in new.tolist()]
+            self._learn(unseen)
+            code[new] = np.fromiter(map(self.at.__getitem__, unseen), np.int64, len(new))
+        total, ids = self._gather(code[coded.indices.to_numpy()])
+        upto = np.r_[0, total][lists.offsets.to_numpy()]
+        return np.diff(upto), ids
+
+
 def memo(path: str, spaced: bool) -> Memo:
     """The worker's own store for a tokenizer file."""
     if (path, spaced) not in _memo:
@@ -226,6 +259,10 @@ def encoded(batches, path: str, spaced: bool, end: int, characters: int = 2_000_
     store = memo(path, spaced)
     store.words_kept, store.chars_kept = remembered, CHARS // WORDS * remembered
     for b in batches:
+        if store.light:
+            for i, j in runs(text_buffers(b.column("text"))[0], characters):
+                yield b.slice(i, j - i), *with_end(*store.encode_column(b.column("text").slice(i, j - i)), end)
+            continue
         texts = b.column("text").to_pylist()
         k = 0
         while k < len(texts):

@@ -35,6 +35,8 @@ from tabulon.session import work_dir
 MAGIC = b"WAVM0001"
 #: Tokens after which a task starts the next shard, and bits of a compressed frame.
 SHARD_TOKENS, FRAME_BITS = 4_000_000, 1 << 18
+#: Words that a worker remembers: words seen once are most of those kept beyond, and cost more memory than they save time.
+REMEMBERED = 300_000
 
 
 def build(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -173,7 +175,7 @@ def _write(folder, path, spaced, end, limit):
                 "file": pa.array([name]), "first_id": pa.array([int(d[0])], pa.int64()), "last_id": pa.array([int(d[-1])], pa.int64()),
                 "shard_docs": pa.array([len(d)], pa.int64()), "shard_tokens": pa.array([len(x)], pa.int64()),
                 "part": pa.array([part], pa.int32()), "place": pa.array([place], pa.int32())})
-        for b, n, x in encoded(batches, path, spaced, end):
+        for b, n, x in encoded(batches, path, spaced, end, remembered=REMEMBERED):
             docs.append(b.column("doc_id").to_numpy(zero_copy_only=False))
             sizes.append(n)
             ids.append(x)

@@ -84,3 +84,53 @@ def test_runs_of_letters_take_the_light_route_with_the_library_s_ids():
     t.encode_special_tokens = True
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     assert {"plain", "and", "(and)", "(", ")"} <= set(store.at)
+
+
+def library(texts):
+    t = Tokenizer.from_file(WORD)
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_columns_take_nulls_slices_marks_and_white_space():
+    import pyarrow as pa
+
+    from tabulon.llm import tokens
+
+    texts = ["cut off", None, "", " ", "H\u0331 T\u0308 h\u0331 A\u030a a\u030a", "É I\u0307 İ ΣΑΣ straße STRASSE", "a\x0bb\x0cc\x1cd\x85e\u00a0f\u3000g",
+             "\tA\r\nB\0C \n", "Ÿ ŉ ſ Ŀ", "''s 's'T x's", "~ ~a~ a~b", "カ\u3099 か", "e\u0301E\u0301", "last"]
+    for kind in (pa.string(), pa.large_string()):
+        store = tokens.Memo(WORD, False)
+        for _ in range(2):
+            sizes, ids = store.encode_column(pa.array(texts, kind).slice(1, 12))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library(texts[1:13])
+    got = list(tokens.encoded([pa.RecordBatch.from_pydict({"text": texts})], WORD, False, 1, characters=20))
+    assert len(got) > 3 and [b.column("text")[k].as_py() for b, _, _ in got for k in range(len(b))] == texts
+    assert np.concatenate([x for _, _, x in got]).tolist() == [i for x in library(texts) for i in [*x, 1]]
+
+
+def test_a_full_store_keeps_the_words_in_use_only():
+    from tabulon.llm import tokens
+
+    store = tokens.Memo(WORD, False)
+    store.words_kept, learnt, learn = 50, [], store._learn
+    store._learn = lambda words: (learnt.extend(words), learn(words))
+    for k in range(20):
+        texts = [f"common words, stay {' '.join(c + 'q' * k for c in 'abcdefghijklmnopqrstuvwxyz')}"]
+        sizes, ids = store.encode(texts)
+        assert ids.tolist() == library(texts)[0] and len(store.at) < 50 + 4 * 30
+    assert learnt.count("common") == learnt.count("words,") == learnt.count("stay") == 1
+
+
+def test_shards_are_written_with_a_small_store(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(wavelet, "encoded", lambda *a, remembered=2_000_000, **_: asked.append(remembered) or iter(()))
+    list(_go(wavelet._write("f", WORD, False, 1, 10)))
+    assert asked and asked[0] <= 500_000
+
+
+def _go(go):
+    from unittest import mock
+
+    with mock.patch("pyspark.TaskContext.get"):
+        yield from go(iter(()))
