@@ -695,7 +695,11 @@ def _gold_sql() -> str:
 def _gold_counts(spark, tests):
     from .evaluate import gold_answers as gold, with_test_ids
     tests = with_test_ids(tests)
-    res, _ = gold(spark, tests, "query")
+    res, errors = gold(spark, tests, "query")
+    # a query that fails has no answer, which is not an answer without rows
+    bad = errors.join(tests.select("test_id", "query"), "test_id").orderBy("test_id").limit(20).collect()
+    if bad:
+        raise ValueError(f"{errors.count()} queries have no answer, the first of them {[(r['query'], r['error']) for r in bad]}")
     counts = res.groupBy("test_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return (tests.join(counts, "test_id", "left")
                  .select("query", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))

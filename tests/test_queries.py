@@ -87,3 +87,20 @@ def test_checklist_keys_take_every_table_and_family(spark, monkeypatch, name):
 def test_gold_answers_of_all_value_tests(spark):
     tables = {r["query"].split("`")[1] for r in E.queries()["gold_answers_all"](spark, SF_SMALL).collect()}
     assert tables == {"part", "orders", "customer", "lineitem", "events", "conversations", "documents", "nation"}
+
+
+@pytest.mark.parametrize("name", ["gold_answers", "gold_answers_all"])
+def test_a_failing_gold_query_is_no_answer_of_no_rows(spark, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from tabulon.plans import registry
+    spark.range(3).createOrReplaceTempView("three")
+    monkeypatch.setattr(registry.C, "driver_database", lambda *_: None)
+
+    def asked(*texts):
+        monkeypatch.setattr(registry, "value_tests", lambda *_: spark.createDataFrame([(x,) for x in texts], "query string").withColumn("tbl_name", F.lit("three")))
+    asked("SELECT * FROM three WHERE id > 0", "SELECT * FROM three WHERE id > 9")
+    assert {r["query"][-1]: r.n_rows for r in E.queries()[name](spark, SF_SMALL).collect()} == {"0": 2, "9": 0}
+    asked("SELECT * FROM three WHERE id > 0", "SELECT * FROM three WHERE nope > 0", "SELECT CAST(concat('x', id) AS INT) FROM three")
+    with pytest.raises(ValueError, match="2 queries have no answer.*nope"):
+        E.queries()[name](spark, SF_SMALL)
